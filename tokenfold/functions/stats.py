@@ -55,17 +55,18 @@ def _coarse(v: Column) -> Column:
     return F.when(v == 0, F.lit(0).cast("bigint")).otherwise((F.signum(v) * octave).cast("bigint"))
 
 
-def quantiles(df: DataFrame, keys: Sequence[str], col: str, probs: Sequence[float]) -> DataFrame:
+def quantiles(df: DataFrame, keys: Sequence[str], col: str, probs: Sequence[float], weight: str | None = None) -> DataFrame:
     """Exact linear-interpolated quantiles per key as columns ``q0, q1, ...``.
 
     Values are first reduced to (key, value, count). Counts of ordered coarse
     buckets give each bucket its offset, so a hot key is spread over buckets and
-    no task sorts or holds all of its values.
+    no task sorts or holds all of its values. ``weight`` repeats a value.
     """
     keys = list(keys) or ["_all"]
     d = df if keys != ["_all"] else df.withColumn("_all", F.lit(0))
-    d = d.select(*keys, F.col(col).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    vc = d.groupBy(*keys, "_v").agg(F.count("*").alias("_n")).withColumn("_b", _coarse(F.col("_v")))
+    times = F.lit(1) if weight is None else F.col(weight)
+    d = d.select(*keys, F.col(col).cast("double").alias("_v"), times.alias("_w")).filter(F.col("_v").isNotNull())
+    vc = d.groupBy(*keys, "_v").agg(F.sum("_w").alias("_n")).withColumn("_b", _coarse(F.col("_v")))
     before = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     sizes = (
         vc.groupBy(*keys, "_b").agg(F.sum("_n").alias("_bn"))
