@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tokenfold.functions import probs as P
 from tokenfold.functions import stats as S
+from tokenfold.session import keep
 
 TOL = 1e-12
 
@@ -158,10 +159,12 @@ def robustness(both: DataFrame, groups: DataFrame, n_classes: int, tolerance: fl
 
     ``both`` has sample_id, fold, y, base, cand.
     """
-    g = _grouped(stack_models(both), groups)
-    fl = macro_f1(g, ["which", "fold", "dimension", "grp"], n_classes).groupBy("fold", "which").agg(F.min("macro_f1").alias("floor"))
+    key = ["dimension", "grp"]
+    conf = keep(confusion(_grouped(stack_models(both), groups), ["which", "fold", *key]))
+    fl = macro_f1(conf, ["which", "fold", *key], n_classes, counted=True).groupBy("fold", "which").agg(F.min("macro_f1").alias("floor"))
     per = fl.groupBy("fold").agg((F.max(F.when(F.col("which") == "cand", F.col("floor"))) - F.max(F.when(F.col("which") == "base", F.col("floor")))).alias("d"))
-    floor = macro_f1(g.filter("which = 'cand'"), ["dimension", "grp"], n_classes)
+    over = conf.filter("which = 'cand'").groupBy(*key, "y", "yhat").agg(F.sum("n").alias("n"))
+    floor = macro_f1(over, key, n_classes, counted=True)
     worst = S.total(floor, F.min("macro_f1"))
     return per.agg(F.min("d").alias("worst_fold_delta"), F.count_if(F.col("d") < -tolerance).alias("collapse_folds")).withColumn("worst_group_floor", worst)
 
@@ -181,14 +184,15 @@ def safety(both: DataFrame) -> DataFrame:
 def group_safety(both: DataFrame, groups: DataFrame, n_classes: int, min_support: int = 4, min_folds: int = 2) -> DataFrame:
     """Per group: support, observed folds, delta, fold-delta SE, non-inferiority margin, declining folds."""
     g = _grouped(both, groups)
-    st = stack_models(g.select("sample_id", "fold", "dimension", "grp", "y", "base", "cand"))
     key = ["dimension", "grp"]
+    conf = keep(confusion(stack_models(g.select("fold", *key, "y", "base", "cand")), ["which", "fold", *key]))
+    total = conf.groupBy("which", *key, "y", "yhat").agg(F.sum("n").alias("n"))
     side = lambda col: [F.max(F.when(F.col("which") == w, F.col(col))).alias(w) for w in ("base", "cand")]
-    f = macro_f1(st, ["which", "fold", *key], n_classes).groupBy("fold", *key).agg(*side("macro_f1"))
+    f = macro_f1(conf, ["which", "fold", *key], n_classes, counted=True).groupBy("fold", *key).agg(*side("macro_f1"))
     f = f.withColumn("d", F.col("cand") - F.col("base"))
     se = f.groupBy(*key).agg(F.count("*").alias("observed_folds"), (F.stddev_samp("d") / F.sqrt(F.count("*").cast("double"))).alias("se"))
-    o = macro_f1(st, ["which", *key], n_classes).groupBy(*key).agg(*side("macro_f1"))
-    sup = g.groupBy(*key).agg(F.count("*").alias("support"))
+    o = macro_f1(total, ["which", *key], n_classes, counted=True).groupBy(*key).agg(*side("macro_f1"))
+    sup = conf.filter("which = 'base'").groupBy(*key).agg(F.sum("n").alias("support"))
     j = f.join(se, key)
     dec = j.groupBy(*key).agg(F.count_if(F.col("d") < -F.col("se") - TOL).alias("declining_folds"))
     r = o.join(sup, key).join(se, key).join(dec, key)

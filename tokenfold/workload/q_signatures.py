@@ -306,8 +306,8 @@ PRED = f"""(select f.sample_id, f.fold, f.label y, coalesce(b.label,(select min(
 
 @query("g20_discover_pairs", "left:s right:s errors rate:d rank", f"""
  select *, row_number() over (order by round(rate,9) desc, errors desc, "left", "right") rank from (
- select least(y,yhat) "left", greatest(y,yhat) "right", count(*) errors, count(*)/((select count(*) from samples where label=least(y,yhat))+(select count(*) from samples where label=greatest(y,yhat))) rate
- from {PRED} where y<>yhat group by 1,2) where not ("left"='AUTOMOBILE' and "right"='MACHINERY') order by rank limit 5""")
+ select "left", "right", errors, errors/(a.n+b.n) rate from (select least(y,yhat) "left", greatest(y,yhat) "right", count(*) errors from {PRED} where y<>yhat group by 1,2)
+ join (select label, count(*) n from samples group by 1) a on a.label="left" join (select label, count(*) n from samples group by 1) b on b.label="right") where not ("left"='AUTOMOBILE' and "right"='MACHINERY') order by rank limit 5""")
 def _(s, d):
     return Z.discover_pairs(signature_pred(s, d), 5, [PAIR])
 
