@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -51,12 +52,12 @@ def blend(p: Column, q: Column, w: float | Column) -> Column:
 
 
 def weighted_sum(arrays: Sequence[Column], weights: Sequence[float | Column]) -> Column:
-    out = None
-    for a, w in zip(arrays, weights):
+    def scaled(a, w):
         w = w if isinstance(w, Column) else F.lit(float(w))
-        part = F.transform(a, lambda x, w=w: x * w)
-        out = part if out is None else F.zip_with(out, part, lambda x, y: x + y)
-    return out
+        return F.transform(a, lambda x: x * w)
+
+    parts = [scaled(a, w) for a, w in zip(arrays, weights)]
+    return reduce(lambda u, v: F.zip_with(u, v, lambda x, y: x + y), parts)
 
 
 def argmax(p: Column) -> Column:

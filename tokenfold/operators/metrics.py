@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tokenfold.functions import probs as P
 from tokenfold.functions import stats as S
-from tokenfold.session import keep
+from tokenfold.session import keep, settle
 
 TOL = 1e-12
 
@@ -116,13 +116,13 @@ def fold_groups(burden: DataFrame, novelty: DataFrame, folds: DataFrame, k: int)
 
     ``burden`` has ``burden``; ``novelty`` has ``valid`` and ``train_<i>`` shares.
     """
-    b = folds.select("sample_id", "fold").join(burden.select("sample_id", "burden"), "sample_id").join(
-        novelty.drop("fold"), "sample_id")
+    b = keep(folds.select("sample_id", "fold").join(burden.select("sample_id", "burden"), "sample_id").join(
+        novelty.drop("fold"), "sample_id"))
     parts = F.explode(F.array(*[
         F.struct(F.lit(i).alias("part"), F.when(F.col("fold") != i, F.col("burden").cast("double")).alias("burden"),
                  F.col(f"train_{i}").alias("novelty")) for i in range(k)]))
     t = b.select(parts.alias("x")).select("x.*").unpivot(["part"], ["burden", "novelty"], "dimension", "x")
-    q = S.quantiles(t, ["part", "dimension"], "x", [0.25, 0.75])
+    q = settle(S.quantiles(t, ["part", "dimension"], "x", [0.25, 0.75]))
     own = b.select("sample_id", "fold", F.col("burden").cast("double").alias("burden"), F.col("valid").alias("novelty"))
     own = own.unpivot(["sample_id", "fold"], ["burden", "novelty"], "dimension", "x")
     j = own.join(q.withColumnRenamed("part", "fold"), ["fold", "dimension"])
@@ -160,7 +160,7 @@ def robustness(both: DataFrame, groups: DataFrame, n_classes: int, tolerance: fl
     ``both`` has sample_id, fold, y, base, cand.
     """
     key = ["dimension", "grp"]
-    conf = keep(confusion(_grouped(stack_models(both), groups), ["which", "fold", *key]))
+    conf = settle(confusion(_grouped(stack_models(both), groups), ["which", "fold", *key]))
     fl = macro_f1(conf, ["which", "fold", *key], n_classes, counted=True).groupBy("fold", "which").agg(F.min("macro_f1").alias("floor"))
     per = fl.groupBy("fold").agg((F.max(F.when(F.col("which") == "cand", F.col("floor"))) - F.max(F.when(F.col("which") == "base", F.col("floor")))).alias("d"))
     over = conf.filter("which = 'cand'").groupBy(*key, "y", "yhat").agg(F.sum("n").alias("n"))
@@ -185,7 +185,7 @@ def group_safety(both: DataFrame, groups: DataFrame, n_classes: int, min_support
     """Per group: support, observed folds, delta, fold-delta SE, non-inferiority margin, declining folds."""
     g = _grouped(both, groups)
     key = ["dimension", "grp"]
-    conf = keep(confusion(stack_models(g.select("fold", *key, "y", "base", "cand")), ["which", "fold", *key]))
+    conf = settle(confusion(stack_models(g.select("fold", *key, "y", "base", "cand")), ["which", "fold", *key]))
     total = conf.groupBy("which", *key, "y", "yhat").agg(F.sum("n").alias("n"))
     side = lambda col: [F.max(F.when(F.col("which") == w, F.col(col))).alias(w) for w in ("base", "cand")]
     f = macro_f1(conf, ["which", "fold", *key], n_classes, counted=True).groupBy("fold", *key).agg(*side("macro_f1"))

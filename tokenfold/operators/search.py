@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tokenfold.functions import probs as P
 from tokenfold.functions import stats as S
 from tokenfold.operators import metrics as M
-from tokenfold.session import keep
+from tokenfold.session import keep, settle
 
 # Margin and alpha grid of pair rules, weight grid of mixes.
 RULE_GRID = (0.025, 0.05, 0.075, 0.10, 0.15, 0.20, 0.30)
@@ -104,7 +104,7 @@ def crossfit_select(both: DataFrame, temperatures: Sequence[float], weights: Seq
     """
     rows = grid(temperature=[float(t) for t in temperatures], weight=[float(w) for w in weights])
     hat = P.argmax(P.mix(F.col("p"), P.calibrate(F.col("q"), F.col("x.temperature")), F.col("x.weight")))
-    conf = keep(_scored(both, rows, hat, ["seed", "fold"]))
+    conf = settle(_scored(both, rows, hat, ["seed", "fold"]))
     held = F.explode(F.array(*[F.lit(i) for i in range(k)]))
     rest = conf.select("*", held.alias("held")).filter("held <> fold")
     rest = rest.groupBy("seed", "held", "g", "y", "yhat").agg(F.sum("n").alias("n"))
@@ -320,8 +320,8 @@ def rule_evidence(proba: DataFrame, n_classes: int, values: Sequence[float] = RU
     rows = keep(top_rows(proba))
     err = rows.filter("y <> top1").groupBy(F.col("y").alias("source"), F.col("top1").alias("target")).agg(F.count("*").alias("support"))
     err = err.filter(F.col("support") >= min_errors)
-    base = keep(_base_counts(rows, False))
-    mv = _moved_f1(_moves(rows, values, False).join(err, ["source", "target"]), base)
+    base = settle(_base_counts(rows, False))
+    mv = _moved_f1(settle(_moves(rows, values, False)).join(err, ["source", "target"]), base)
     mv = mv.withColumn("d", (F.col("s1") - F.col("s0") + F.col("t1") - F.col("t0")) / n_classes).withColumn("net", F.col("ms") - F.col("mt"))
     rule = ["source", "target", "margin", "alpha"]
     score0 = S.total(base.filter("kind = 'all'"), F.sum("f1") / n_classes)
@@ -359,9 +359,9 @@ def select_bidirectional_rule(proba: DataFrame, groups: DataFrame, n_classes: in
     source, target = pair
     rows = top_rows(proba, groups)
     rows = keep(rows)
-    base = keep(_base_counts(rows, True))
+    base = settle(_base_counts(rows, True))
     inside = ((F.col("top1") == target) & (F.col("top2") == source)) | ((F.col("top1") == source) & (F.col("top2") == target))
-    mv = _moves(rows.filter(inside), values, True)
+    mv = settle(_moves(rows.filter(inside), values, True))
     pts = _grid_table(proba, grid(pm=[float(v) for v in values], pa=[float(v) for v in values], rm=[float(v) for v in values], ra=[float(v) for v in values]))
     cells = base.select(*SLICE).distinct()
     cell = F.struct(*SLICE)
@@ -383,7 +383,7 @@ def select_bidirectional_rule(proba: DataFrame, groups: DataFrame, n_classes: in
     a1 = M.f1(F.col("a_tp") + F.col("fs") - F.col("rt"), F.col("a_n_true"), F.col("a_n_pred") + shift)
     b1 = M.f1(F.col("b_tp") - F.col("ft") + F.col("rs"), F.col("b_n_true"), F.col("b_n_pred") - shift)
     e = e.withColumn("da", a1 - F.col("a_f1")).withColumn("db", b1 - F.col("b_f1")).withColumn("d", (F.col("da") + F.col("db")) / n_classes)
-    e = e.withColumn("rescue", F.col("fs") + F.col("rs")).withColumn("harm", F.col("ft") + F.col("rt"))
+    e = settle(e.withColumn("rescue", F.col("fs") + F.col("rs")).withColumn("harm", F.col("ft") + F.col("rt")))
     isall, isf = F.col("kind") == "all", F.col("kind") == "fold"
     one = lambda col: F.max(F.when(isall, col if isinstance(col, Column) else F.col(col)))
     se = lambda col: F.stddev_samp(F.when(isf, F.col(col))) / math.sqrt(k)
@@ -439,7 +439,7 @@ def select_mix_weight(both: DataFrame, n_classes: int, k: int, weights: Sequence
     c = _scored(d, rows, hat, ["fold", *(["groups"] if groups is not None else [])])
     c = c.select(F.explode(_slices(groups is not None)).alias("s"), "g", "y", "yhat", "n").select("s.*", "g", "y", "yhat", "n")
     c = c.groupBy(*SLICE, "g", "y", "yhat").agg(F.sum("n").alias("n"))
-    f = keep(M.class_f1(c, [*SLICE, "g"], counted=True))
+    f = settle(M.class_f1(c, [*SLICE, "g"], counted=True))
     macro = f.groupBy(*SLICE, "g").agg((F.sum("f1") / n_classes).alias("m"), F.sum("n_true").alias("support"))
     base = macro.filter("g = 0").select(*SLICE, F.col("m").alias("m0"))
     macro = macro.join(base, SLICE)
@@ -501,7 +501,7 @@ def select_gate(base: DataFrame, experts: DataFrame, n_classes: int, pairs: Sequ
     hit = hit.filter(F.col("gap") <= F.col("margin")).withColumn("q", P.calibrate(F.col("q"), F.col("temperature")))
     hit = hit.filter(F.array_max("q") >= F.col("confidence")).withColumn("new", P.argmax(P.mix(F.col("p"), F.col("q"), F.col("weight"))))
     ch = hit.filter("new <> top1").groupBy("g", "y", "top1", "new").agg(F.count("*").alias("n"))
-    ch = keep(ch)
+    ch = settle(ch)
     delta = ch.select("g", F.explode(F.array(
         F.struct(F.col("top1").alias("c"), F.when(F.col("y") == F.col("top1"), -F.col("n")).otherwise(0).alias("dtp"), (-F.col("n")).alias("dp")),
         F.struct(F.col("new").alias("c"), F.when(F.col("y") == F.col("new"), F.col("n")).otherwise(0).alias("dtp"), F.col("n").alias("dp")))).alias("x"))
@@ -532,7 +532,7 @@ def select_lanes(models: DataFrame, names: Sequence, trials: Sequence[Mapping],
     c = trial_confusion(models.join(g, "sample_id"), names, trials, ["fold", "groups"])
     c = c.select(F.explode(_slices(True)).alias("s"), "g", "y", "yhat", "n").select("s.*", "g", "y", "yhat", "n")
     c = c.groupBy(*SLICE, "g", "y", "yhat").agg(F.sum("n").alias("n"))
-    m = keep(M.macro_f1(c, [*SLICE, "g"], n_classes, counted=True))
+    m = settle(M.macro_f1(c, [*SLICE, "g"], n_classes, counted=True))
     score = m.filter("kind = 'all'").select("g", "macro_f1")
     floor = m.filter("kind = 'group'").groupBy("g").agg(F.min("macro_f1").alias("floor"))
     ff = m.filter("kind = 'group_fold'").groupBy("g", "fold").agg(F.min("macro_f1").alias("ff"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tokenfold.functions import stats as S
 from tokenfold.operators.gram import gram
-from tokenfold.session import keep
+from tokenfold.session import keep, settle
 
 FULL = -1  # held fold of a statistic over all rows
 
@@ -61,7 +61,7 @@ def class_gene_counts(
     per = per.groupBy("gene", "label").agg(F.sum("n").alias("tn"), F.sum("x").alias("tx"), _held_entry().alias("held"))
     entry = F.struct("tn", "tx", "held")
     # one row per gene: every later use reads this small table, not the events
-    genes = keep(per.groupBy("gene").agg(F.map_from_entries(F.collect_list(F.struct("label", entry))).alias("g")))
+    genes = settle(per.groupBy("gene").agg(F.map_from_entries(F.collect_list(F.struct("label", entry))).alias("g")))
     size = s.groupBy("label", "fold").agg(F.sum("w").alias("n"), F.lit(0.0).alias("x"))
     size = size.groupBy("label").agg(F.sum("n").alias("tn"), F.sum("x").alias("tx"), _held_entry().alias("held"))
     sizes = S.keyed_map(size, F.col("label"), entry)
@@ -262,7 +262,7 @@ def f5_stable(presence: DataFrame, missing: DataFrame, folds: DataFrame, k: int,
     The stability folds of an outer training part are its remaining folds, so
     the fits are differences of the same counts.
     """
-    e = keep(f5_stats(presence, missing, folds, alpha, _inner_parts(k, outer)))
+    e = settle(f5_stats(presence, missing, folds, alpha, _inner_parts(k, outer)))
     inner, full = e.filter(F.col("inner") != FULL), e.filter((F.col("inner") == FULL) & (F.col("t") >= minimum))
     key = ["outer", "label", "gene"]
     hits = _f5_rank(inner.filter(F.col("t") >= minimum), ["outer", "inner", "label"], top)
@@ -274,7 +274,7 @@ def f5_stable(presence: DataFrame, missing: DataFrame, folds: DataFrame, k: int,
     sel = full.join(hits, key).join(same, key).filter(
         (F.col("direction") >= F.least(F.lit(min_direction), n)) & (F.col("frequency") >= F.least(F.lit(min_frequency), n)))
     sel = _f5_rank(sel, ["outer", "label"], top)
-    return keep(sel.select(*key, "rank", "effect", F.ln("p1").alias("log_mut"), F.log1p(-F.col("p1")).alias("log_wt"),
+    return settle(sel.select(*key, "rank", "effect", F.ln("p1").alias("log_mut"), F.log1p(-F.col("p1")).alias("log_wt"),
                            "direction", "frequency"))
 
 
@@ -323,9 +323,9 @@ def pair_effect(presence: DataFrame, missing: DataFrame, samples: DataFrame, pai
     b = presence.groupBy("sample_id").agg(F.count("*").alias("burden"))
     s = keep(s.join(b, "sample_id", "left").fillna(0, ["burden"]))
     cells = presence.select("sample_id", "gene", F.lit(0).alias("x")).unionByName(missing.select("sample_id", "gene", F.lit(1).alias("x")))
-    c = cells.join(s, "sample_id").groupBy("gene", "burden", "side", "fold").agg(
-        F.count_if(F.col("x") == 0).alias("n"), F.count_if(F.col("x") == 1).alias("x"))
-    hist = keep(s.groupBy("burden", "side", "fold").agg(F.count("*").alias("n")))
+    c = settle(cells.join(s, "sample_id").groupBy("gene", "burden", "side", "fold").agg(
+        F.count_if(F.col("x") == 0).alias("n"), F.count_if(F.col("x") == 1).alias("x")))
+    hist = settle(s.groupBy("burden", "side", "fold").agg(F.count("*").alias("n")))
 
     def part(d):
         p = d.select("*", F.explode(leave_out(parts)).alias("part")).select("*", "part.outer", "part.inner").drop("part")
@@ -340,7 +340,7 @@ def pair_effect(presence: DataFrame, missing: DataFrame, samples: DataFrame, pai
         return d.withColumn("_e", edges).withColumn("stratum", F.size(F.filter(e, lambda x: x < F.col("burden")))).drop("_e")
 
     sums = lambda v: [F.sum(F.when(F.col("side") == i, F.col(v)).otherwise(0)).alias(f"{v}{i}") for i in (0, 1)]
-    size = keep(stratify(h).groupBy("outer", "inner", "stratum").agg(*sums("n")))
+    size = settle(stratify(h).groupBy("outer", "inner", "stratum").agg(*sums("n")))
     sizes = S.keyed_map(size, F.struct("outer", "inner", "stratum"), F.struct("n0", "n1"))
     g = stratify(part(c)).groupBy("outer", "inner", "gene", "stratum").agg(*sums("n"), *sums("x"))
     g = g.groupBy("outer", "inner", "gene").agg(
@@ -386,7 +386,7 @@ def pair_select(presence: DataFrame, missing: DataFrame, folds: DataFrame, pair:
                 minimum: int = 5, alpha: float = 1.0, q: int = 5, min_direction: int = 4, min_frequency: int = 3,
                 outer: Sequence[int] = (FULL,)) -> DataFrame:
     """Stable genes of a pair: the top of each direction with consistent sign over folds."""
-    e = keep(pair_effect(presence, missing, folds, pair, alpha, q, _inner_parts(k, outer)))
+    e = settle(pair_effect(presence, missing, folds, pair, alpha, q, _inner_parts(k, outer)))
     inner, full = e.filter(F.col("inner") != FULL), e.filter(F.col("inner") == FULL)
     key = ["outer", "gene"]
     hits = _pair_rank(inner.filter(F.col("support") >= minimum), ["outer", "inner"], top).groupBy(*key).agg(F.count("*").alias("frequency"))
@@ -395,7 +395,7 @@ def pair_select(presence: DataFrame, missing: DataFrame, folds: DataFrame, pair:
     sel = full.filter(F.col("support") >= minimum).join(hits, key).join(same, key)
     n = F.when(F.col("outer") == FULL, F.lit(k)).otherwise(F.lit(k - 1))
     sel = sel.filter((F.col("direction") >= F.least(F.lit(min_direction), n)) & (F.col("frequency") >= F.least(F.lit(min_frequency), n)))
-    return keep(_pair_rank(sel, ["outer"], top).drop("inner"))
+    return settle(_pair_rank(sel, ["outer"], top).drop("inner"))
 
 
 def pair_score(presence: DataFrame, missing: DataFrame, samples: DataFrame, state: DataFrame, oof: bool = False) -> DataFrame:

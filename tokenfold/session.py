@@ -53,6 +53,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """Write out a small learnt table (counts, weights, selections) once.
+
+    Later steps plan against the stored rows, so plans do not nest and a lost
+    executor does not replay the scan behind them.
+    """
+    return cut_lineage(df)
+
+
 def keep(df: DataFrame) -> DataFrame:
     """Cache a table that one operator reads several times."""
     return df.persist(StorageLevel.MEMORY_AND_DISK)

@@ -9,6 +9,7 @@ from tokenfold.operators import metrics as M
 from tokenfold.operators import patterns as H
 from tokenfold.operators import proba as P
 from tokenfold.operators import summaries as Y
+from tokenfold.session import keep
 from tokenfold.workload import query
 from tokenfold.workload import views as W
 from tokenfold.workload.q_profile import _NOV
@@ -51,7 +52,7 @@ def two3(s, d):
 
 
 def groups(s, d):
-    f, e = W.labelled(s, d), W.events(s, d)
+    f, e = W.labelled(s, d), keep(W.events(s, d))
     return M.fold_groups(Y.burden(e, f, 150), H.novelty(e, f, W.K), f, W.K)
 
 

@@ -87,9 +87,9 @@ def _(s, d):
     return P.unpack(P.soft_vote(models(s, d), W3))
 
 
-@query("k7_class_multiply", ONE, "select sample_id, class_id, u/sum(u) over (partition by sample_id) p from (select *, p*(1+class_id*0.1e0) u from p0)")
+@query("k7_class_multiply", ONE, "select sample_id, class_id, u/sum(u) over (partition by sample_id) p from (select *, p*(1+class_id*0.137e0) u from p0)")
 def _(s, d):
-    return P.unpack(P.class_multiply(model(s, d, 0), [1 + 0.1 * c for c in range(C)]))
+    return P.unpack(P.class_multiply(model(s, d, 0), [1 + 0.137 * c for c in range(C)]))
 
 
 _PRIOR = "select y c, count(*)/(select count(*) from wide0) q from wide0 group by 1"
