@@ -63,5 +63,5 @@ def query(name: str, cols: str, sql: str | None = None):
 
 def load() -> None:
     from tokenfold.workload import (  # noqa: F401
-        q_cells, q_genes, q_profile, q_signatures, q_metrics, q_proba, q_search,
+        q_cells, q_genes, q_profile, q_signatures, q_metrics, q_proba, q_search, q_selection, q_training,
     )
