@@ -13,13 +13,18 @@ def lit_array(values: Sequence[float]) -> Column:
     return F.array(*[F.lit(float(v)) for v in values])
 
 
+def let(expr: Column, fn) -> Column:
+    """``fn`` of a value that is computed once, however often ``fn`` uses it."""
+    return F.transform(F.array(expr), fn)[0]
+
+
 def total(p: Column) -> Column:
     return F.aggregate(p, F.lit(0.0), lambda a, x: a + x)
 
 
 def normalize(p: Column) -> Column:
     """Divide by the sum."""
-    return F.transform(p, lambda x: x / total(p))
+    return let(p, lambda a: let(total(a), lambda t: F.transform(a, lambda x: x / t)))
 
 
 def clip(p: Column, low: float = 1e-12) -> Column:
@@ -28,17 +33,17 @@ def clip(p: Column, low: float = 1e-12) -> Column:
 
 def softmax(score: Column, temperature: float | Column = 1.0) -> Column:
     t = temperature if isinstance(temperature, Column) else F.lit(float(temperature))
-    top = F.array_max(score)
-    return normalize(F.transform(score, lambda x: F.exp((x - top) / t)))
+    return let(score, lambda a: let(F.array_max(a), lambda top: normalize(F.transform(a, lambda x: F.exp((x - top) / t)))))
 
 
 def log_clip(p: Column) -> Column:
-    return F.transform(clip(p), F.ln)
+    return F.transform(p, lambda x: F.ln(F.least(F.greatest(x, F.lit(1e-12)), F.lit(1.0))))
 
 
 def calibrate(p: Column, temperature: float | Column) -> Column:
-    """Temperature scaling of probabilities: softmax(ln p / T)."""
-    return softmax(log_clip(p), temperature)
+    """Temperature scaling of probabilities: softmax(ln p / T) = normalised p^(1/T)."""
+    t = temperature if isinstance(temperature, Column) else F.lit(float(temperature))
+    return normalize(F.transform(p, lambda x: F.pow(F.least(F.greatest(x, F.lit(1e-12)), F.lit(1.0)), 1 / t)))
 
 
 def mix(p: Column, q: Column, w: float | Column) -> Column:
@@ -62,15 +67,19 @@ def weighted_sum(arrays: Sequence[Column], weights: Sequence[float | Column]) ->
 
 def argmax(p: Column) -> Column:
     """Class id of the largest entry, the lowest id on ties."""
-    return (F.array_position(p, F.array_max(p)) - 1).cast("int")
+    return let(p, lambda a: (F.array_position(a, F.array_max(a)) - 1).cast("int"))
 
 
 def top_two(p: Column) -> Column:
     """Struct (top1, top2, gap) with ties to the lower id."""
-    first = argmax(p)
-    rest = F.transform(p, lambda x, i: F.when(i == first, F.lit(-1e300)).otherwise(x))
-    second = argmax(rest)
-    return F.struct(first.alias("top1"), second.alias("top2"), (F.array_max(p) - F.array_max(rest)).alias("gap"))
+    def rest(a, first):
+        return F.transform(a, lambda x, i: F.when(i == first, F.lit(-1e300)).otherwise(x))
+
+    def pick(a, first):
+        return let(rest(a, first), lambda r: F.struct(
+            first.alias("top1"), (F.array_position(r, F.array_max(r)) - 1).cast("int").alias("top2"), (F.array_max(a) - F.array_max(r)).alias("gap")))
+
+    return let(p, lambda a: let((F.array_position(a, F.array_max(a)) - 1).cast("int"), lambda first: pick(a, first)))
 
 
 def at(p: Column, i: int | Column) -> Column:

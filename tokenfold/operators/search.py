@@ -103,8 +103,14 @@ def crossfit_select(both: DataFrame, temperatures: Sequence[float], weights: Seq
     Ties go to the smaller |ln T| + 0.01 w. Also reports the score on the held fold.
     """
     rows = grid(temperature=[float(t) for t in temperatures], weight=[float(w) for w in weights])
-    hat = P.argmax(P.mix(F.col("p"), P.calibrate(F.col("q"), F.col("x.temperature")), F.col("x.weight")))
-    conf = settle(_scored(both, rows, hat, ["seed", "fold"]))
+    # each temperature is applied once per row, then shared by all weights
+    nw = len(weights)
+    ts = F.posexplode(F.array(*[F.lit(float(t)) for t in temperatures])).alias("ti", "t")
+    cal = both.select("seed", "fold", "y", "p", "q", ts).withColumn("q", P.calibrate(F.col("q"), F.col("t")))
+    ws = F.posexplode(F.array(*[F.lit(float(w)) for w in weights])).alias("wi", "w")
+    hits = cal.select("seed", "fold", "y", "p", "q", "ti", ws)
+    hits = hits.select("seed", "fold", (F.col("ti") * nw + F.col("wi")).alias("g"), "y", P.argmax(P.mix(F.col("p"), F.col("q"), F.col("w"))).alias("yhat"))
+    conf = settle(hits.groupBy("seed", "fold", "g", "y", "yhat").agg(F.count("*").alias("n")))
     held = F.explode(F.array(*[F.lit(i) for i in range(k)]))
     rest = conf.select("*", held.alias("held")).filter("held <> fold")
     rest = rest.groupBy("seed", "held", "g", "y", "yhat").agg(F.sum("n").alias("n"))

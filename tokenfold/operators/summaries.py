@@ -129,7 +129,8 @@ def jh_f1(events: DataFrame, samples: DataFrame) -> DataFrame:
         F.sum("n").alias("mutation_event_count"), F.count("*").alias("mutated_gene_count"),
         _n(F.col("n") > 1).alias("multi_hit_gene_count"), *[F.sum(x).alias(f"{x}_count") for x in names],
         F.try_divide(F.sum("ps"), F.sum("pn")).alias("position_mean"), F.max("pm").alias("position_max"))
-    median = S.quantiles(events, ["sample_id"], "position", [0.5]).withColumnRenamed("q0", "position_median")
+    # the percentile buffer holds distinct positions, at most a protein's length
+    median = events.groupBy("sample_id").agg(F.percentile("position", 0.5).alias("position_median"))
     t = samples.select("sample_id").join(e, "sample_id", "left").join(median, "sample_id", "left").fillna(0)
     t = t.withColumn("events_per_mutated_gene", ratio(F.col("mutation_event_count"), F.col("mutated_gene_count")))
     logs = ["mutation_event_count", "mutated_gene_count", "multi_hit_gene_count", *[f"{x}_count" for x in names],

@@ -51,10 +51,16 @@ def document_terms(cells: DataFrame, samples: DataFrame) -> DataFrame:
     return t.unionByName(none).groupBy("sample_id", "term").agg(F.count("*").alias("tf"))
 
 
+def _by_document(docs: DataFrame, id_col: str) -> DataFrame:
+    """Texts spread by their id, one row each: term counts, norms and joins per
+    document then need no further shuffle of the much larger exploded terms."""
+    return docs.select(F.col(id_col).alias("sample_id"), "text").repartition("sample_id")
+
+
 def word_terms(docs: DataFrame, id_col: str, n_max: int = 2) -> DataFrame:
     """(id, term, tf) of word 1..n-grams; every gram is built inside its row."""
     words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
-    d = docs.select(F.col(id_col).alias("sample_id"), words.alias("w"))
+    d = _by_document(docs, id_col).select("sample_id", words.alias("w"))
     grams = [F.col("w")]
     for n in range(2, n_max + 1):
         starts = F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - (n - 1))).otherwise(F.array().cast("array<int>"))
@@ -69,7 +75,7 @@ def char_terms(docs: DataFrame, id_col: str, n_min: int = 3, n_max: int = 5) ->
     word shorter than n gives its padded form once, at the first such n.
     """
     words = F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")
-    w = docs.select(F.col(id_col).alias("sample_id"), F.explode(words).alias("w"))
+    w = _by_document(docs, id_col).select("sample_id", F.explode(words).alias("w"))
     w = w.groupBy("sample_id", "w").agg(F.count("*").alias("c")).withColumn("x", F.concat(F.lit(" "), "w", F.lit(" ")))
     size = F.length("x")
     parts = []

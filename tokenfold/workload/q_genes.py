@@ -334,8 +334,9 @@ _R = [f"({x}/greatest(events_,1))" for x in _JN]
   greatest({",".join(_R)}) dominant_consequence_fraction
  from ({_zero("genes events_ multi missing_n " + " ".join(_JN), f"select * from ({_F6}) full join (select sample_id, count(*) missing_n from missing group by 1) using (sample_id)")})""")
 def _(s, d):
-    e, smp = W.events(s, d, "jyp"), W.samples(s, d)
-    return Y.f1_summary(e, W.missing(s, d), smp, Y.burden_clip(G.gene_presence(e), smp))
+    c, smp = W.kept_cells(s, d), W.samples(s, d)
+    e = E.build_events(c, "jyp")
+    return Y.f1_summary(e, W.missing(s, d, c), smp, Y.burden_clip(G.gene_presence(e), smp))
 
 
 @query("f7_burden_clip", "clip:d", f"select {_CLIP} clip")
@@ -358,7 +359,7 @@ _F8M = "select sample_id, count(*) multi_hit_gene_count from (select sample_id,
  from (select *, mutation_event_count/greatest(mutated_gene_count,1) events_per_mutated_gene from
   ({_zero(" ".join(_F8LOG[:-1]), f"select * from ({_F8}) left join ({_F8M}) using (sample_id)")}))""")
 def _(s, d):
-    return Y.jh_f1(W.events(s, d, "jh"), W.samples(s, d))
+    return Y.jh_f1(E.build_events(W.kept_cells(s, d), "jh"), W.samples(s, d))
 
 
 @query("f9_gene_diversity", "sample_id concentration:d gene_entropy:d diversity_ratio:d", f"""
@@ -412,7 +413,8 @@ def _jsj(view: str, types: list[str], extra: str = "") -> str:
              + ", ".join(f"sum({x}) {x}" for x in _J1) + f" from ({_jsj('js1', _J1)}) group by 1) "
              "full join (select sample_id, count(*) missing_gene_count from missing group by 1) using (sample_id)"))
 def _(s, d):
-    return Y.jsj1_structural(W.events(s, d, "jsj1"), W.missing(s, d), W.samples(s, d))
+    c = W.kept_cells(s, d)
+    return Y.jsj1_structural(E.build_events(c, "jsj1"), W.missing(s, d, c), W.samples(s, d))
 
 
 _J2 = [f"type_{x}" for x in V.JSJ2_TYPES]
@@ -428,7 +430,8 @@ _B2 = [f"position_{b}" for b in V.POSITION_BINS["jsj"][1]]
          + ", ".join(f"sum({x}) {x}" for x in _J2 + _B2) + " from (" + _jsj("js2", _J2, ", " + ", ".join(f"count(*) filter (position_bin='{b[9:]}') {b}" for b in _B2))
          + ") group by 1) full join (select sample_id, count(*) missing_n from missing group by 1) using (sample_id)")})""")
 def _(s, d):
-    return Y.jsj2_summary(W.events(s, d, "jsj2"), W.missing(s, d), W.samples(s, d))
+    c = W.kept_cells(s, d)
+    return Y.jsj2_summary(E.build_events(c, "jsj2"), W.missing(s, d, c), W.samples(s, d))
 
 
 _CB = [("fs", 1000, 10000), ("stop", 100, 1000), ("missense", 10, 100), ("silent", 1, 10)]

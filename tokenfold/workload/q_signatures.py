@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tokenfold.operators import events as E
 from tokenfold.operators import genes as G
 from tokenfold.operators import metrics as M
 from tokenfold.operators import signatures as Z
+from tokenfold.session import keep
 from tokenfold.workload import query
 from tokenfold.workload import views as W
 
@@ -47,7 +49,14 @@ def oof(rows: str = "pres", w: str | None = None) -> str:
 
 
 def pres(s, d):
-    return G.gene_presence(W.events(s, d))
+    """Cached presence: weights are learnt from it and then applied to it."""
+    return keep(G.gene_presence(W.events(s, d)))
+
+
+def state3(s, d):
+    """(presence, missing) from one cached cell table."""
+    c = W.kept_cells(s, d)
+    return G.gene_presence(E.build_events(c)), W.missing(s, d, c)
 
 
 @query("g1_class_weights", "label:s gene:s w:d rank", f"select label, gene, w, rank from {W_ODDS}")
@@ -87,7 +96,7 @@ _FUN = "(select distinct sample_id, gene from ev where conseq>=2)"
 @query("g6_dual_signature", "channel:s sample_id label:s weighted:d matches", f"""
  select 'all' channel, * from ({oof()}) union all select 'functional', * from ({oof(_FUN, weights(counts(_FUN, ks=_FIVE)))})""")
 def _(s, d):
-    e = W.events(s, d)
+    e = keep(W.events(s, d))
     return Z.dual_signature(G.gene_presence(e), G.gene_functional(e), W.labelled(s, d), W.K)
 
 
@@ -173,8 +182,7 @@ def f5(parts: str) -> str:
 
 @query("g12_f5_stats", "label:s gene:s a t p1:d effect:d", f"select * from {f5('select -1 o, -1 i')}")
 def _(s, d):
-    e = W.events(s, d)
-    return Z.f5_stats(G.gene_presence(e), W.missing(s, d), W.samples(s, d))
+    return Z.f5_stats(*state3(s, d), W.samples(s, d))
 
 
 def f5_state(outer: str, dirn: str, freq: str) -> str:
@@ -194,8 +202,7 @@ _ONE, _O5 = "select -1 o", "select unnest(range(5)) o"
 
 @query("g13_f5_stable", "label:s gene:s rank effect:d log_mut:d log_wt:d direction frequency", f"select * from {f5_state(_ONE, '4', '3')}")
 def _(s, d):
-    e = W.events(s, d)
-    return Z.f5_stable(G.gene_presence(e), W.missing(s, d), W.labelled(s, d), W.K, minimum=100)
+    return Z.f5_stable(*state3(s, d), W.labelled(s, d), W.K, minimum=100)
 
 
 def f5_scores(state: str, on: str) -> str:
@@ -213,13 +220,13 @@ _F5C = "sample_id label:s score_sum:d score_mean:d score_max:d bernoulli:d"
 
 @query("g14_f5_score", _F5C, f5_scores(f5_state(_ONE, "4", "3"), "st.o=-1"))
 def _(s, d):
-    p, x, f = pres(s, d), W.missing(s, d), W.labelled(s, d)
+    (p, x), f = state3(s, d), W.labelled(s, d)
     return Z.f5_score(p, x, f, Z.f5_stable(p, x, f, W.K, minimum=100))
 
 
 @query("g15_f5_oof", _F5C, f5_scores(f5_state(_O5, "4", "3"), "st.o=f.fold"))
 def _(s, d):
-    return Z.f5_oof(pres(s, d), W.missing(s, d), W.labelled(s, d), W.K, minimum=100)
+    return Z.f5_oof(*state3(s, d), W.labelled(s, d), W.K, minimum=100)
 
 
 @query("g15_rare_classes", "label:s n", "select label, count(*) n from samples group by 1 order by 2, 1 limit 2")
@@ -248,7 +255,7 @@ def f7(parts: str) -> str:
 @query("g16_pair_effect", "gene:s effect:d support log_odds:d log_mut_ratio:d log_wt_ratio:d",
        f"select gene, effect, support, ln(p0)-ln(1-p0)-ln(p1)+ln(1-p1) log_odds, ln(p0)-ln(p1) log_mut_ratio, ln(1-p0)-ln(1-p1) log_wt_ratio from {f7('select -1 o, -1 i')}")
 def _(s, d):
-    return Z.pair_effect(pres(s, d), W.missing(s, d), W.samples(s, d), PAIR)
+    return Z.pair_effect(*state3(s, d), W.samples(s, d), PAIR)
 
 
 def f7_state(outer: str) -> str:
@@ -264,7 +271,7 @@ def f7_state(outer: str) -> str:
 
 @query("g17_pair_select", "gene:s effect:d support log_odds:d dir rank direction frequency", f"select * from {f7_state(_ONE)}")
 def _(s, d):
-    return Z.pair_select(pres(s, d), W.missing(s, d), W.labelled(s, d), PAIR, W.K, minimum=20)
+    return Z.pair_select(*state3(s, d), W.labelled(s, d), PAIR, W.K, minimum=20)
 
 
 def f7_scores(state: str, on: str) -> str:
@@ -281,13 +288,13 @@ _F7C = "sample_id mutated_log_odds_mean:d likelihood_ratio_mean:d"
 
 @query("g18_pair_score", _F7C, f7_scores(f7_state(_ONE), "st.o=-1"))
 def _(s, d):
-    p, x, f = pres(s, d), W.missing(s, d), W.labelled(s, d)
+    (p, x), f = state3(s, d), W.labelled(s, d)
     return Z.pair_score(p, x, f, Z.pair_select(p, x, f, PAIR, W.K, minimum=20))
 
 
 @query("g19_pair_oof", _F7C, f7_scores(f7_state(_O5), "st.o=f.fold"))
 def _(s, d):
-    return Z.pair_oof(pres(s, d), W.missing(s, d), W.labelled(s, d), PAIR, W.K, minimum=20)
+    return Z.pair_oof(*state3(s, d), W.labelled(s, d), PAIR, W.K, minimum=20)
 
 
 def signature_pred(s, d):

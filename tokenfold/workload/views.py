@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tokenfold.functions import stats
 from tokenfold.operators import events as E
 from tokenfold.operators import folds as J
+from tokenfold.session import keep
 
 AA = "ACDEFGHIKLMNPQRSTVWY"
 SEEDS = [42, 43, 44]
@@ -73,8 +74,13 @@ def events(spark: SparkSession, d: str, dialect: str = "em5") -> DataFrame:
     return E.build_events(cells(spark, d), dialect)
 
 
-def missing(spark: SparkSession, d: str) -> DataFrame:
-    return E.missing_genes(cells(spark, d), "em")
+def kept_cells(spark: SparkSession, d: str) -> DataFrame:
+    """Cached cells for queries that read them more than once."""
+    return keep(cells(spark, d))
+
+
+def missing(spark: SparkSession, d: str, source: DataFrame | None = None) -> DataFrame:
+    return E.missing_genes(cells(spark, d) if source is None else source, "em")
 
 
 def samples(spark: SparkSession, d: str) -> DataFrame:
@@ -87,7 +93,7 @@ def folds(spark: SparkSession, d: str, seeds: Sequence[int] = (42,)) -> DataFram
     out = parts_[0]
     for p in parts_[1:]:
         out = out.unionByName(p)
-    return out
+    return keep(out)
 
 
 def labelled(spark: SparkSession, d: str) -> DataFrame:
