@@ -26,8 +26,8 @@ def hash_rank(
 ) -> DataFrame:
     """``row_number() over (partition by keys order by lead, hash_col)`` without a hot task.
 
-    ``hash_col`` is a hex digest, so its leading digits split every key, however
-    large, into evenly filled ordered buckets. Ranks inside a bucket are shifted
+    ``hash_col`` is a text whose leading characters make ordered buckets; for a hex
+    digest these split every key, however large, evenly. Ranks inside a bucket are shifted
     by the number of rows in the buckets before it. ``lead`` are optional leading
     order columns with few distinct values.
     """

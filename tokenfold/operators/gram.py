@@ -16,18 +16,21 @@ def _block_product(lo_a: int, lo_b: int, width: int):
         import numpy as np
         import pandas as pd
 
+        def dense(row, idx, val, lo, n):
+            here = (idx >= lo) & (idx < lo + width)
+            m = np.zeros((n, width))
+            m[row[here], idx[here] - lo] = val[here]
+            return m
+
         acc = np.zeros((width, width))
         for pdf in batches:
-            for start in range(0, len(pdf), 512):
-                part = pdf.iloc[start:start + 512]
-                a = np.zeros((len(part), width))
-                b = a if lo_a == lo_b else np.zeros((len(part), width))
-                for r, (idx, val) in enumerate(zip(part["idx"], part["value"])):
-                    idx, val = np.asarray(idx), np.asarray(val)
-                    for lo, m in ((lo_a, a), (lo_b, b)):
-                        here = (idx >= lo) & (idx < lo + width)
-                        m[r, idx[here] - lo] = val[here]
-                acc += a.T @ b
+            for start in range(0, len(pdf), 1024):
+                part = pdf.iloc[start:start + 1024]
+                n = len(part)
+                row = np.repeat(np.arange(n), part["idx"].map(len).to_numpy())
+                idx, val = np.concatenate(part["idx"].to_list()), np.concatenate(part["value"].to_list())
+                a = dense(row, idx, val, lo_a, n)
+                acc += a.T @ (a if lo_a == lo_b else dense(row, idx, val, lo_b, n))
         i, j = np.nonzero(np.triu(acc) if lo_a == lo_b else acc)
         yield pd.DataFrame({"i": i + lo_a, "j": j + lo_b, "s": acc[i, j]})
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -81,8 +80,7 @@ def ordinal_state(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     text = df.select(*[_q(c).cast("string").alias(c) for c in columns])
     pairs = text.unpivot([], [_q(c) for c in columns], "column", "value")
     d = pairs.filter(F.col("value").isNotNull()).distinct()
-    w = W.partitionBy("column").orderBy("value")
-    return d.withColumn("code", F.row_number().over(w) - 1)
+    return S.hash_rank(d, ["column"], "value").select("column", "value", (F.col("rank") - 1).alias("code"))
 
 
 def ordinal_encode(df: DataFrame, state: DataFrame, columns: Sequence[str], id_col: str = "sample_id") -> DataFrame:
@@ -102,9 +100,9 @@ def ordinal_wt_zero(cells: DataFrame) -> DataFrame:
     exact = cells.select("sample_id", "gene", F.coalesce("cell", F.lit("__MISSING__")).alias("value"))
     d = exact.select("gene", "value").distinct()
     d = d.unionByName(d.select("gene", F.lit("WT").alias("value")).distinct()).distinct()
-    d = d.withColumn("code", F.row_number().over(W.partitionBy("gene").orderBy("value")))
-    wt = F.max(F.when(F.col("value") == "WT", F.col("code"))).over(W.partitionBy("gene"))
-    d = d.withColumn("code", F.col("code") - wt)
+    d = S.hash_rank(d, ["gene"], "value", "code")
+    wt = d.filter("value = 'WT'").select("gene", F.col("code").alias("wt"))
+    d = d.join(wt, "gene").select("gene", "value", (F.col("code") - F.col("wt")).alias("code"))
     return exact.join(d, ["gene", "value"]).select("sample_id", "gene", "code")
 
 

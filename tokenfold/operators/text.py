@@ -53,8 +53,10 @@ def document_terms(cells: DataFrame, samples: DataFrame) -> DataFrame:
 
 def _by_document(docs: DataFrame, id_col: str) -> DataFrame:
     """Texts spread by their id, one row each: term counts, norms and joins per
-    document then need no further shuffle of the much larger exploded terms."""
-    return docs.select(F.col(id_col).alias("sample_id"), "text").repartition("sample_id")
+    document then need no further shuffle of the much larger exploded terms. The
+    number of parts is given, so that small texts are not merged before they grow."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return docs.select(F.col(id_col).alias("sample_id"), "text").repartition(parts, "sample_id")
 
 
 def word_terms(docs: DataFrame, id_col: str, n_max: int = 2) -> DataFrame:
