@@ -10,6 +10,7 @@ from tokenfold.operators import events as E
 from tokenfold.operators import genes as G
 from tokenfold.operators import hotspots as H
 from tokenfold.operators import summaries as Y
+from tokenfold.session import keep
 from tokenfold.workload import query
 from tokenfold.workload import views as W
 
@@ -106,7 +107,7 @@ def _(s, d):
 def _(s, d):
     from tokenfold.operators import patterns as P
 
-    e = W.events(s, d, "jyp")
+    e = keep(W.events(s, d, "jyp"))
     return G.profile_support(G.gene_consequence(e), P.profile_group(e, W.samples(s, d)))
 
 

@@ -9,6 +9,7 @@ from tokenfold.operators import patterns as P
 from tokenfold.operators import quality as Q
 from tokenfold.operators import summaries as Y
 from tokenfold.sources import tables as A
+from tokenfold.session import keep
 from tokenfold.workload import query
 from tokenfold.workload import views as W
 
@@ -352,7 +353,7 @@ _NOV = f"""with j as (select * from ev join folds using (sample_id)),
 
 @query("h8_novelty", "sample_id fold valid:d " + " ".join(f"train_{i}:d" for i in range(5)), _NOV)
 def _(s, d):
-    return P.novelty(W.events(s, d), W.labelled(s, d), 5)
+    return P.novelty(keep(W.events(s, d)), W.labelled(s, d), 5)
 
 
 @query("h9_pattern_summary", "matched_groups conflicting_groups matched_samples", f"""

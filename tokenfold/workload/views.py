@@ -54,31 +54,30 @@ def parts(spark: SparkSession, d: str) -> DataFrame:
     return p.select("p_partkey", "gene", F.expr(TOKEN).alias("token"))
 
 
-def raw(spark: SparkSession, d: str) -> DataFrame:
+def cells(spark: SparkSession, d: str) -> DataFrame:
+    """One text per (customer, gene).
+
+    Lines are reduced to (customer, part) on their integer keys before any text
+    is joined; a cell then holds at most its gene's vocabulary.
+    """
     line = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_tax")
     orders = table(spark, d, "orders").select("o_orderkey", "o_custkey")
-    j = line.join(parts(spark, d), line.l_partkey == F.col("p_partkey"))
-    j = j.join(orders, line.l_orderkey == orders.o_orderkey)
-    return j.select(F.col("o_custkey").alias("sample_id"), "gene", "token", "l_tax")
-
-
-def cells(spark: SparkSession, d: str) -> DataFrame:
-    """Distinct tokens first, so a cell holds at most its gene's vocabulary."""
-    one = raw(spark, d).groupBy("sample_id", "gene", "token").agg(F.min("l_tax").alias("t"))
-    c = one.groupBy("sample_id", "gene").agg(
-        F.min("t").alias("t"), F.array_join(F.array_sort(F.collect_list("token")), " ").alias("cell"))
+    one = line.join(orders, line.l_orderkey == orders.o_orderkey).groupBy("o_custkey", "l_partkey").agg(F.min("l_tax").alias("t"))
+    j = one.join(parts(spark, d), one.l_partkey == F.col("p_partkey"))
+    c = j.groupBy(F.col("o_custkey").alias("sample_id"), "gene").agg(
+        F.min("t").alias("t"), F.array_join(F.array_sort(F.collect_set("token")), " ").alias("cell"))
     return c.select("sample_id", "gene", F.when(F.col("t") > 0, F.col("cell")).alias("cell"))
 
 
-def events(spark: SparkSession, d: str, dialect: str = "em5") -> DataFrame:
-    return E.build_events(cells(spark, d), dialect)
-
-
 def kept_cells(spark: SparkSession, d: str) -> DataFrame:
     """Cached cells for queries that read them more than once."""
     return keep(cells(spark, d))
 
 
+def events(spark: SparkSession, d: str, dialect: str = "em5") -> DataFrame:
+    return E.build_events(cells(spark, d), dialect)
+
+
 def missing(spark: SparkSession, d: str, source: DataFrame | None = None) -> DataFrame:
     return E.missing_genes(cells(spark, d) if source is None else source, "em")
 
