@@ -108,6 +108,21 @@ def test_total_minus_fold_equals_refit(frame):
         assert a == b
 
 
+def test_family_signature_out_of_fold(frame):
+    rng = random.Random(9)
+    samples = frame("sample_id int, label string, fold int", *[(i, "ABCD"[i % 4], (i // 4) % 3) for i in range(96)])
+    presence = frame("sample_id int, gene string", *[(i, f"g{g}") for i in range(96) for g in range(8) if rng.random() < 0.3 + 0.3 * (g == i % 4)])
+    fam = {"x": ["A", "B"], "y": ["C", "D"]}
+    for fn in (Z.family_signature, Z.sibling_signature):
+        oof = {(r["sample_id"], r["label"]): round(r["weighted"], 9) for r in fn(presence, samples, fam, 3).collect()}
+        train, held = samples.filter("fold <> 1"), samples.filter("fold = 1")
+        labels = Z.map_labels(train, fam) if fn is Z.family_signature else train
+        sib = None if fn is Z.family_signature else {m: v for v in fam.values() for m in v}
+        w = Z.class_weights(presence.join(train, "sample_id", "left_semi"), labels, siblings=sib)
+        want = Z.signature_score(presence.join(held, "sample_id", "left_semi"), w).collect()
+        assert want and all(oof[(r["sample_id"], r["label"])] == round(r["weighted"], 9) for r in want)
+
+
 def test_pair_mass_is_kept(frame):
     base = frame("sample_id int, p array<double>, right double", (0, [0.6, 0.3, 0.1], 0.7), (1, [0.1, 0.2, 0.7], 0.4))
     out = P.pair_redistribute(base, {(0, 1): (F.col("right"), 0.5), (1, 2): (F.col("right"), 0.3)}).orderBy("sample_id").collect()

@@ -174,18 +174,25 @@ def map_labels(samples: DataFrame, mapping: Mapping[str, Sequence[str]]) -> Data
     return samples.withColumn("label", F.element_at(F.create_map(*pairs), F.col("label")))
 
 
-def family_signature(presence: DataFrame, samples: DataFrame, families: Mapping[str, Sequence[str]], **params) -> DataFrame:
-    """Weighted score and match rate of families with at least two labels."""
+def _scope(samples: DataFrame, k: int | None) -> tuple[list, DataFrame | None]:
+    """Training parts and scoring folds: all rows, or out of fold when k is given."""
+    return ([(FULL, FULL)], None) if k is None else (_oof_parts(k), samples)
+
+
+def family_signature(presence: DataFrame, samples: DataFrame, families: Mapping[str, Sequence[str]], k: int | None = None, **params) -> DataFrame:
+    """Weighted score and match rate of families with at least two labels; out of fold with ``k``."""
     many = [f for f, members in families.items() if len(members) >= 2]
-    w = class_weights(presence, map_labels(samples, families), **params).filter(F.col("label").isin(*many))
-    return signature_rate(signature_score(presence, w), presence)
+    parts, folds = _scope(samples, k)
+    w = class_weights(presence, map_labels(samples, families), parts=parts, **params).filter(F.col("label").isin(*many))
+    return signature_rate(signature_score(presence, w, folds), presence)
 
 
-def sibling_signature(presence: DataFrame, samples: DataFrame, families: Mapping[str, Sequence[str]], **params) -> DataFrame:
-    """Signatures whose negatives are only the other labels of the same family."""
+def sibling_signature(presence: DataFrame, samples: DataFrame, families: Mapping[str, Sequence[str]], k: int | None = None, **params) -> DataFrame:
+    """Signatures whose negatives are only the other labels of the same family; out of fold with ``k``."""
     siblings = {m: members for members in families.values() if len(members) >= 2 for m in members}
-    w = class_weights(presence, samples, siblings=siblings, **params)
-    return signature_rate(signature_score(presence, w), presence)
+    parts, folds = _scope(samples, k)
+    w = class_weights(presence, samples, parts=parts, siblings=siblings, **params)
+    return signature_rate(signature_score(presence, w, folds), presence)
 
 
 def pair_contrast(scores: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:

@@ -2,7 +2,8 @@
 
 Every pipeline is a configuration of the operators. ``build`` returns long
 features (sample_id, feature, value) where label statistics of a sample come
-from the folds it is not in.
+from the folds it is not in. Which genes, tokens or features a block keeps is
+learnt on the rows given, so pass training rows only.
 """
 
 from __future__ import annotations
@@ -139,8 +140,8 @@ BLOCKS: dict[str, Callable[[Inputs], DataFrame]] = {
     "signature": _signature,
     "signature_rate_odds": lambda x: _signature(x, variant="rate"),
     "dual_signature": _dual,
-    "family_signature": lambda x: _by_label(Z.family_signature(x.presence, x.folds, x.families)),
-    "sibling_signature": lambda x: _by_label(Z.sibling_signature(x.presence, x.folds, x.families)),
+    "family_signature": lambda x: _by_label(Z.family_signature(x.presence, x.folds, x.families, x.k)),
+    "sibling_signature": lambda x: _by_label(Z.sibling_signature(x.presence, x.folds, x.families, x.k)),
     "similarity": lambda x: _by_label(Z.signature_similarity(x.presence, x.folds, k=x.k).select("sample_id", "label", "weighted", "similarity")),
     "pair_contrast": lambda x: _wide_pairs(Z.pair_contrast(Z.oof_signature(x.presence, x.folds, x.k), list(x.pairs))),
     "f5": lambda x: _by_label(Z.f5_oof(x.presence, x.missing, x.folds, x.k)),
