@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenfold.llm import mixing, packing, pivots, repeats, sharding, simhash, topk, url_rules
+from tokenfold.llm import mixing, packing, pivots, quality, repeats, sharding, simhash, topk, toxicity, url_rules
 from tokenfold.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,11 +63,30 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') verdict,
 FROM utok LEFT JOIN fit USING (host, path)"""
 
 
+@query
+def op3_byte_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    network = quality.train(docs, labels, ~quality.held_out(F.col("doc_id"), 4, 2))
+    return _judged(quality.scored(docs.select("doc_id", "text"), network), 4, 2)
+
+
+def _judged(scored: DataFrame, parts: int, part: int) -> DataFrame:
+    predicted = F.when(F.col("score") >= 0.7, 1).otherwise(0)
+    return scored.select("doc_id", quality.held_out(F.col("doc_id"), parts, part).alias("held_out"), "score", predicted.alias("predicted"))
+
+
 @query
 def op4_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 24)
 
 
+@query
+def op5_lexicon_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    lexicon = toxicity.train(docs, labels, ~quality.held_out(F.col("doc_id"), 3, 1))
+    return _judged(toxicity.scored(docs.select("doc_id", "text"), lexicon), 3, 1)
+
+
 @query
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
