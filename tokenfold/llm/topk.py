@@ -85,7 +85,7 @@ def top_products(vectors: DataFrame, is_query: Column, k: int = K, scale: int =
 
     Defined cases: a vector that is null, empty or holds a null or a non-finite
     number takes no part, as query or candidate; a shorter vector counts as
-    filled up with zeros; equal query rows give one list; rows with a null id take no
+    filled up with zeros; scores must fit a long; equal query rows give one list; rows with a null id take no
     part, as neither tie nor own row can be told; an empty table gives no rows.
     """
     spark = vectors.sparkSession

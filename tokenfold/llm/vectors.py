@@ -25,7 +25,7 @@ def matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
         column = column.combine_chunks()
     values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     sizes = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-    if (sizes == dim).all():
+    if dim and (sizes == dim).all():
         return values.reshape(-1, dim)
     out = np.zeros((len(sizes), dim))
     row = np.repeat(np.arange(len(sizes)), sizes)
