@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from tokenfold.functions import probs as PR
 from tokenfold.functions import stats as S
 from tokenfold.operators import folds as J
+from tokenfold.operators import genes as G
+from tokenfold.operators import latent as L
 from tokenfold.operators import metrics as M
 from tokenfold.operators import proba as P
 from tokenfold.operators import search as X
@@ -75,7 +77,10 @@ def test_gram_blocks_agree(spark):
         x[s, i] = v
     want = {(i, j): (x.T @ x)[i, j] for i in range(10) for j in range(i, 10) if (x.T @ x)[i, j]}
     for block in (10, 4):
-        assert {(r["i"], r["j"]): r["s"] for r in gram(df, 10, block).collect()} == want
+        for per_task in (7, 1000):
+            assert {(r["i"], r["j"]): r["s"] for r in gram(df, block=block, samples_per_task=per_task).collect()} == want
+    halves = gram(df.withColumn("fold", F.col("sample_id") % 2), ["fold"], 4).groupBy("i", "j").agg(F.sum("s").alias("s")).collect()
+    assert {(r["i"], r["j"]): r["s"] for r in halves} == want
 
 
 def test_folds_strata(frame):
@@ -316,3 +321,67 @@ def test_svd_recovers_singular_values(spark):
     assert np.allclose(s, np.linalg.svd(x, compute_uv=False)[:3])
     z = {(r["sample_id"], r["feature"]): r["value"] for r in L.svd_apply(df, L.svd_state(df, 3)).collect()}
     assert math.isclose(math.sqrt(sum(v * v for (_, f), v in z.items() if f == "svd_0")), s[0], rel_tol=1e-9)
+
+
+def test_digest_tells_nulls_apart(frame):
+    from tokenfold.sources import tables as A
+
+    schema = "a int, b string, c int"
+    one, two = frame(schema, (1, "x", None), (2, None, 3)), frame(schema, (1, None, 3), (2, "x", None))
+    three = frame(schema, (2, None, 3), (1, "x", None))
+    digest = [A.table_fingerprint(t, ["a", "b", "c"]).first()["fingerprint"] for t in (one, two, three)]
+    assert digest[0] != digest[1] and digest[0] == digest[2]
+    shifted = [A.table_fingerprint(frame("a string, b string", r), ["a", "b"]).first()["fingerprint"] for r in (("1", "23"), ("12", "3"), ("n", None), (None, "n"))]
+    assert len(set(shifted)) == 4
+
+
+def test_range_rank_is_a_row_number(spark):
+    df = spark.createDataFrame([(f"k{i % 3}", f"https://same/{i * 7919 % 1000:04d}") for i in range(1000)], "k string, v string").repartition(4)
+    got = S.range_rank(df, F.asc("v"), keys=["k"]).collect()
+    for k in ("k0", "k1", "k2"):
+        assert [r["rank"] for r in sorted((r for r in got if r["k"] == k), key=lambda r: r["v"])] == list(range(1, sum(r["k"] == k for r in got) + 1))
+
+
+def test_greedy_drop_settles_a_long_chain(spark):
+    df = spark.createDataFrame([(i, i + 1) for i in range(1, 24)], "i int, j int")
+    assert {r["v"] for r in V.greedy_drop(df).collect()} == set(range(2, 25, 2))
+
+
+def test_modules_separate_disjoint_communities(spark):
+    rows = [(s, f"g{g}", 1.0) for s in range(30) for g in range(12) if (s < 15) == (g < 6) and (s + g) % 3]
+    df = spark.createDataFrame(rows, "sample_id long, feature string, value double")
+    state = L.nmf_state(df, 2, iterations=8)
+    seen: dict = {}
+    for r in L.nmf_apply(df.unionByName(df.filter("sample_id = 0").withColumn("sample_id", F.lit(99).cast("long"))), state).collect():
+        seen.setdefault(r["sample_id"], {})[r["module"]] = r["value"]
+    side = {s: max(w, key=w.get) for s, w in seen.items()}
+    assert len({side[s] for s in range(15)}) == 1 == len({side[s] for s in range(15, 30)}) and side[0] != side[20] and side[99] == side[0]
+    assert all(min(w.values()) < 1e-6 * max(w.values()) for w in seen.values())
+
+
+def test_sparse_vectors(spark):
+    f = spark.createDataFrame([(1, "a", 2.0), (1, "b", 1.0), (2, "c", 3.0)], "sample_id long, feature string, value double")
+    index = G.feature_index(f)
+    at = {r["feature"]: r["idx"] for r in index.collect()}
+    got = {r["sample_id"]: r["features"] for r in G.to_vectors(f, index, 3, spark.range(1, 4).withColumnRenamed("id", "sample_id")).collect()}
+    assert got[1].toArray()[at["a"]] == 2.0 and got[2].numNonzeros() == 1 and got[3].numNonzeros() == 0
+
+
+def test_transform_never_sees_labels_of_new_samples(spark):
+    from tokenfold.plans import registry as R
+
+    rng = random.Random(4)
+    cells = spark.createDataFrame([(s, f"g{g}", rng.choice(["A12V", "R7*", "Q4fs", "A1A", "A12V R9C", None])) for s in range(80) for g in range(12) if rng.random() < 0.4],
+                                  "sample_id long, gene string, cell string")
+    samples = spark.createDataFrame([(s, "ABC"[s % 3], s // 3 % 4) for s in range(80)], "sample_id long, label string, fold int")
+    train, new = samples.filter("fold < 3"), samples.filter("fold = 3")
+    of = lambda part: cells.join(part.select("sample_id"), "sample_id", "left_semi")
+    for name in ("em_E14", "em_F20", "jyp_f5", "jyp_f7"):
+        x = R.Inputs(of(train), train, 3, (("A", "B"),), {"f": ["A", "B"], "g": ["C"]})
+        fitted = R.fit(name, x)
+        wrong = new.withColumn("label", F.lit("A"))
+        one, two = (sorted(map(tuple, fitted.transform(R.Inputs.unseen(of(s), s, x)).collect())) for s in (new.select("sample_id"), wrong))
+        assert one == two and one
+        names = {r["feature"] for r in fitted.transform(x).select("feature").distinct().collect()}
+        assert {f for _, f, _ in one} <= names | {f for _, f, _ in one if f.split("__")[0] in ("signature", "dual_signature", "pair_contrast", "f5", "f7", "pattern_uncertainty")}
+        x.release()

@@ -26,8 +26,8 @@ def hash_rank(
 ) -> DataFrame:
     """``row_number() over (partition by keys order by lead, hash_col)`` without a hot task.
 
-    ``hash_col`` is a text whose leading characters make ordered buckets; for a hex
-    digest these split every key, however large, evenly. Ranks inside a bucket are shifted
+    ``hash_col`` is a hex digest whose leading characters make ordered buckets that
+    split every key, however large, evenly. Ranks inside a bucket are shifted
     by the number of rows in the buckets before it. ``lead`` are optional leading
     order columns with few distinct values.
     """
@@ -49,6 +49,29 @@ def hash_rank(
     )
 
 
+def range_rank(df: DataFrame, *order: Column, rank: str = "rank", keys: Sequence[str] = ()) -> DataFrame:
+    """Rank from 1 in a total order inside ``keys``, without a task that sorts all rows.
+
+    Rows are ranged by sampled split points of the whole order, sorted inside a
+    range and shifted by the sizes of the ranges before it; a key starts at its
+    first row. The ranged rows are settled first, so all passes see the same
+    ranges. Works for any values: buckets follow the data, not text prefixes.
+    """
+    from tokenfold.session import settle
+
+    by = [*[F.asc(k) for k in keys], *order]
+    part = settle(df.repartitionByRange(*by).withColumn("_part", F.spark_partition_id()))
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    shift = part.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_shift", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    inside = W.partitionBy("_part").orderBy(*by)
+    out = part.withColumn("_row", F.row_number().over(inside)).join(shift, "_part").withColumn(rank, F.col("_row") + F.col("_shift"))
+    out = out.drop("_row", "_shift", "_part")
+    if keys:
+        first = out.groupBy(*keys).agg(F.min(rank).alias("_first"))
+        out = out.join(first, list(keys)).withColumn(rank, F.col(rank) - F.col("_first") + 1).drop("_first")
+    return out.withColumn(rank, F.col(rank).cast("int"))
+
+
 def _coarse(v: Column) -> Column:
     """A monotone map of a number to at most a few thousand buckets per octave range."""
     octave = F.floor(F.log2(F.abs(v)) * 32) + 40000
@@ -100,10 +123,12 @@ def quantile_row(df: DataFrame, col: str, probs: Sequence[float]) -> Column:
 def set_digest(*parts: Column) -> list[Column]:
     """Order-free digest of a set of rows as three mergeable sums.
 
-    The md5 of each row is cut into two 60-bit numbers that are summed, so the
-    digest of a hot group is built by partial aggregation, never by collecting.
+    A part is written with its length, a null as ``n``, so different rows have
+    different texts. The md5 of each row is cut into two 60-bit numbers that are
+    summed: a hot group is digested by partial aggregation, never by collecting.
     """
-    text = F.md5(F.concat_ws("\u001f", *[p.cast("string") for p in parts]))
+    mark = lambda p: F.coalesce(F.concat(F.length(p).cast("string"), F.lit(":"), p), F.lit("n"))
+    text = F.md5(F.concat(*[mark(p.cast("string")) for p in parts]))
     half = [F.conv(F.substring(text, s, 15), 16, 10).cast("decimal(38,0)") for s in (1, 17)]
     return [F.count("*").alias("_c"), F.sum(half[0]).alias("_s1"), F.sum(half[1]).alias("_s2")]
 

@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tokenfold.functions import cells as C
 from tokenfold.functions import stats as S
@@ -204,35 +205,29 @@ def assemble(blocks: Mapping[str, DataFrame]) -> DataFrame:
 
 
 def feature_index(features: DataFrame) -> DataFrame:
-    """Dense alphabetical index of the feature names (a vocabulary-sized table)."""
+    """Dense index of the feature names in the order of their hashes (a vocabulary-sized table)."""
     named = features.select("feature").distinct().withColumn("h", F.md5("feature"))
     return S.hash_rank(named, [], "h").select("feature", (F.col("rank") - 1).cast("int").alias("idx"))
 
 
-def to_vectors(features: DataFrame, index: DataFrame, size: int) -> DataFrame:
-    """One sparse ML vector per sample; a row holds at most one entry per feature."""
-    from pyspark.ml.functions import array_to_vector  # noqa: F401  (dense form lives there)
-    from pyspark.ml.linalg import Vectors, VectorUDT
-    import pandas as pd
+def to_vectors(features: DataFrame, index: DataFrame, size: int, samples: DataFrame | None = None) -> DataFrame:
+    """One sparse ML vector per sample; a row holds at most one entry per feature.
 
-    @F.pandas_udf("array<double>")
-    def densify(idx: pd.Series, val: pd.Series) -> pd.Series:
-        import numpy as np
-
-        def one(i, v):
-            x = np.zeros(size)
-            x[list(i)] = list(v)
-            return x
+    A sparse vector is stored as a struct of kind, size, indices and values. The
+    JVM builds it from the sorted entries; Arrow batches pass through unread, only
+    to give the column its vector type. With ``samples`` each of them has a row.
+    """
+    from pyspark.ml.linalg import VectorUDT
 
-        return pd.Series([one(i, v) for i, v in zip(idx, val)])
+    rows = features.join(index, "feature").groupBy("sample_id").agg(F.sort_array(F.collect_list(F.struct("idx", "value"))).alias("e"))
+    if samples is not None:
+        rows = samples.select("sample_id").join(rows, "sample_id", "left")
+        rows = rows.withColumn("e", F.coalesce("e", F.array().cast(rows.schema["e"].dataType)))
+    shape = F.struct(F.lit(0).cast("byte").alias("type"), F.lit(size).alias("size"), F.col("e.idx").alias("indices"), F.col("e.value").alias("values"))
+    as_rows = rows.select("sample_id", shape.alias("features"))
+    schema = T.StructType([as_rows.schema["sample_id"], T.StructField("features", VectorUDT())])
 
-    @F.udf(VectorUDT())
-    def sparse(entries):
-        return Vectors.sparse(size, [(int(e[0]), float(e[1])) for e in entries])
+    def passed(batches):
+        yield from batches
 
-    rows = features.join(index, "feature").groupBy("sample_id")
-    if size <= 2000:
-        g = rows.agg(F.collect_list(F.struct("idx", "value")).alias("e"))
-        return g.select("sample_id", array_to_vector(densify(F.col("e.idx"), F.col("e.value"))).alias("features"))
-    g = rows.agg(F.sort_array(F.collect_list(F.struct("idx", "value"))).alias("e"))
-    return g.select("sample_id", sparse("e").alias("features"))
+    return as_rows.mapInArrow(passed, schema)

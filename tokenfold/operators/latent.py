@@ -1,9 +1,8 @@
-"""Latent factors of long feature tables (MLlib at the core)."""
+"""Latent factors of long feature tables."""
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tokenfold.functions import stats as S
@@ -11,56 +10,106 @@ from tokenfold.operators import genes as G
 from tokenfold.operators import hotspots as H
 from tokenfold.operators import summaries as Y
 from tokenfold.operators import text as T
-from tokenfold.operators.gram import gram
-from tokenfold.session import settle
+from tokenfold.session import keep, settle
 
+TINY = 1e-12
 
-GRAM_LIMIT = 2048  # features whose product matrix one task and the driver may hold
 
+def _noise(name: str, width: int, seed: int) -> Column:
+    """``width`` numbers in (0, 1) that a row's ``name`` and the seed decide."""
+    return F.array(*[(F.pmod(F.xxhash64(F.lit(seed), F.lit(i), F.col(name)), F.lit(1 << 30)) + 0.5) / float(1 << 30) for i in range(width)])
 
-def _svd_small(x: DataFrame, size: int, k: int):
-    """One pass: features-by-features product matrix, then its eigenvectors."""
+
+def _dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+
+def _times(row: Column, matrix) -> Column:
+    """A row array times a small matrix."""
+    columns = F.array(*[F.array(*[F.lit(float(v)) for v in column]) for column in matrix.T])
+    return F.transform(columns, lambda column: _dot(row, column))
+
+
+def _row_product(entries: Column, width: int) -> Column:
+    """Sum of value * v over a row's entries (value, v)."""
+    zero = F.array(*[F.lit(0.0)] * width)
+    return F.aggregate(entries, zero, lambda s, x: F.zip_with(s, x["v"], lambda a, b: a + x["value"] * b))
+
+
+def _inner(df: DataFrame, name: str, width: int):
+    """Sum of outer products of a column of arrays: a width x width matrix on the driver."""
     import numpy as np
 
-    a = np.zeros((size, size))
-    for r in gram(x, size, size).toLocalIterator():
-        a[r["i"], r["j"]] = a[r["j"], r["i"]] = r["s"]
-    values, vectors = np.linalg.eigh(a)
-    top = np.argsort(values)[::-1][:k]
-    return vectors[:, top], np.sqrt(np.maximum(values[top], 0.0))
+    v = F.col(name)
+    row = df.agg(*[F.sum(v[i] * v[j]).alias(f"m{i}_{j}") for i in range(width) for j in range(i, width)]).first()
+    m = np.zeros((width, width))
+    for i in range(width):
+        for j in range(i, width):
+            m[i, j] = m[j, i] = row[f"m{i}_{j}"] or 0.0
+    return m
+
 
+def _back(rows: DataFrame, entries: str, name: str, width: int) -> DataFrame:
+    """Transposed product: (feature, z array) = sum over rows of value * the row's array ``name``."""
+    spread = rows.select(F.explode(entries).alias("x"), name)
+    sums = spread.groupBy(F.col("x.feature").alias("feature")).agg(*[F.sum(F.col("x.value") * F.col(name)[i]).alias(f"z{i}") for i in range(width)])
+    return sums.select("feature", F.array(*[F.col(f"z{i}") for i in range(width)]).alias("z"))
 
-def _svd_large(x: DataFrame, size: int, k: int):
-    """Iterative distributed solver; it multiplies by the cached rows once per step."""
-    from pyspark.mllib.linalg import Vectors
-    from pyspark.mllib.linalg.distributed import RowMatrix
 
-    entries = F.sort_array(F.collect_list(F.struct("idx", "value")))
-    rows = x.groupBy("sample_id").agg(entries.alias("e")).select("e")
-    vec = rows.rdd.map(lambda r: Vectors.sparse(size, [c["idx"] for c in r["e"]], [c["value"] for c in r["e"]]))
-    vec = vec.persist(StorageLevel.MEMORY_AND_DISK)
-    res = RowMatrix(vec, 0, size).computeSVD(k, computeU=False)
-    v, s = res.V.toArray(), res.s.toArray()
-    vec.unpersist()
-    return v, s
+def _with_state(features: DataFrame, state: DataFrame) -> DataFrame:
+    """(sample_id, e): the entries (feature, value, v) of every sample."""
+    return features.join(state, "feature").groupBy("sample_id").agg(F.collect_list(F.struct("feature", "value", "v")).alias("e"))
 
 
-def svd_state(features: DataFrame, k: int) -> DataFrame:
+def svd_state(features: DataFrame, k: int, extra: int = 8, rounds: int = 12, tolerance: float = 1e-4, seed: int = 42) -> DataFrame:
     """(feature, v array, s array): right singular vectors and singular values.
 
-    Signs are fixed so that the largest entry of each vector is positive.
+    Block power iteration on the rows: a round multiplies the sparse rows with
+    the block and back, features stay a table and only the block's inner
+    products (k + extra squared) come to the driver, where they give the next
+    orthonormal basis. Rounds end when no singular value moves by more than
+    ``tolerance`` of the largest, or after ``rounds``. Signs are fixed so that the
+    largest entry of each vector is positive.
     """
     import numpy as np
 
-    index = settle(G.feature_index(features))
-    size = index.count()
-    x = features.join(index, "feature").select("sample_id", "idx", F.col("value").cast("double").alias("value"))
-    solve = _svd_small if size <= GRAM_LIMIT else _svd_large
-    v, s = solve(x, size, min(k, size))
-    v = v * np.sign(v[np.abs(v).argmax(axis=0), range(v.shape[1])])
-    table = features.sparkSession.createDataFrame(
-        [(i, [float(c) for c in row], [float(c) for c in s]) for i, row in enumerate(v)], "idx int, v array<double>, s array<double>")
-    return index.join(table, "idx").select("feature", "v", "s")
+    x = keep(features.select("sample_id", "feature", F.col("value").cast("double").alias("value")))
+    names = x.select("feature").distinct()
+    width = min(k + extra, names.count())
+    v = settle(names.select("feature", F.transform(_noise("feature", width, seed), lambda a: a - 0.5).alias("v")))
+    last = None
+    for _ in range(rounds):
+        values, basis = np.linalg.eigh(_inner(v, "v", width))
+        ok = values > TINY * max(values[-1], TINY)
+        v = v.select("feature", _times(F.col("v"), basis[:, ok] / np.sqrt(values[ok])).alias("v"))  # orthonormal columns
+        width = int(ok.sum())
+        rows = _with_state(x, v).select("e", _row_product(F.col("e"), width).alias("y"))
+        rows = keep(rows)
+        ritz, turn = np.linalg.eigh(_inner(rows, "y", width))
+        turned = v.select("feature", _times(F.col("v"), turn[:, ::-1]).alias("v"))
+        s = np.sqrt(np.maximum(ritz[::-1], 0.0))
+        done = last is not None and len(last) == len(s) and np.abs(s - last)[:k].max(initial=0.0) <= tolerance * max(s[0], TINY)
+        v = settle(turned if done else _back(rows, "e", "y", width).select("feature", F.col("z").alias("v")))
+        rows.unpersist()
+        last = s
+        if done:
+            break
+    else:
+        v = settle(v.select("feature", _times(F.col("v"), _orthonormal(_inner(v, "v", width))).alias("v")))
+    x.unpersist()
+    take = min(k, width)
+    v = v.select("feature", F.slice("v", 1, take).alias("v"))
+    signs = v.agg(*[F.max_by(F.signum(F.col("v")[i]), F.struct(F.abs(F.col("v")[i]), F.col("feature"))).alias(f"s{i}") for i in range(take)]).first()
+    flip = F.array(*[F.lit(float(signs[i]) or 1.0) for i in range(take)])
+    return v.select("feature", F.zip_with("v", flip, lambda a, b: a * b).alias("v"), F.array(*[F.lit(float(z)) for z in last[:take]]).alias("s"))
+
+
+def _orthonormal(inner):
+    """Matrix that turns columns with the given inner products into orthonormal ones, largest first."""
+    import numpy as np
+
+    values, basis = np.linalg.eigh(inner)
+    return basis[:, ::-1] / np.sqrt(np.maximum(values[::-1], TINY))
 
 
 def svd_apply(features: DataFrame, state: DataFrame) -> DataFrame:
@@ -92,17 +141,53 @@ def compress(token_features: DataFrame, f1: DataFrame, folds: DataFrame, held: i
     return svd_apply(t, state).unionByName(S.unpivot(scaled, ["sample_id"]).select("sample_id", "feature", "value"))
 
 
-def nmf(features: DataFrame, k: int, seed: int = 42, iterations: int = 10) -> DataFrame:
-    """Non-negative modules (sample_id, module, value) by non-negative ALS."""
-    from pyspark.ml.recommendation import ALS
+def _multiplied(w: Column, target: Column, gram_rows: Column) -> Column:
+    """One multiplicative update of a row of factors: w * target / (w times the inner products)."""
+    scale = F.transform(gram_rows, lambda g: _dot(w, g) + TINY)
+    return F.zip_with(F.zip_with(w, target, lambda a, b: a * b), scale, lambda a, b: a / b)
+
+
+def _nonnegative_rows(target: Column, inner, steps: int) -> Column:
+    """Row factors for fixed modules: ``steps`` multiplicative updates inside the row, from all ones."""
+    rows = F.array(*[F.array(*[F.lit(float(v)) for v in r]) for r in inner])
+    start = F.transform(target, lambda _: F.lit(1.0))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, lambda w, _: _multiplied(w, target, rows))
 
-    index = settle(G.feature_index(features))
-    ids = features.select("sample_id").distinct().withColumn("h", F.md5(F.col("sample_id").cast("string")))
-    ids = settle(S.hash_rank(ids, [], "h").select("sample_id", F.col("rank").cast("int").alias("row")))
-    x = features.join(index, "feature").join(ids, "sample_id").select("row", "idx", F.col("value").cast("float").alias("value"))
-    als = ALS(rank=k, maxIter=iterations, nonnegative=True, userCol="row", itemCol="idx", ratingCol="value", seed=seed, regParam=0.1)
-    w = als.fit(x).userFactors.join(ids, F.col("id") == F.col("row"))
-    return w.select("sample_id", F.posexplode("features").alias("module", "value"))
+
+def nmf_state(features: DataFrame, k: int, seed: int = 42, iterations: int = 15, steps: int = 20) -> DataFrame:
+    """(feature, v array): non-negative modules of the whole matrix, its zeros included.
+
+    Squared error, multiplicative updates. Given the modules a sample's factors
+    follow from its own entries and the k x k inner products, so a round is one
+    pass over the rows and one sum by feature; modules stay a table.
+    """
+    x = keep(features.select("sample_id", "feature", F.col("value").cast("double").alias("value")))
+    v = settle(x.select("feature").distinct().select("feature", F.transform(_noise("feature", k, seed), lambda a: a + 0.1).alias("v")))
+    for _ in range(iterations):
+        inner = _inner(v, "v", k)
+        rows = _with_state(x, v).select("e", _nonnegative_rows(_row_product(F.col("e"), k), inner, steps).alias("w"))
+        rows = keep(rows)
+        against = F.array(*[F.array(*[F.lit(float(a)) for a in r]) for r in _inner(rows, "w", k)])
+        z = _back(rows, "e", "w", k)
+        v = settle(v.join(z, "feature").select("feature", _multiplied(F.col("v"), F.col("z"), against).alias("v")))
+        rows.unpersist()
+    x.unpersist()
+    return v
+
+
+def nmf_apply(features: DataFrame, state: DataFrame, steps: int = 60) -> DataFrame:
+    """Module weights (sample_id, module, value) of samples, seen or not, for learnt modules."""
+    first = state.select(F.size("v").alias("k")).first()
+    if first is None:
+        return features.select("sample_id", F.lit(0).alias("module"), F.lit(0.0).alias("value")).limit(0)
+    rows = _with_state(features.select("sample_id", "feature", F.col("value").cast("double").alias("value")), state)
+    w = rows.select("sample_id", _nonnegative_rows(_row_product(F.col("e"), first["k"]), _inner(state, "v", first["k"]), steps).alias("w"))
+    return w.select("sample_id", F.posexplode("w").alias("module", "value"))
+
+
+def nmf(features: DataFrame, k: int, seed: int = 42, iterations: int = 15) -> DataFrame:
+    """Non-negative modules (sample_id, module, value) of the given samples."""
+    return nmf_apply(features, nmf_state(features, k, seed, iterations))
 
 
 def genes_burden_hotspot(events: DataFrame, samples: DataFrame, minimum: int = 5, limit: int = 384) -> DataFrame:

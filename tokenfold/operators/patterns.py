@@ -50,23 +50,35 @@ def pattern_uncertainty(keys: DataFrame) -> DataFrame:
     return by.withColumn("_c", c).select("key", *_uncertainty(F.col("ns"), F.col("_c")))
 
 
-def pattern_uncertainty_oof(keys: DataFrame, folds: DataFrame) -> DataFrame:
-    """The same without the sample's own fold; a key unseen elsewhere scores zero.
+FULL = -1  # held fold of counts over all rows
+
+
+def uncertainty_state(keys: DataFrame, folds: DataFrame) -> DataFrame:
+    """(key, fold, measures) without each fold that has the key, and over all rows (fold -1).
 
     Counts per (key, label, fold) are taken once; what a fold may see is the
     total minus its own part. A key holds at most classes x folds numbers.
     """
     c = S.total(keys, F.countDistinct("label"))
-    j = keys.join(folds.select("sample_id", "fold"), "sample_id")
-    per = j.groupBy("key", "label", "fold").agg(F.count("*").alias("n"))
+    per = keys.join(folds.select("sample_id", "fold"), "sample_id").groupBy("key", "label", "fold").agg(F.count("*").alias("n"))
     per = per.groupBy("key", "label").agg(F.sum("n").alias("tot"), F.map_from_entries(F.collect_list(F.struct("fold", "n"))).alias("held"))
     per = per.groupBy("key").agg(F.collect_list(F.struct("tot", "held")).alias("ls"))
-    own = F.explode(F.array_distinct(F.flatten(F.transform("ls", lambda s: F.map_keys(s["held"])))))
-    per = per.select("key", "ls", own.alias("fold"))
+    own = F.array_distinct(F.flatten(F.transform("ls", lambda s: F.map_keys(s["held"]))))
+    per = per.select("key", "ls", F.explode(F.concat(own, F.array(F.lit(FULL)))).alias("fold"))
     rest = F.filter(F.transform("ls", lambda s: s["tot"] - F.coalesce(F.element_at(s["held"], F.col("fold")), F.lit(0))), lambda n: n > 0)
     seen = per.select("key", "fold", rest.alias("ns")).filter(F.size("ns") > 0).withColumn("_c", c)
-    seen = seen.select("key", "fold", *_uncertainty(F.col("ns"), F.col("_c")))
-    return j.select("sample_id", "key", "fold").join(seen, ["key", "fold"], "left").fillna(0).drop("key")
+    return seen.select("key", "fold", *_uncertainty(F.col("ns"), F.col("_c")))
+
+
+def uncertainty_score(keys: DataFrame, samples: DataFrame, state: DataFrame) -> DataFrame:
+    """(sample_id, fold, measures) of samples with a fold (-1: not among the learnt rows); unseen keys score zero."""
+    j = keys.select("sample_id", "key").join(samples.select("sample_id", "fold"), "sample_id")
+    return j.join(state, ["key", "fold"], "left").fillna(0).drop("key")
+
+
+def pattern_uncertainty_oof(keys: DataFrame, folds: DataFrame) -> DataFrame:
+    """Label uncertainty of each sample's key without the sample's own fold; a key unseen elsewhere scores zero."""
+    return uncertainty_score(keys, folds, uncertainty_state(keys, folds))
 
 
 def pattern_posterior(keys: DataFrame, alpha: float = 1.0, minimum: int = 2) -> DataFrame:

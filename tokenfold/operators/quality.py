@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tokenfold.functions import stats as S
+from tokenfold.session import keep
 
 
 def _q(c: str) -> Column:
@@ -80,7 +81,7 @@ def ordinal_state(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     text = df.select(*[_q(c).cast("string").alias(c) for c in columns])
     pairs = text.unpivot([], [_q(c) for c in columns], "column", "value")
     d = pairs.filter(F.col("value").isNotNull()).distinct()
-    return S.hash_rank(d, ["column"], "value").select("column", "value", (F.col("rank") - 1).alias("code"))
+    return S.range_rank(d, F.asc("value"), keys=["column"]).select("column", "value", (F.col("rank") - 1).alias("code"))
 
 
 def ordinal_encode(df: DataFrame, state: DataFrame, columns: Sequence[str], id_col: str = "sample_id") -> DataFrame:
@@ -100,7 +101,7 @@ def ordinal_wt_zero(cells: DataFrame) -> DataFrame:
     exact = cells.select("sample_id", "gene", F.coalesce("cell", F.lit("__MISSING__")).alias("value"))
     d = exact.select("gene", "value").distinct()
     d = d.unionByName(d.select("gene", F.lit("WT").alias("value")).distinct()).distinct()
-    d = S.hash_rank(d, ["gene"], "value", "code")
+    d = S.range_rank(d, F.asc("value"), rank="code", keys=["gene"])
     wt = d.filter("value = 'WT'").select("gene", F.col("code").alias("wt"))
     d = d.join(wt, "gene").select("gene", "value", (F.col("code") - F.col("wt")).alias("code"))
     return exact.join(d, ["gene", "value"]).select("sample_id", "gene", "code")
@@ -118,19 +119,9 @@ def _psi_edges(q: Column) -> Column:
     )
 
 
-def grouped_psi(rows: DataFrame, keys: Sequence[str], col: str, is_ref: str, bins: int = 10) -> DataFrame:
-    """Population stability index per key between reference rows and the others.
-
-    ``rows`` has the key columns, a value and a boolean ``is_ref``. The edges are
-    the reference quantiles; both sides share one pass of (key, bin) counts.
-    """
-    keys = list(keys)
-    q = S.quantiles(rows.filter(is_ref), keys, col, [i / bins for i in range(bins + 1)])
-    edges = q.select(*keys, _psi_edges(F.array(*[F.col(f"q{i}") for i in range(bins + 1)])).alias("_e"))
-    d = rows.join(edges, keys)
-    d = d.withColumn("_bin", F.size(F.filter("_e", lambda e: e <= F.col(col)))).withColumn("_nb", F.size("_e") + 1)
-    c = d.groupBy(*keys, "_nb", "_bin").agg(F.count_if(F.col(is_ref)).alias("r"), F.count_if(~F.col(is_ref)).alias("v"))
-    c = c.groupBy(*keys, "_nb").agg(
+def _psi(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Index per key from (keys, _nb, _bin, r, v): reference and compared rows of a bin."""
+    c = counts.groupBy(*keys, "_nb").agg(
         F.sum("r").alias("_r"), F.sum("v").alias("_v"), F.map_from_entries(F.collect_list(F.struct("_bin", F.struct("r", "v")))).alias("_m"))
     eps = 1e-6
     share = lambda n, t: (n + eps) / (t + eps * F.col("_nb"))
@@ -145,16 +136,42 @@ def grouped_psi(rows: DataFrame, keys: Sequence[str], col: str, is_ref: str, bin
     return c.select(*keys, F.aggregate(terms, F.lit(0.0), lambda a, x: a + x).alias("psi"))
 
 
+def _bin(edges: Column, value: str) -> Column:
+    return F.size(F.filter(edges, lambda e: e <= F.col(value)))
+
+
+def _probs(bins: int) -> list[float]:
+    return [i / bins for i in range(bins + 1)]
+
+
 def psi(ref: DataFrame, cmp: DataFrame, col: str, bins: int = 10) -> DataFrame:
-    both = ref.select(F.lit("all").alias("_k"), F.col(col).cast("double").alias("x"), F.lit(True).alias("is_ref")).unionByName(
-        cmp.select(F.lit("all").alias("_k"), F.col(col).cast("double").alias("x"), F.lit(False).alias("is_ref")))
-    return grouped_psi(both, ["_k"], "x", "is_ref", bins).select("psi")
+    """Population stability index of one column between reference rows and others.
+
+    The edges are the reference quantiles, a scalar; values are counted by bin in
+    the tasks that read them, so no row meets a join.
+    """
+    side = lambda df, r: df.select(F.col(col).cast("double").alias("x"), F.lit(r).alias("r"), F.lit(1 - r).alias("v"))
+    edges = _psi_edges(S.quantile_row(ref, col, _probs(bins)))
+    d = side(ref, 1).unionByName(side(cmp, 0)).filter(F.col("x").isNotNull())
+    d = d.withColumn("_e", edges).select((F.size("_e") + 1).alias("_nb"), _bin(F.col("_e"), "x").alias("_bin"), "r", "v")
+    return _psi(d.groupBy("_nb", "_bin").agg(F.sum("r").alias("r"), F.sum("v").alias("v")), []).select("psi")
 
 
 def fold_psi(features: DataFrame, folds: DataFrame, k: int, bins: int = 10) -> DataFrame:
-    """PSI of every feature between the training and the validation part of each fold."""
+    """PSI of every feature between the training and the validation part of each fold.
+
+    Rows are counted once by (feature, value, fold); the reference of a fold is
+    the total minus that fold, so only distinct values meet the k parts.
+    """
     j = features.join(folds.select("sample_id", F.col("fold").alias("_f")), "sample_id")
-    fold = F.explode(F.array(*[F.lit(i) for i in range(k)]))
-    d = j.select("feature", F.col("value").cast("double").alias("x"), "_f", fold.alias("fold"))
-    d = d.select("fold", "feature", "x", (F.col("_f") != F.col("fold")).alias("is_ref"))
-    return grouped_psi(d, ["fold", "feature"], "x", "is_ref", bins)
+    c = j.groupBy("feature", F.col("value").cast("double").alias("x"), "_f").agg(F.count("*").alias("n")).filter("x is not null")
+    held = F.map_from_entries(F.collect_list(F.struct("_f", "n")))
+    c = c.groupBy("feature", "x").agg(F.sum("n").alias("t"), held.alias("h"))
+    c = c.select("feature", "x", "t", "h", F.explode(F.array(*[F.lit(i) for i in range(k)])).alias("fold"))
+    own = F.coalesce(F.element_at("h", F.col("fold")), F.lit(0))
+    c = keep(c.select("fold", "feature", "x", (F.col("t") - own).alias("r"), own.alias("v")))
+    keys = ["fold", "feature"]
+    q = S.quantiles(c.filter("r > 0"), keys, "x", _probs(bins), weight="r")
+    edges = q.select(*keys, _psi_edges(F.array(*[F.col(f"q{i}") for i in range(bins + 1)])).alias("_e"))
+    d = c.join(edges, keys).select(*keys, (F.size("_e") + 1).alias("_nb"), _bin(F.col("_e"), "x").alias("_bin"), "r", "v")
+    return _psi(d.groupBy(*keys, "_nb", "_bin").agg(F.sum("r").alias("r"), F.sum("v").alias("v")), keys)

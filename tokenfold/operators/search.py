@@ -202,7 +202,7 @@ def _objective(counts: Mapping, n_classes: int, factors: Sequence[float], shrink
     return total / len(seen) - shrinkage * sum(math.log(f) ** 2 for f in factors) / n_classes
 
 
-def class_thresholds(proba: DataFrame, n_classes: int, candidates: Sequence[float], k: int, rounds: int = 1,
+def class_thresholds(proba: DataFrame, n_classes: int, candidates: Sequence[float], k: int, rounds: int = 2,
                      min_support: int = 1, shrinkage: float = 0.01, min_gain: float = 0.0) -> DataFrame:
     """Class factors by coordinate search, per training part and for all rows.
 
@@ -475,19 +475,9 @@ def select_mix_weight(both: DataFrame, n_classes: int, k: int, weights: Sequence
     return r.withColumn("rank", F.row_number().over(order)).select("weight", "mean_f1", "std_f1", "min_f1", "class_declines", "one_se", "floor", "eligible", "rank")
 
 
-def stride(n: int, limit: int, seed: int) -> list[int]:
-    """At most ``limit`` indices of range(n) on a stride coprime to n (a sampling operator)."""
-    if n <= limit:
-        return list(range(n))
-    start, step = seed % n, max(1, (seed * 7919) % n)
-    while math.gcd(step, n) != 1:
-        step = step % n + 1
-    return [(start + i * step) % n for i in range(limit)]
-
-
 def select_gate(base: DataFrame, experts: DataFrame, n_classes: int, pairs: Sequence[tuple[int, int]], temperatures: Sequence[float],
-                margins: Sequence[float], confidences: Sequence[float], weights: Sequence[float], expert_ids: Sequence, cap: int = 4096,
-                seed: int = 730, min_errors: int = 3, min_rescues: int = 3) -> DataFrame:
+                margins: Sequence[float], confidences: Sequence[float], weights: Sequence[float], expert_ids: Sequence,
+                min_errors: int = 3, min_rescues: int = 3) -> DataFrame:
     """Gated expert blends with positive net rescue, ranked by macro-F1.
 
     ``base`` is (sample_id, y, p), ``experts`` (sample_id, model, p). Only rows
@@ -496,9 +486,8 @@ def select_gate(base: DataFrame, experts: DataFrame, n_classes: int, pairs: Sequ
     """
     full = grid(expert=list(expert_ids), temperature=[float(t) for t in temperatures], pair=list(pairs), margin=[float(m) for m in margins],
                 confidence=[float(c) for c in confidences], weight=[float(w) for w in weights])
-    rows = [full[i] for i in stride(len(full), cap, seed)]
     rows = [{"g": r["g"], "expert": r["expert"], "temperature": r["temperature"], "source": r["pair"][0], "target": r["pair"][1],
-             "margin": r["margin"], "confidence": r["confidence"], "weight": r["weight"]} for r in rows]
+             "margin": r["margin"], "confidence": r["confidence"], "weight": r["weight"]} for r in full]
     d = keep(base.withColumn("t", P.top_two(F.col("p"))).select("sample_id", "y", "p", "t.*"))
     conf = d.groupBy("y", F.col("top1").alias("yhat")).agg(F.count("*").alias("n"))
     table = _grid_table(base, rows)

@@ -5,6 +5,7 @@ Only non-zero values are stored; every statistic accounts for the implicit zeros
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tokenfold.functions import stats as S
 from tokenfold.operators.gram import gram
-from tokenfold.session import cut_lineage, settle
+from tokenfold.session import cut_lineage, keep, settle
 
 NONE = -1
 
@@ -100,7 +101,7 @@ def anova_f(feat: DataFrame, samples: DataFrame) -> DataFrame:
     return anova_table(feat, samples).select("feature", "f", "support")
 
 
-def _fold_top(table: DataFrame, k: int, top: Column) -> DataFrame:
+def _fold_top(table: DataFrame, k: int, top: int) -> DataFrame:
     order = W.partitionBy("held").orderBy(F.desc(F.round("f", 9)), "feature")
     r = table.filter(F.col("held") != NONE).withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= top)
     return r.groupBy("feature").agg(F.count("*").alias("frequency"))
@@ -110,8 +111,7 @@ def anova_stability(feat: DataFrame, folds: DataFrame, k: int, fraction: float =
     """Full F and the share of training parts that rank the feature in the top fraction."""
     t = settle(anova_table(feat, folds, [NONE, *range(k)]))
     full = t.filter(F.col("held") == NONE)
-    top = F.greatest(F.lit(1), F.ceil(S.total(full, F.count("*")) * F.lit(fraction)))
-    hits = _fold_top(t, k, top)
+    hits = _fold_top(t, k, max(1, math.ceil(round(full.count() * fraction, 9))))
     return full.join(hits, "feature", "left").select(
         "feature", "f", "support", (F.coalesce("frequency", F.lit(0)) / k).alias("stability"))
 
@@ -123,8 +123,8 @@ def stable_anova(feat: DataFrame, folds: DataFrame, k: int, n: int, min_support:
     full = t.filter(F.col("held") == NONE).filter(
         (F.col("support") >= min_support) & (F.col("support") <= F.lit(max_prevalence) * F.col("n")) & (F.col("variance") >= min_variance))
     el = settle(full.select("feature", "f"))
-    size = S.total(el, F.count("*"))
-    pool = F.least(size, F.greatest(F.least(F.lit(n), size), F.ceil(F.least(F.lit(n), size) * F.lit(multiplier))))
+    size = el.count()
+    pool = min(size, max(min(n, size), math.ceil(min(n, size) * multiplier)))
     hits = _fold_top(t.join(el.select("feature"), "feature", "left_semi"), k, pool)
     d = el.join(hits, "feature", "left").fillna(0, ["frequency"]).withColumn("stable", (F.col("frequency") >= min(min_frequency, k)).cast("int"))
     return S.top_rows(d, n, F.desc("stable"), F.desc("frequency"), F.desc(F.round("f", 9)), F.asc("feature"))
@@ -151,8 +151,8 @@ def priority(scores: DataFrame, genes: Sequence[str] = (), missing: DataFrame |
     d = scores.withColumn("interpret", interpretability(F.col("feature"), genes))
     d = d.withColumn("missing_rate", F.lit(0.0)) if missing is None else d.join(missing, "feature", "left").fillna(0.0, ["missing_rate"])
     d = d.withColumn("len", F.length("feature"))
-    order = W.orderBy(F.desc(F.round("f", 9)), F.desc("stability"), F.desc("support"), F.desc("interpret"), "missing_rate", "len", "feature")
-    return d.withColumn("rank", F.row_number().over(order))
+    order = [F.desc(F.round("f", 9)), F.desc("stability"), F.desc("support"), F.desc("interpret"), F.asc("missing_rate"), F.asc("len"), F.asc("feature")]
+    return S.range_rank(d, *order)
 
 
 def dedupe_features(feat: DataFrame, ranks: DataFrame) -> DataFrame:
@@ -164,32 +164,41 @@ def dedupe_features(feat: DataFrame, ranks: DataFrame) -> DataFrame:
     return j.join(best.filter("n > 1"), "key").select("feature", "keep")
 
 
-def correlations(feat: DataFrame, samples: DataFrame, ranks: DataFrame, limit: int) -> DataFrame:
-    """Pearson r of all pairs of the ``limit`` best-ranked features as (i, j, r), i < j ranks.
+def correlated(feat: DataFrame, samples: DataFrame, ranks: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of ranked features with |Pearson r| >= threshold as (i, j, r), i < j ranks.
 
-    Co-sums come from blocked matrix products per task, zeros included through N.
+    Co-sums come from blocked matrix products, zeros included through N. Two
+    features that never meet have |r| = sqrt(ha hb) with h = squared sum / N over
+    the variance, so only features whose h reaches threshold^2 with the largest
+    h can form such a pair: few, unless features are dense.
     """
-    cand = ranks.filter(F.col("rank") <= limit).select("feature", (F.col("rank") - 1).cast("int").alias("idx"))
-    x = feat.join(cand, "feature").select("sample_id", "idx", F.col("value").cast("double").alias("value"))
+    cand = ranks.select("feature", (F.col("rank") - 1).cast("int").alias("idx"))
+    x = keep(feat.join(cand, "feature").select("sample_id", "idx", F.col("value").cast("double").alias("value")))
     n = S.total(samples, F.count("*"))
-    m = settle(x.groupBy("idx").agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q")))
-    g = gram(x, limit).filter("i < j")
-    side = lambda c, p: m.select(F.col("idx").alias(c), F.col("s").alias(f"{p}s"), F.col("q").alias(f"{p}q"))
-    d = g.join(side("i", "a"), "i").join(side("j", "b"), "j").withColumn("n", n)
-    cov = F.col("s") - F.col("as") * F.col("bs") / F.col("n")
-    var = lambda p: F.col(f"{p}q") - F.col(f"{p}s") * F.col(f"{p}s") / F.col("n")
-    r = F.when((var("a") > 1e-9) & (var("b") > 1e-9), cov / F.sqrt(var("a") * var("b"))).otherwise(0.0)
-    return d.select((F.col("i") + 1).alias("i"), (F.col("j") + 1).alias("j"), r.alias("r"))
-
-
-def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+    m = x.groupBy("idx").agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q")).withColumn("n", n)
+    m = m.withColumn("v", F.col("q") - F.col("s") * F.col("s") / F.col("n")).filter("v > 1e-9")
+    m = settle(m.withColumn("h", F.col("s") * F.col("s") / F.col("n") / F.col("v")))
+    met = settle(gram(x).filter("i < j"))
+    x.unpersist()
+    dense = m.withColumn("_m", S.total(m, F.max("h"))).filter(F.col("h") * F.col("_m") >= threshold * threshold - 1e-6).select("idx")
+    dense = settle(S.range_rank(dense, F.asc("idx"), rank="at"))
+    last = dense.count()
+    later = dense.filter(F.col("at") < last).select(F.col("idx").alias("i"), F.explode(F.sequence(F.col("at") + 1, F.lit(last))).alias("at"))
+    apart = later.join(dense, "at").select("i", F.col("idx").alias("j")).join(met, ["i", "j"], "left_anti").withColumn("s", F.lit(0.0))
+    side = lambda c, p: m.select(F.col("idx").alias(c), F.col("s").alias(f"{p}s"), F.col("v").alias(f"{p}v"), *([F.col("n")] if p == "a" else []))
+    d = met.select("i", "j", "s").unionByName(apart).join(side("i", "a"), "i").join(side("j", "b"), "j")
+    d = d.withColumn("r", (F.col("s") - F.col("as") * F.col("bs") / F.col("n")) / F.sqrt(F.col("av") * F.col("bv")))
+    return d.filter(F.abs(F.round("r", 9)) >= threshold).select((F.col("i") + 1).alias("i"), (F.col("j") + 1).alias("j"), "r")
+
+
+def components(edges: DataFrame) -> DataFrame:
     """(node, comp): the smallest node reachable over the undirected edges (a, b).
 
     Label propagation with pointer jumping, so long chains need few rounds.
     """
     e = settle(edges.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(edges.select(F.col("b").alias("x"), F.col("a").alias("y"))).distinct())
     lab = settle(e.groupBy(F.col("x").alias("node")).agg(F.least(F.col("node"), F.min("y")).alias("comp")))
-    for _ in range(max_rounds):
+    while True:
         near = e.join(lab, e.y == lab.node).groupBy("x").agg(F.min("comp").alias("near"))
         step = lab.join(near, lab.node == near.x).select("node", F.least("comp", "near").alias("new"), F.col("comp").alias("old"))
         up = step.select(F.col("node").alias("p"), F.col("new").alias("jump"))
@@ -198,52 +207,56 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         lab = nxt.select("node", "comp")
         if not moved:
             return lab
-    raise RuntimeError("components did not converge")
 
 
-def corr_groups(feat: DataFrame, samples: DataFrame, ranks: DataFrame, threshold: float, limit: int = 1200) -> DataFrame:
+def corr_groups(feat: DataFrame, samples: DataFrame, ranks: DataFrame, threshold: float) -> DataFrame:
     """(feature, keep) of groups linked by |r| >= threshold; the best rank of a group is kept."""
-    e = correlations(feat, samples, ranks, limit).filter(F.abs(F.round("r", 9)) >= threshold)
+    e = correlated(feat, samples, ranks, threshold)
     comp = components(e.select(F.col("i").alias("a"), F.col("j").alias("b")))
     name = lambda a, b: ranks.select(F.col("rank").alias(a), F.col("feature").alias(b))
     return comp.join(name("node", "feature"), "node").join(name("comp", "keep"), "comp").select("feature", "keep")
 
 
-def greedy_drop(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
+def greedy_drop(edges: DataFrame) -> DataFrame:
     """Nodes dropped when nodes are taken in increasing order and drop their later neighbours.
 
-    A node whose earlier neighbours are all dropped is kept, its later neighbours
-    drop; independent nodes are decided in the same round.
+    A node without an earlier open neighbour is kept and its later neighbours
+    drop. A round settles all such nodes and keeps the edges between the rest,
+    so every round shrinks the table; rounds go on until it is empty.
     """
-    e = settle(edges.select("i", "j"))
-    open_ = settle(e.select(F.col("i").alias("v")).unionByName(e.select(F.col("j").alias("v"))).distinct())
-    dropped = open_.limit(0)
-    for _ in range(max_rounds):
-        live = e.join(open_.withColumnRenamed("v", "i"), "i", "left_semi").join(open_.withColumnRenamed("v", "j"), "j", "left_semi")
-        kept = open_.join(live.select(F.col("j").alias("v")), "v", "left_anti")
-        out = live.join(kept.withColumnRenamed("v", "i"), "i", "left_semi").select(F.col("j").alias("v")).distinct()
-        dropped = cut_lineage(dropped.unionByName(out))
-        open_ = cut_lineage(open_.join(kept, "v", "left_anti").join(dropped, "v", "left_anti"))
-        if open_.limit(1).count() == 0:
-            return dropped
-    raise RuntimeError("greedy pruning did not converge")
-
-
-def corr_greedy(feat: DataFrame, samples: DataFrame, ranks: DataFrame, threshold: float, limit: int = 1200) -> DataFrame:
+    e = settle(edges.select("i", "j").distinct())
+    dropped = e.select(F.col("i").alias("v")).limit(0)
+    while e.limit(1).count():
+        kept = e.select("i").distinct().join(e.select(F.col("j").alias("i")).distinct(), "i", "left_anti")
+        out = settle(e.join(kept, "i", "left_semi").select(F.col("j").alias("v")).distinct())
+        dropped = dropped.unionByName(out)
+        e = settle(e.join(out, F.col("i") == F.col("v"), "left_anti").join(out, F.col("j") == F.col("v"), "left_anti"))
+    return settle(dropped)
+
+
+def corr_greedy(feat: DataFrame, samples: DataFrame, ranks: DataFrame, threshold: float) -> DataFrame:
     """Features dropped by the greedy pass in priority order."""
-    e = correlations(feat, samples, ranks, limit).filter(F.abs(F.round("r", 9)) >= threshold)
+    e = correlated(feat, samples, ranks, threshold)
     return greedy_drop(e).join(ranks.select(F.col("rank").alias("v"), "feature"), "v").select("feature")
 
 
 def gene_corr_drop(feat: DataFrame, samples: DataFrame, order: DataFrame, threshold: float) -> DataFrame:
     """Features dropped inside their gene: |r| >= threshold with an earlier kept feature.
 
-    ``order`` is (feature, gene, rank) with a rank over all features.
+    ``order`` is (feature, gene, rank) with a rank over all features. Products
+    are taken within a (sample, gene) only, over the few features of one cell.
     """
-    size = order.agg(F.max("rank")).first()[0]
-    e = correlations(feat, samples, order, int(size)).filter(F.abs(F.round("r", 9)) >= threshold)
-    g = lambda c, n: order.select(F.col("rank").alias(c), F.col("gene").alias(n))
-    e = e.join(g("i", "ga"), "i").join(g("j", "gb"), "j").filter("ga = gb")
+    x = feat.join(order, "feature").select("sample_id", "gene", F.col("rank").alias("r"), F.col("value").cast("double").alias("v"))
+    cell = x.groupBy("sample_id", "gene").agg(F.array_sort(F.collect_list(F.struct("r", "v"))).alias("c"))
+    pairs = F.flatten(F.transform("c", lambda a: F.transform(F.filter("c", lambda b: b["r"] >= a["r"]), lambda b: F.struct(
+        a["r"].alias("i"), b["r"].alias("j"), (a["v"] * b["v"]).alias("p"), a["v"].alias("v")))))
+    n = S.total(samples, F.count("*"))
+    g = settle(cell.select(F.explode(pairs).alias("x")).groupBy("x.i", "x.j").agg(F.sum("x.p").alias("s"), F.sum("x.v").alias("t")))
+    one = lambda c, p: g.filter("i = j").select(F.col("i").alias(c), F.col("s").alias(f"{p}q"), F.col("t").alias(f"{p}s"))
+    d = g.filter("i < j").select("i", "j", "s").join(one("i", "a"), "i").join(one("j", "b"), "j").withColumn("n", n)
+    var = lambda p: F.col(f"{p}q") - F.col(f"{p}s") * F.col(f"{p}s") / F.col("n")
+    r = F.when((var("a") > 1e-9) & (var("b") > 1e-9), (F.col("s") - F.col("as") * F.col("bs") / F.col("n")) / F.sqrt(var("a") * var("b"))).otherwise(0.0)
+    e = d.filter(F.abs(F.round(r, 9)) >= threshold)
     return greedy_drop(e).join(order.select(F.col("rank").alias("v"), "feature"), "v").select("feature")
 
 
@@ -263,16 +276,11 @@ def phi_jaccard(presence: DataFrame, samples: DataFrame, phi: float, jaccard: fl
     n = S.total(samples, F.count("*"))
     sup = presence.groupBy("gene").agg(F.count("*").alias("support")).withColumn("n", n)
     sup = sup.filter((F.col("support") >= minimum) & (F.col("support") < F.col("n")))
-    sup = settle(sup.withColumn("idx", F.row_number().over(W.orderBy("gene")) - 1).select("gene", "support", "idx"))
-    size = max(1, sup.count())
+    named = sup.select("gene", "support").withColumn("h", F.md5("gene"))
+    sup = settle(S.hash_rank(named, [], "h").select("gene", "support", (F.col("rank") - 1).cast("int").alias("idx")))
     p = presence.join(sup.select("gene", "idx"), "gene")
     f = samples.select("sample_id", F.lit(0).alias("fold")) if folds is None else folds.select("sample_id", "fold")
-    p = p.join(f, "sample_id").select("sample_id", "idx", "fold", F.lit(1.0).alias("value"))
-    both = None
-    for i in range(k) if folds is not None else [0]:
-        g = gram(p.filter(F.col("fold") == i).drop("fold"), size).withColumn("fold", F.lit(i))
-        both = g if both is None else both.unionByName(g)
-    both = settle(both)
+    both = settle(gram(p.join(f, "sample_id").select("sample_id", "idx", "fold", F.lit(1.0).alias("value")), ["fold"]))
     held = F.map_from_entries(F.collect_list(F.struct("fold", "s")))
     j = both.groupBy("i", "j").agg(F.sum("s").alias("t"), held.alias("h"))
     diag = j.filter("i = j").select(F.col("i").alias("d"), F.col("t").alias("dt"), F.col("h").alias("dh"))
@@ -293,7 +301,8 @@ def phi_jaccard(presence: DataFrame, samples: DataFrame, phi: float, jaccard: fl
             passed = passed + ok(x, y).cast("int")
         out.append(passed.alias("n_folds"))
     nm = lambda c, g: sup.select(F.col("idx").alias(c), F.col("gene").alias(g))
-    return e.join(nm("i", "a"), "i").join(nm("j", "b"), "j").select("a", "b", *out)
+    named = e.join(nm("i", "_a"), "i").join(nm("j", "_b"), "j")
+    return named.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"), *out)
 
 
 def stable_edges(presence: DataFrame, folds: DataFrame, k: int, phi: float, jaccard: float, min_folds: int, minimum: int = 1) -> DataFrame:

@@ -204,23 +204,25 @@ def pair_contrast(scores: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFr
         F.sum(F.col("sign") * F.col("weighted")).alias("weighted_diff"), F.sum(F.col("sign") * F.col("matches")).alias("count_diff"))
 
 
-def signature_similarity(
+def similarity_state(
     presence: DataFrame, samples: DataFrame, top: int = 20, smoothing: float = 0.5, max_log2: float = 8.0,
-    shrinkage: float = 10.0, temperature: float = 0.2, k: int | None = None,
+    shrinkage: float = 10.0, parts: Sequence[tuple[int, int]] = ((FULL, FULL),),
 ) -> DataFrame:
+    """Class profiles (outer, gene, label, rate, w): smoothed rates, and weights of the top genes."""
+    c = class_gene_counts(presence, samples, parts)
+    rate = (F.col("a") + smoothing) / (F.col("n") + 2 * smoothing)
+    w = top_per_class(c, _rate_score(smoothing, max_log2, shrinkage), top, False).filter("w > 0")
+    return c.select("outer", "gene", "label", rate.alias("rate")).join(w.select("outer", "gene", "label", "w"), ["outer", "gene", "label"], "left")
+
+
+def similarity_score(presence: DataFrame, samples: DataFrame, state: DataFrame, temperature: float = 0.2) -> DataFrame:
     """Per (sample, label): weighted score and cosine to the class profile; per sample:
     margin of the two best cosines and normalised entropy of their softmax.
 
-    With ``k`` the samples carry a fold and are scored out of fold.
+    ``samples`` is (sample_id, outer): the part whose profiles score a sample.
     """
-    parts = [(FULL, FULL)] if k is None else _oof_parts(k)
-    c = class_gene_counts(presence, samples, parts)
-    rate = (F.col("a") + smoothing) / (F.col("n") + 2 * smoothing)
-    w = top_per_class(c, _rate_score(smoothing, max_log2, shrinkage), top, False).filter("w > 0")
-    state = c.select("outer", "gene", "label", rate.alias("rate")).join(w.select("outer", "gene", "label", "w"), ["outer", "gene", "label"], "left")
     norm = S.keyed_map(state.groupBy("outer", "label").agg(F.sqrt(F.sum(F.col("rate") ** 2)).alias("v")), F.struct("outer", "label"), F.col("v"))
-    s = samples.select("sample_id", (F.lit(FULL) if k is None else F.col("fold")).alias("outer"))
-    j = presence.join(s, "sample_id").join(state, ["outer", "gene"])
+    j = presence.join(samples.select("sample_id", "outer"), "sample_id").join(state, ["outer", "gene"])
     g = j.groupBy("sample_id", "outer", "label").agg(F.sum("w").alias("weighted"), F.sum("rate").alias("dot"), F.count("*").alias("burden"))
     cos = F.col("dot") / F.greatest(F.sqrt(F.col("burden").cast("double")) * F.element_at(F.col("_n"), F.struct("outer", "label")), F.lit(1e-12))
     g = g.withColumn("_n", norm).select("sample_id", "label", F.coalesce("weighted", F.lit(0.0)).alias("weighted"), cos.alias("similarity"))
@@ -236,6 +238,13 @@ def signature_similarity(
         "sample_id", "r.label", "r.weighted", "r.similarity", "margin", "entropy")
 
 
+def signature_similarity(presence: DataFrame, samples: DataFrame, temperature: float = 0.2, k: int | None = None, **params) -> DataFrame:
+    """Scores against the class profiles of the same rows; out of fold with ``k``."""
+    parts = [(FULL, FULL)] if k is None else _oof_parts(k)
+    outer = samples.select("sample_id", (F.lit(FULL) if k is None else F.col("fold")).alias("outer"))
+    return similarity_score(presence, outer, similarity_state(presence, samples, parts=parts, **params), temperature)
+
+
 # --- log-odds statistics with missing cells ----------------------------------
 def _logit_effects(c: DataFrame, alpha: float) -> DataFrame:
     oc = F.col("n") - F.col("xa")
@@ -438,16 +447,16 @@ def discover_pairs(pred: DataFrame, top: int, exclude: Sequence[tuple[str, str]]
 
 
 # --- co-mutation and gene selection ------------------------------------------------
-def comutation(presence: DataFrame, samples: DataFrame, pool: int = 160, minimum: int = 5, min_lift: float = 1.5, top: int = 96) -> DataFrame:
+def comutation(presence: DataFrame, samples: DataFrame, minimum: int = 5, min_lift: float = 1.5, top: int = 96) -> DataFrame:
     """Gene pairs mutated together more often than independence predicts.
 
-    Candidates are the ``pool`` most mutated genes; joint counts are a product
-    of the sample-by-gene matrix summed per task, so no pairs are emitted per row.
+    A pair seen ``minimum`` times needs two genes seen as often, which bounds the
+    candidates exactly; joint counts are a product of the sample-by-gene matrix
+    summed per task, so no pairs are emitted per row.
     """
-    sup = presence.groupBy("gene").agg(F.count("*").alias("n"))
-    genes = S.top_rows(sup, pool, F.desc("n"), F.asc("gene"))
-    idx = genes.select("gene", (F.col("rank") - 1).cast("int").alias("idx"), "n")
-    joint = gram(presence.join(idx, "gene").select("sample_id", "idx", F.lit(1.0).alias("value")), pool).filter("i < j")
+    sup = presence.groupBy("gene").agg(F.count("*").alias("n")).filter(F.col("n") >= minimum).withColumn("h", F.md5("gene"))
+    idx = settle(S.hash_rank(sup, [], "h").select("gene", (F.col("rank") - 1).cast("int").alias("idx"), "n"))
+    joint = gram(presence.join(idx, "gene").select("sample_id", "idx", F.lit(1.0).alias("value"))).filter("i < j")
     left = idx.select(F.col("idx").alias("i"), F.col("gene").alias("ga"), F.col("n").alias("na"))
     right = idx.select(F.col("idx").alias("j"), F.col("gene").alias("gb"), F.col("n").alias("nb"))
     n = S.total(samples, F.count("*"))

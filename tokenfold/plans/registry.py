@@ -1,20 +1,22 @@
-"""Registered pipelines: named lists of feature blocks learnt fold-safe.
+"""Registered pipelines: named lists of feature blocks with learnt state.
 
-Every pipeline is a configuration of the operators. ``build`` returns long
-features (sample_id, feature, value) where label statistics of a sample come
-from the folds it is not in. Which genes, tokens or features a block keeps is
-learnt on the rows given, so pass training rows only.
+``fit`` learns the tables of every block on training samples; ``transform``
+applies them to samples, seen or not, as long features (sample_id, feature,
+value). A training sample carries its fold and is scored by what was learnt
+without that fold; a new sample carries fold ``FULL`` and is scored by what was
+learnt on all training samples. Labels are read while learning only.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tokenfold.functions import stats as S
+from tokenfold.functions import vocabulary as V
 from tokenfold.operators import events as E
 from tokenfold.operators import genes as G
 from tokenfold.operators import hotspots as H
@@ -24,37 +26,83 @@ from tokenfold.operators import selection as X
 from tokenfold.operators import signatures as Z
 from tokenfold.operators import summaries as Y
 from tokenfold.operators import text as T
+from tokenfold.session import keep, settle
+
+FULL = Z.FULL
+State = dict[str, DataFrame]
 
 
 @dataclass
 class Inputs:
-    """Cells, labelled samples with folds, and the tables derived from them on demand."""
+    """Cells and samples (sample_id, fold and, for learning, label), and what is derived from them once.
+
+    Derived tables are persisted when first used; ``release`` lets them go.
+    """
 
     cells: DataFrame
-    folds: DataFrame
+    samples: DataFrame
     k: int
     pairs: tuple = ()
     families: dict = field(default_factory=dict)
-    _cache: dict = field(default_factory=dict)
+    _held: dict = field(default_factory=dict)
+
+    @classmethod
+    def unseen(cls, cells: DataFrame, samples: DataFrame, like: Inputs) -> Inputs:
+        """Samples that nothing was learnt from; only their ids are read."""
+        return cls(cells, samples.select("sample_id").withColumn("fold", F.lit(FULL)), like.k, like.pairs, like.families)
+
+    def _once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        if name not in self._held:
+            self._held[name] = keep(make())
+        return self._held[name]
 
     def events(self, dialect: str = "em5") -> DataFrame:
-        if dialect not in self._cache:
-            self._cache[dialect] = E.build_events(self.cells, dialect)
-        return self._cache[dialect]
+        return self._once(dialect, lambda: E.build_events(self._once("cells", lambda: self.cells), dialect))
 
     @property
     def presence(self) -> DataFrame:
-        return G.gene_presence(self.events())
+        return self._once("presence", lambda: G.gene_presence(self.events()))
+
+    @property
+    def functional(self) -> DataFrame:
+        return G.gene_functional(self.events())
 
     @property
     def missing(self) -> DataFrame:
-        return E.missing_genes(self.cells, "em")
+        return E.missing_genes(self._once("cells", lambda: self.cells), "em")
+
+    @property
+    def keys(self) -> DataFrame:
+        return self._once("keys", lambda: P.pattern_key(self._once("cells", lambda: self.cells), self.samples))
+
+    @property
+    def parts(self) -> list[tuple[int, int]]:
+        """Every training part: without each fold, and all rows."""
+        return [*[(i, FULL) for i in range(self.k)], (FULL, FULL)]
+
+    def release(self) -> None:
+        for df in self._held.values():
+            df.unpersist()
+        self._held.clear()
+
+
+@dataclass(frozen=True)
+class Block:
+    """``learn`` gives state tables from training inputs, ``apply`` features of any inputs."""
 
+    learn: Callable[[Inputs], State]
+    apply: Callable[[State, Inputs], DataFrame]
 
+
+# --- shapes ---------------------------------------------------------------------
 def _flags(rows: DataFrame, *name: str) -> DataFrame:
     return rows.select("sample_id", F.concat_ws(":", *name).alias("feature"), F.lit(1.0).alias("value")).distinct()
 
 
+def _dense(rows: DataFrame, name: str, value: str) -> DataFrame:
+    return rows.select("sample_id", F.col(name).alias("feature"), F.col(value).cast("double").alias("value"))
+
+
 def _wide(df: DataFrame) -> DataFrame:
     return S.unpivot(df, ["sample_id"]).filter("value <> 0")
 
@@ -65,156 +113,494 @@ def _by_label(df: DataFrame) -> DataFrame:
     return long.select("sample_id", F.concat_ws(":", "label", "m").alias("feature"), "value")
 
 
-def _signature(x: Inputs, **kw) -> DataFrame:
-    return _by_label(Z.signature_rate(Z.oof_signature(x.presence, x.folds, x.k, **kw), x.presence))
+def _one(state: State, name: str) -> Column:
+    """A learnt number as a scalar."""
+    return state[name].select("v").scalar()
+
+
+def _number(df: DataFrame, expr: Column) -> DataFrame:
+    return df.agg(expr.alias("v"))
+
+
+# --- kinds of blocks ------------------------------------------------------------------
+def summary(fn: Callable[[Inputs], DataFrame]) -> Block:
+    """Fixed columns, nothing learnt."""
+    return Block(lambda x: {}, lambda s, x: _wide(fn(x)))
+
+
+def vocabulary(fn: Callable[[Inputs], DataFrame]) -> Block:
+    """Features named by the data: those of the training samples are kept."""
+    return Block(lambda x: {"names": fn(x).select("feature").distinct()}, lambda s, x: fn(x).join(s["names"], "feature", "left_semi"))
+
+
+def supported(fn: Callable[[Inputs], DataFrame], minimum: int) -> Block:
+    """Features active in at least ``minimum`` training samples."""
+    return Block(lambda x: {"names": G.learn_vocab(fn(x), minimum).select("feature")}, lambda s, x: fn(x).join(s["names"], "feature", "left_semi"))
+
+
+def gene_set(pick: Callable[[Inputs], DataFrame], rows: Callable[[Inputs], DataFrame] = lambda x: _flags(x.presence, "gene")) -> Block:
+    """Features named by a gene, for genes learnt on the training samples."""
+    return Block(lambda x: {"genes": pick(x).select(F.col("gene").alias("feature"))}, lambda s, x: rows(x).join(s["genes"], "feature", "left_semi"))
+
+
+def token_set(pick: Callable[[Inputs], DataFrame], dialect: str = "em5") -> Block:
+    def flags(s: State, x: Inputs) -> DataFrame:
+        return _flags(x.events(dialect).join(s["tokens"], ["gene", "token"], "left_semi"), "gene", "token")
+
+    return Block(lambda x: {"tokens": pick(x).select("gene", "token")}, flags)
+
+
+def _frequent(rows: DataFrame, minimum: int) -> DataFrame:
+    """Rows of genes that enough samples have."""
+    genes = rows.groupBy("gene").agg(F.count("*").alias("n")).filter(F.col("n") >= minimum).select("gene")
+    return rows.join(genes, "gene", "left_semi")
+
+
+def signature(rows: Callable[[Inputs], DataFrame] = lambda x: x.presence, labels: Callable[[Inputs], DataFrame] = lambda x: x.samples,
+              only: Callable[[Inputs], Sequence[str]] | None = None, siblings: Callable[[Inputs], dict] | None = None, rate: bool = False,
+              minimum: int = 5, **params) -> Block:
+    """Class weights of every training part; a sample is scored by the part without its fold."""
+    def learn(x: Inputs) -> State:
+        w = Z.class_weights(_frequent(rows(x), minimum), labels(x), parts=x.parts, siblings=siblings(x) if siblings else None, **params)
+        return {"w": w.filter(F.col("label").isin(*only(x))) if only else w}
+
+    def score(s: State, x: Inputs) -> DataFrame:
+        z = Z.signature_score(rows(x), s["w"], x.samples)
+        return _by_label(Z.signature_rate(z, rows(x)) if rate else z)
+
+    return Block(learn, score)
+
+
+def union(**blocks: Block) -> Block:
+    """Several blocks as one; features get the part's name."""
+    def learn(x: Inputs) -> State:
+        return {f"{n}.{k}": df for n, b in blocks.items() for k, df in b.learn(x).items()}
+
+    def apply(s: State, x: Inputs) -> DataFrame:
+        out = None
+        for n, b in blocks.items():
+            own = {k.split(".", 1)[1]: df for k, df in s.items() if k.split(".", 1)[0] == n}
+            f = b.apply(own, x).withColumn("feature", F.concat(F.lit(f"{n}:"), "feature"))
+            out = f if out is None else out.unionByName(f)
+        return out
+
+    return Block(learn, apply)
+
+
+def tfidf(terms: Callable[[Inputs], DataFrame], min_df: int, most: int | None = None, weight: float = 1.0, sublinear: bool = True,
+          only: str | None = None) -> Block:
+    """Document frequencies of the training samples, applied to any samples; ``only`` filters (term, df)."""
+    def learn(x: Inputs) -> State:
+        idf = T.learn_idf(terms(x), S.total(x.samples, F.count("*")), min_df, most)
+        return {"idf": idf if only is None else idf.filter(only)}
+
+    return Block(learn, lambda s, x: T.tfidf(terms(x), s["idf"], sublinear, weight))
+
+
+def svd(base: Block, k: int) -> Block:
+    """Right singular vectors of the training samples' features."""
+    def learn(x: Inputs) -> State:
+        held = {n: settle(df) for n, df in base.learn(x).items()}
+        return held | {"svd": L.svd_state(base.apply(held, x), k)}
+
+    return Block(learn, lambda s, x: L.svd_apply(base.apply(s, x), s["svd"]))
+
+
+def modules(base: Block, k: int) -> Block:
+    """Non-negative modules of the training samples' features."""
+    def learn(x: Inputs) -> State:
+        held = {n: settle(df) for n, df in base.learn(x).items()}
+        return held | {"modules": L.nmf_state(base.apply(held, x), k)}
+
+    def apply(s: State, x: Inputs) -> DataFrame:
+        return L.nmf_apply(base.apply(s, x), s["modules"]).select("sample_id", F.col("module").cast("string").alias("feature"), "value")
+
+    return Block(learn, apply)
 
 
-def _patterns(x: Inputs) -> DataFrame:
-    keys = P.pattern_key(x.cells, x.folds.select("sample_id", "label"))
-    u = P.pattern_uncertainty_oof(keys, x.folds).drop("fold")
-    return _wide(P.pattern_support(keys).drop("key")).unionByName(_wide(u.withColumnRenamed("support_log1p", "label_support_log1p")))
+def selected(pick: Callable[[DataFrame, Inputs], DataFrame]) -> Block:
+    """Gene counts of the genes that ``pick`` chooses on the training samples."""
+    return Block(lambda x: {"names": pick(_counts(x), x).select("feature")}, lambda s, x: _counts(x).join(s["names"], "feature", "left_semi"))
 
 
-def _pair_scores(x: Inputs) -> DataFrame:
+def _counts(x: Inputs) -> DataFrame:
+    return _dense(G.gene_event_count(x.events()), "gene", "n_events")
+
+
+def _patterns(measures: Callable[[State, Inputs], DataFrame], support: bool) -> Block:
+    def learn(x: Inputs) -> State:
+        if support:
+            return {"n": x.keys.groupBy("key").agg(F.count("*").alias("n"))}
+        return {"u": P.uncertainty_state(x.keys.drop("fold"), x.samples)}
+
+    return Block(learn, lambda s, x: _wide(measures(s, x)))
+
+
+def _support(s: State, x: Inputs) -> DataFrame:
+    n = x.keys.select("sample_id", "key").join(s["n"], "key", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return n.select("sample_id", F.log1p(F.col("n").cast("double")).alias("support_log1p"), (F.col("n") >= 2).cast("int").alias("seen_multiple"))
+
+
+def _f5() -> Block:
+    def learn(x: Inputs) -> State:
+        return {"f5": Z.f5_stable(x.presence, x.missing, x.samples, x.k, outer=[*range(x.k), FULL])}
+
+    return Block(learn, lambda s, x: _by_label(Z.f5_score(x.presence, x.missing, x.samples, s["f5"], oof=True)))
+
+
+def _f7(pairs: Callable[[Inputs], Sequence[tuple[str, str]]], **params) -> Block:
+    """Burden-adjusted contrasts of label pairs; the pairs are part of the state."""
+    def learn(x: Inputs) -> State:
+        outer = [*range(x.k), FULL]
+        return {f"{a}_vs_{b}": Z.pair_select(x.presence, x.missing, x.samples, (a, b), x.k, outer=outer, **params) for a, b in pairs(x)}
+
+    def apply(s: State, x: Inputs) -> DataFrame:
+        out = x.samples.select("sample_id", F.lit("").alias("feature"), F.lit(0.0).alias("value")).limit(0)
+        for name, state in s.items():
+            z = Z.pair_score(x.presence, x.missing, x.samples, state, oof=True)
+            out = out.unionByName(_wide(z.select("sample_id", *[F.col(c).alias(f"{name}_{c}") for c in z.columns if c != "sample_id"])))
+        return out
+
+    return Block(learn, apply)
+
+
+def _discovered(x: Inputs, top: int = 6) -> list[tuple[str, str]]:
+    """Label pairs that the out-of-fold signature arg-max confuses most (a bounded list)."""
+    w = Z.class_weights(x.presence, x.samples, parts=[(i, FULL) for i in range(x.k)])
+    z = Z.signature_score(x.presence, w, x.samples)
+    best = z.groupBy("sample_id").agg(F.min_by("label", F.struct(-F.round("weighted", 9), F.col("label"))).alias("yhat"))
+    pred = x.samples.select("sample_id", F.col("label").alias("y")).join(best, "sample_id")
+    return [(r["left"], r["right"]) for r in Z.discover_pairs(pred, top).collect()]
+
+
+def _contrast() -> Block:
+    """Difference of the two signatures of each nested pair."""
+    base = signature()
+
+    def apply(s: State, x: Inputs) -> DataFrame:
+        d = Z.pair_contrast(Z.signature_score(x.presence, s["w"], x.samples), list(x.pairs))
+        return _by_label(d.withColumn("label", F.concat_ws("_", "left", "right")).drop("left", "right"))
+
+    return Block(base.learn, apply)
+
+
+def _similarity(*measures: str) -> Block:
+    """Scores against class profiles; per-sample measures stand once."""
+    def apply(s: State, x: Inputs) -> DataFrame:
+        z = Z.similarity_score(x.presence, x.samples.select("sample_id", F.col("fold").alias("outer")), s["profiles"])
+        own, shared = [m for m in measures if m in ("weighted", "similarity")], [m for m in measures if m in ("margin", "entropy")]
+        parts = [_by_label(z.select("sample_id", "label", *own))] if own else []
+        parts += [_wide(z.groupBy("sample_id").agg(*[F.max(m).alias(m) for m in shared]))] if shared else []
+        return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+    return Block(lambda x: {"profiles": Z.similarity_state(x.presence, x.samples, parts=x.parts)}, apply)
+
+
+def _jh_tokens(x: Inputs) -> DataFrame:
+    """Mutated genes, gene-free amino-acid tokens and exact events as 0/1 terms."""
+    e = x.events("jh")
+    return (_flags(G.gene_presence(e), "gene").withColumn("feature", F.concat(F.lit("gene="), "feature"))
+            .unionByName(G.global_f3(e).select("sample_id", F.concat(F.lit("f3="), "feature").alias("feature"), F.lit(1.0).alias("value")))
+            .unionByName(_flags(e, "gene", "token").withColumn("feature", F.concat(F.lit("event="), "feature"))))
+
+
+def _jyp_tokens(x: Inputs) -> DataFrame:
+    """Presence, consequence, position, amino-acid and exact-event terms of the strict dialect."""
+    e = x.events("jyp")
+    parts = {"gene": _flags(G.gene_presence(e), "gene"), "consequence": _flags(G.gene_consequence(e), "gene", "consequence"),
+             "position": _flags(G.gene_position_bin(e), "gene", "position_bin"), "aa": _flags(G.gene_aa(e), "gene", "transition"),
+             "event": _flags(e, "gene", "token")}
     out = None
-    for a, b in x.pairs:
-        s = Z.pair_oof(x.presence, x.missing, x.folds, (a, b), x.k)
-        s = _wide(s.select("sample_id", *[F.col(c).alias(f"{a}_vs_{b}_{c}") for c in s.columns if c != "sample_id"]))
-        out = s if out is None else out.unionByName(s)
+    for n, f in parts.items():
+        f = f.withColumn("feature", F.concat(F.lit(f"{n}="), "feature"))
+        out = f if out is None else out.unionByName(f)
     return out
 
 
-def _dual(x: Inputs) -> DataFrame:
-    d = Z.dual_signature(x.presence, G.gene_functional(x.events()), x.folds, x.k)
-    return _by_label(d.select("sample_id", F.concat_ws("_", "channel", "label").alias("label"), "weighted", "matches"))
-
-
-def _dense(feat: DataFrame) -> DataFrame:
-    return feat.select("sample_id", "feature", F.col("value").cast("double").alias("value"))
-
-
-BLOCKS: dict[str, Callable[[Inputs], DataFrame]] = {
-    "genes": lambda x: _flags(x.presence, "gene"),
-    "active_genes": lambda x: _flags(x.presence.join(G.filter_genes(x.events(), 5).select("gene"), "gene", "left_semi"), "gene"),
-    "rescued_genes": lambda x: _flags(x.presence.join(G.filter_genes_class(x.events(), x.folds, 5, 3).select("gene"), "gene", "left_semi"), "gene"),
-    "top_genes": lambda x: _flags(x.presence.join(G.top_genes(x.events(), 500).select("gene"), "gene", "left_semi"), "gene"),
-    "markers": lambda x: _wide(G.marker_flags(x.events(), x.folds)),
-    "severity": lambda x: _dense(G.gene_severity(x.events()).select("sample_id", F.col("gene").alias("feature"), F.col("severity").alias("value"))),
-    "gene_counts": lambda x: _dense(G.gene_event_count(x.events()).select("sample_id", F.col("gene").alias("feature"), F.col("n_events").alias("value"))),
-    "multi_hit": lambda x: _flags(G.gene_multi_hit(x.events()), "gene"),
-    "gene_flags": lambda x: S.unpivot(G.gene_flag(x.events("f")), ["sample_id", "gene"], "m").filter("value > 0").select(
-        "sample_id", F.concat_ws(":", "gene", "m").alias("feature"), "value"),
-    "gene_consequence": lambda x: _flags(G.gene_consequence(x.events("jyp")), "gene", "consequence"),
-    "gene_position": lambda x: _flags(G.gene_position_bin(x.events("jyp"), 5), "gene", "position_bin"),
-    "gene_aa": lambda x: _flags(G.gene_aa(x.events("jyp"), 5), "gene", "transition"),
-    "gene_f3": lambda x: _flags(G.support_filter(G.gene_f3_tokens(x.events("jh")), 5), "feature"),
-    "global_f3": lambda x: _flags(G.global_f3(x.events("jh")), "feature"),
-    "exact_tokens": lambda x: _flags(H.apply_hotspots(x.events("jyp"), H.learn_hotspots(x.events("jyp"), 5, 100_000)), "gene", "token"),
-    "pathways": lambda x: _by_label(G.pathway_scores(x.events(), G.pathway_table(x.cells.sparkSession)).withColumnRenamed("pathway", "label")),
-    "burden": lambda x: _wide(Y.burden(x.events(), x.folds)),
-    "consequence_mix": lambda x: _wide(Y.consequence_mix(G.cell_severities(x.cells), x.folds)),
-    "severity_summary": lambda x: _wide(Y.severity_summary(G.cell_severities(x.cells), x.folds)),
-    "token_summary": lambda x: _wide(Y.token_summary(x.events(), x.folds)),
-    "compact_summary": lambda x: _wide(Y.compact_summary(x.events(), x.folds)),
-    "complexity": lambda x: _wide(Y.token_complexity(x.events(), x.folds)),
-    "f_counts": lambda x: _wide(Y.f_counts(x.events("f"), x.folds)),
-    "diversity": lambda x: _wide(Y.gene_diversity(x.events(), x.folds, S.total(x.events(), F.countDistinct("gene")))),
-    "f1": lambda x: _wide(Y.f1_summary(x.events("jyp"), x.missing, x.folds, Y.burden_clip(G.gene_presence(x.events("jyp")), x.folds))),
-    "jh_f1": lambda x: _wide(Y.jh_f1(x.events("jh"), x.folds)),
-    "aa_pairs": lambda x: _dense(Y.aa_pairs_log(x.events("jyp")).withColumnRenamed("transition", "feature")),
-    "aa_composition": lambda x: _wide(Y.aa_composition(x.events("jyp"), x.folds)),
-    "jsj1": lambda x: _wide(Y.jsj1_structural(x.events("jsj1"), x.missing, x.folds)),
-    "jsj2": lambda x: _wide(Y.jsj2_summary(x.events("jsj2"), x.missing, x.folds)),
-    "jsj3": lambda x: _wide(Y.jsj3_summary(E.cell_code(x.events("jsj3")), x.folds)),
-    "cell_code": lambda x: _dense(E.cell_code(x.events("jsj3")).select("sample_id", F.col("gene").alias("feature"), F.col("code").alias("value"))),
-    "cell_code_v2": lambda x: _dense(E.cell_code(x.events("jsj2"), 2).select("sample_id", F.col("gene").alias("feature"), F.col("code").alias("value"))),
-    "code_flags": lambda x: _flags(G.code_flags(E.cell_code(x.events("jsj3"))), "gene", "kind"),
-    "e1": lambda x: _wide(Y.e1_summary(E.cell_code(x.events("jsj3")), x.folds, S.total(x.events(), F.countDistinct("gene")))),
-    "aa_profile": lambda x: _dense(Y.aa_profile(x.events("jsj3")).withColumnRenamed("n", "value")),
-    "hotspots": lambda x: _flags(H.apply_hotspots(x.events(), H.learn_hotspots(x.events(), 5, 384)), "gene", "token"),
-    "functional_hotspots": lambda x: _flags(H.apply_hotspots(x.events(), H.functional_hotspots(x.events())), "gene", "token"),
-    "synonymous_hotspots": lambda x: _flags(H.apply_hotspots(x.events(), H.synonymous_hotspots(x.events())), "gene", "token"),
-    "stable_hotspots": lambda x: _flags(H.apply_hotspots(x.events(), H.stable_hotspots(x.events(), x.folds)), "gene", "token"),
-    "hotspot_count": lambda x: _wide(H.hotspot_count(x.events(), H.learn_hotspots(x.events()), x.folds)),
-    "gene_hotspot": lambda x: _flags(H.gene_hotspot(x.events(), H.learn_hotspots(x.events())), "gene"),
-    "signature": _signature,
-    "signature_rate_odds": lambda x: _signature(x, variant="rate"),
-    "dual_signature": _dual,
-    "family_signature": lambda x: _by_label(Z.family_signature(x.presence, x.folds, x.families, x.k)),
-    "sibling_signature": lambda x: _by_label(Z.sibling_signature(x.presence, x.folds, x.families, x.k)),
-    "similarity": lambda x: _by_label(Z.signature_similarity(x.presence, x.folds, k=x.k).select("sample_id", "label", "weighted", "similarity")),
-    "pair_contrast": lambda x: _wide_pairs(Z.pair_contrast(Z.oof_signature(x.presence, x.folds, x.k), list(x.pairs))),
-    "f5": lambda x: _by_label(Z.f5_oof(x.presence, x.missing, x.folds, x.k)),
-    "f7": _pair_scores,
-    "comutation": lambda x: _flags(Z.comutation_flags(x.presence, Z.comutation(x.presence, x.folds)).withColumn("r", F.col("rank").cast("string")), "r"),
-    "stable_genes": lambda x: _flags(G.stable_gene_onehot(x.events(), Z.stable_genes(x.presence, x.folds, x.k, 3)).withColumn(
-        "c", F.col("conseq").cast("string")), "gene", "c"),
-    "gene_cap": lambda x: _flags(x.presence.join(Z.gene_cap(x.presence, x.folds, 500).select("gene"), "gene", "left_semi"), "gene"),
-    "patterns": _patterns,
-    "word_tfidf": lambda x: T.word_tfidf(T.mutation_document(x.cells, x.folds), "sample_id", 2, 2, 50_000),
-    "char_tfidf": lambda x: T.char_tfidf(T.mutation_document(x.cells, x.folds), "sample_id", 2, 50_000),
-    "svd": lambda x: L.svd_apply(BLOCKS["genes"](x), L.svd_state(BLOCKS["genes"](x), 32)),
-    "nmf": lambda x: L.nmf(BLOCKS["genes"](x), 16).select("sample_id", F.col("module").cast("string").alias("feature"), "value"),
-    "chi2": lambda x: _select(x, X.chi2_select(BLOCKS["gene_counts"](x), x.folds, 200)),
-    "mutual_information": lambda x: _select(x, X.mi_select(BLOCKS["gene_counts"](x), x.folds, 200)),
-    "anova": lambda x: _select(x, X.stable_anova(BLOCKS["gene_counts"](x), x.folds, x.k, 200)),
+def _as_terms(fn: Callable[[Inputs], DataFrame]) -> Callable[[Inputs], DataFrame]:
+    return lambda x: fn(x).select("sample_id", F.col("feature").alias("term"), F.lit(1).alias("tf"))
+
+
+def _scaled(fn: Callable[[Inputs], DataFrame]) -> Block:
+    """Summary columns scaled by the means and deviations of the training samples."""
+    def apply(s: State, x: Inputs) -> DataFrame:
+        df = fn(x)
+        return _wide(Y.standardize(df, s["scale"], [c for c in df.columns if c != "sample_id"]))
+
+    return Block(lambda x: {"scale": Y.standardize_state(fn(x), [c for c in fn(x).columns if c != "sample_id"])}, apply)
+
+
+def _with_genes(fn: Callable[[Inputs, Column], DataFrame]) -> Block:
+    """Summary columns that relate to the number of genes of the training samples."""
+    return Block(lambda x: {"genes": _number(x.events(), F.countDistinct("gene"))}, lambda s, x: _wide(fn(x, _one(s, "genes"))))
+
+
+def _clipped_f1() -> Block:
+    def learn(x: Inputs) -> State:
+        e = x.events("jyp")
+        return {"clip": x.samples.agg(F.lit(1).alias("one")).select(Y.burden_clip(G.gene_presence(e), x.samples).alias("v"))}
+
+    return Block(learn, lambda s, x: _wide(Y.f1_summary(x.events("jyp"), x.missing, x.samples, _one(s, "clip"))))
+
+
+def _distinct_genes(x: Inputs) -> DataFrame:
+    """Genes without those whose mutated samples equal those of an earlier gene."""
+    rows = _flags(x.presence, "gene")
+    order = S.range_rank(rows.select("feature").distinct(), F.asc("feature"))
+    twins = X.dedupe_features(rows, order).filter("feature <> keep").select("feature")
+    return order.select("feature").join(twins, "feature", "left_anti").select(F.col("feature").alias("gene"))
+
+
+def _top_pairs(x: Inputs, minimum: int = 5, top: int = 200) -> DataFrame:
+    return Y.aa_pairs_state(x.events("jyp"), minimum, top).select(F.col("transition").alias("feature")).distinct()
+
+
+def _families(x: Inputs) -> list[str]:
+    return [f for f, members in x.families.items() if len(members) >= 2]
+
+
+def _siblings(x: Inputs) -> dict:
+    return {m: members for members in x.families.values() if len(members) >= 2 for m in members}
+
+
+def _f_column(*names: str) -> Block:
+    """Chosen columns of the per-sample event counts."""
+    return summary(lambda x: Y.f_counts(x.events("f"), x.samples).select("sample_id", *names))
+
+
+def _gene_flag(kind: str) -> Block:
+    return vocabulary(lambda x: _flags(G.gene_flag(x.events("f"), [kind]), "gene"))
+
+
+def _severity(x: Inputs) -> DataFrame:
+    return _dense(G.gene_severity(x.events()), "gene", "severity")
+
+
+#: Exact events need five training samples; genes and amino-acid tokens need one.
+_KNOWN_EVENT = "not startswith(term, 'event=') or df >= 5"
+#: Largest vocabularies of the text blocks.
+WORDS, CHARACTERS = 250_000, 180_000
+
+BLOCKS: dict[str, Block] = {
+    "genes": vocabulary(lambda x: _flags(x.presence, "gene")),
+    "active_genes": gene_set(lambda x: G.filter_genes(x.events(), 5)),
+    "rescued_genes": gene_set(lambda x: G.filter_genes_class(x.events(), x.samples, 5, 3)),
+    "top_genes": gene_set(lambda x: G.top_genes(x.events(), 3000)),
+    "capped_genes": gene_set(lambda x: Z.gene_cap(x.presence, x.samples, 1500)),
+    "class_genes": gene_set(lambda x: Z.class_gene_union(x.presence, x.samples, 20)),
+    "markers": summary(lambda x: G.marker_flags(x.events(), x.samples)),
+    "severity": vocabulary(_severity),
+    "severity_active": gene_set(lambda x: G.filter_genes(x.events(), 5), _severity),
+    "severity_capped": gene_set(lambda x: Z.gene_cap(x.presence, x.samples, 1500), _severity),
+    "severity_distinct": gene_set(_distinct_genes, _severity),
+    "severity_capped_distinct": gene_set(lambda x: Z.gene_cap(x.presence, x.samples, 1500).join(_distinct_genes(x), "gene", "left_semi"), _severity),
+    "gene_counts": vocabulary(_counts),
+    "multi_hit": vocabulary(lambda x: _flags(G.gene_multi_hit(x.events()), "gene")),
+    "truncating": _gene_flag("truncating"), "missense": _gene_flag("missense"), "splice": _gene_flag("splice"),
+    "gene_consequence": vocabulary(lambda x: _flags(G.gene_consequence(x.events("jyp")), "gene", "consequence")),
+    "gene_position": supported(lambda x: _flags(G.gene_position_bin(x.events("jyp")), "gene", "position_bin"), 3),
+    "gene_aa": supported(lambda x: _flags(G.gene_aa(x.events("jyp")), "gene", "transition"), 3),
+    "gene_f3": supported(lambda x: _flags(G.gene_f3_tokens(x.events("jh")), "feature"), 3),
+    "gene_f3_rare": supported(lambda x: _flags(G.gene_f3_tokens(x.events("jh")), "feature"), 5),
+    "global_f3": vocabulary(lambda x: _flags(G.global_f3(x.events("jh")), "feature")),
+    "exact_tokens": token_set(lambda x: H.exact_vocab(x.events("jyp"), 5), "jyp"),
+    "jh_tokens": token_set(lambda x: H.exact_vocab(x.events("jh"), 10), "jh"),
+    "jh_tokens_rare": token_set(lambda x: H.exact_vocab(x.events("jh"), 5), "jh"),
+    "pathways": vocabulary(lambda x: _by_label(G.pathway_scores(x.events(), G.pathway_table(x.cells.sparkSession)).withColumnRenamed("pathway", "label"))),
+    "burden": _with_genes(lambda x, n: Y.burden(x.events(), x.samples, n)),
+    "consequence_mix": summary(lambda x: Y.consequence_mix(G.cell_severities(x.cells), x.samples)),
+    "severity_summary": summary(lambda x: Y.severity_summary(G.cell_severities(x.cells), x.samples)),
+    "token_summary": summary(lambda x: Y.token_summary(x.events(), x.samples)),
+    "compact_summary": summary(lambda x: Y.compact_summary(x.events(), x.samples)),
+    "complexity": summary(lambda x: Y.token_complexity(x.events(), x.samples)),
+    "mutated_genes": _f_column("mutated_gene_count"), "event_count": _f_column("mutation_event_count"),
+    "log_burden": _f_column("mutation_burden_log1p"), "kind_counts": _f_column(*[f"{k}_event_count" for k in V.F_KINDS]),
+    "multi_hit_genes": _f_column("multi_hit_gene_count"), "no_mutation": _f_column("no_mutation_sample"),
+    "diversity": _with_genes(lambda x, n: Y.gene_diversity(x.events(), x.samples, n)),
+    "f1": _clipped_f1(),
+    "jh_f1": summary(lambda x: Y.jh_f1(x.events("jh"), x.samples)),
+    "jh_f1_scaled": _scaled(lambda x: Y.jh_f1(x.events("jh"), x.samples)),
+    "f1_scaled": _scaled(lambda x: Y.f1_summary(x.events("jyp"), x.missing, x.samples, float("inf"))),
+    "aa_pairs": vocabulary(lambda x: _dense(Y.aa_pairs_log(x.events("jyp")), "transition", "value")),
+    "top_aa_pairs": Block(lambda x: {"names": _top_pairs(x)},
+                          lambda s, x: _dense(Y.aa_pairs_log(x.events("jyp")), "transition", "value").join(s["names"], "feature", "left_semi")),
+    "aa_composition": summary(lambda x: Y.aa_composition(x.events("jyp"), x.samples)),
+    "jsj1": summary(lambda x: Y.jsj1_structural(x.events("jsj1"), x.missing, x.samples)),
+    "jsj2": summary(lambda x: Y.jsj2_summary(x.events("jsj2"), x.missing, x.samples)),
+    "jsj3": summary(lambda x: Y.jsj3_summary(E.cell_code(x.events("jsj3")), x.samples)),
+    "cell_code": vocabulary(lambda x: _dense(E.cell_code(x.events("jsj3")), "gene", "code")),
+    "cell_code_v2": vocabulary(lambda x: _dense(E.cell_code(x.events("jsj2"), 2), "gene", "code")),
+    "code_flags": vocabulary(lambda x: _flags(G.code_flags(E.cell_code(x.events("jsj3"))), "gene", "kind")),
+    "e1": _with_genes(lambda x, n: Y.e1_summary(E.cell_code(x.events("jsj3")), x.samples, n)),
+    "aa_profile": vocabulary(lambda x: _dense(Y.aa_profile(x.events("jsj3")), "feature", "n")),
+    "hotspots": token_set(lambda x: H.learn_hotspots(x.events(), 5, 384)),
+    "functional_hotspots": token_set(lambda x: H.functional_hotspots(x.events())),
+    "synonymous_hotspots": token_set(lambda x: H.synonymous_hotspots(x.events())),
+    "stable_hotspots": token_set(lambda x: H.stable_hotspots(x.events(), x.samples)),
+    "hotspot_count": Block(lambda x: {"h": H.learn_hotspots(x.events())}, lambda s, x: _wide(H.hotspot_count(x.events(), s["h"], x.samples))),
+    "gene_hotspot": Block(lambda x: {"h": H.learn_hotspots(x.events())}, lambda s, x: _flags(H.gene_hotspot(x.events(), s["h"]), "gene")),
+    "signature": signature(),
+    "signature_rate": signature(rate=True),
+    "dual_signature": union(all=signature(), functional=signature(lambda x: x.functional)),
+    "family_signature": signature(labels=lambda x: Z.map_labels(x.samples, x.families), only=_families, rate=True),
+    "sibling_signature": signature(siblings=_siblings, rate=True),
+    "weighted_profile": _similarity("weighted"), "similarity": _similarity("similarity"),
+    "margin": _similarity("margin"), "entropy": _similarity("entropy"),
+    "pair_contrast": _contrast(),
+    "f5": _f5(),
+    "f7": _f7(lambda x: x.pairs, top=3, minimum=10, alpha=4.0),
+    "f7_discovered": _f7(_discovered, top=3, minimum=10, alpha=4.0),
+    "comutation": Block(lambda x: {"pairs": Z.comutation(x.presence, x.samples)}, lambda s, x: _flags(
+        Z.comutation_flags(x.presence, s["pairs"]).withColumn("r", F.col("rank").cast("string")), "r")),
+    "stable_genes": Block(lambda x: {"genes": Z.stable_genes(x.presence, x.samples, x.k, min(3, x.k))}, lambda s, x: _flags(
+        G.stable_gene_onehot(x.events(), s["genes"]).withColumn("c", F.col("conseq").cast("string")), "gene", "c")),
+    "pattern_support": _patterns(_support, True),
+    "pattern_uncertainty": _patterns(lambda s, x: P.uncertainty_score(x.keys, x.samples, s["u"]).drop("fold"), False),
+    "word_tfidf": tfidf(lambda x: T.word_terms(T.mutation_document(x.cells, x.samples), "sample_id"), 2, WORDS),
+    "char_tfidf": tfidf(lambda x: T.char_terms(T.mutation_document(x.cells, x.samples), "sample_id"), 3, CHARACTERS, weight=0.5),
+    "jh_tfidf": tfidf(_as_terms(_jh_tokens), 1, only=_KNOWN_EVENT),
+    "svd": svd(gene_set(lambda x: G.filter_genes(x.events(), 5)), 128),
+    "jh_svd": svd(tfidf(_as_terms(_jh_tokens), 1, only=_KNOWN_EVENT), 128),
+    "jyp_svd": svd(tfidf(_as_terms(_jyp_tokens), 2, sublinear=False), 128),
+    "modules": modules(gene_set(lambda x: G.filter_genes(x.events(), 5)), 16),
+    "chi2": selected(lambda f, x: X.chi2_select(f, x.samples, 1500)),
+    "mutual_information": selected(lambda f, x: X.mi_select(f, x.samples, 1500)),
+    "anova": selected(lambda f, x: X.stable_anova(f, x.samples, x.k, 1500)),
 }
 
 
-def _select(x: Inputs, names: DataFrame) -> DataFrame:
-    return BLOCKS["gene_counts"](x).join(names.select("feature"), "feature", "left_semi").select("sample_id", "feature", "value")
+# --- redundancy of a whole table: (features, inputs) -> names kept ------------------------------
+def _ranked(f: DataFrame, x: Inputs) -> DataFrame:
+    return settle(X.priority(X.anova_stability(f, x.samples, x.k)).select("feature", "rank"))
+
+
+def without_redundancy(f: DataFrame, x: Inputs, minimum: int = 5, threshold: float = 0.9) -> DataFrame:
+    """Active features; of equal ones and of highly correlated groups the best ranked."""
+    active = settle(X.active_filter(f, minimum, 1e-8).select("feature"))
+    f = f.join(active, "feature", "left_semi")
+    ranks = _ranked(f, x)
+    twins = settle(X.dedupe_features(f, ranks).filter("feature <> keep").select("feature"))
+    ranks = ranks.join(twins, "feature", "left_anti")
+    groups = X.corr_groups(f, x.samples, ranks, threshold).filter("feature <> keep").select("feature")
+    return ranks.select("feature").join(groups, "feature", "left_anti")
+
 
+def greedily_pruned(f: DataFrame, x: Inputs, threshold: float = 0.98) -> DataFrame:
+    """Features in priority order without those too close to an earlier one."""
+    ranks = _ranked(f, x)
+    return ranks.select("feature").join(X.corr_greedy(f, x.samples, ranks, threshold), "feature", "left_anti")
 
-def _wide_pairs(df: DataFrame) -> DataFrame:
-    d = df.withColumn("label", F.concat_ws("_", "left", "right")).drop("left", "right")
-    return _by_label(d)
 
+def gene_representatives(f: DataFrame, x: Inputs, phi: float = 0.98, jaccard: float = 0.95, minimum: int = 5) -> DataFrame:
+    """Gene features without genes that a stable, nearly equal gene represents."""
+    edges = X.stable_edges(x.presence, x.samples, x.k, phi, jaccard, min(4, x.k), minimum)
+    gone = X.representatives(edges, x.presence, x.samples).filter("gene <> keep").select("gene")
+    names = f.select("feature").distinct().withColumn("gene", F.substring_index("feature", "__", -1))
+    return names.join(gone, "gene", "left_anti").select("feature")
 
-_V16 = "severity consequence_mix signature hotspots".split()
-_V24 = "severity token_summary dual_signature functional_hotspots".split()
-_V45 = [*_V16, "patterns", "pair_contrast"]
-_F20 = "f_counts hotspot_count diversity genes gene_counts multi_hit gene_hotspot gene_flags similarity".split()
-_V46 = [*_V45, *_F20]
+
+def pruned_within_genes(f: DataFrame, x: Inputs, threshold: float = 0.9) -> DataFrame:
+    """Features of a gene in the order hotspots, count, multi-hit, consequence, without those close to an earlier one.
+
+    Columns without a gene are pruned among themselves, in the order of their names.
+    """
+    block = F.substring_index("feature", "__", 1)
+    blocks = ["hotspots", "gene_counts", "top_genes", "multi_hit", "severity"]
+    place = F.array_position(F.array(*map(F.lit, blocks)), block)
+    gene = F.when(place > 0, F.substring_index(F.expr("substr(feature, instr(feature, '__') + 2)"), ":", 1)).otherwise(F.lit(""))
+    names = f.select("feature").distinct().select("feature", gene.alias("gene"), place.alias("place"))
+    order = S.range_rank(names, F.asc("gene"), F.asc("place"), F.asc("feature")).select("feature", "gene", "rank")
+    order = settle(order)
+    return order.select("feature").join(X.gene_corr_drop(f, x.samples, order, threshold), "feature", "left_anti")
+
+
+# --- compositions ----------------------------------------------------------------
+_V16 = "severity_active consequence_mix signature hotspots".split()
+_V24 = "severity_active token_summary dual_signature functional_hotspots".split()
+_V44 = [*_V16, "pattern_uncertainty", "complexity", "pair_contrast"]
+_V45 = [*_V24, "pattern_uncertainty", "complexity", "pair_contrast"]
+_F_BLOCKS = ["mutated_genes", "event_count", "log_burden", "kind_counts", "hotspot_count", "multi_hit_genes", "no_mutation", "diversity", "genes",
+             "gene_counts", "multi_hit", "gene_hotspot", "truncating", "missense", "splice", "weighted_profile", "similarity", "margin", "entropy"]
+_V46 = [*_V45, *_F_BLOCKS]
 _JYP = "active_genes f1 gene_consequence".split()
+_JYP3 = [*_JYP, "gene_position", "gene_aa"]
 _TEXT = "word_tfidf char_tfidf".split()
 
+
+def _swap(blocks: list[str], old: str, new: str) -> list[str]:
+    return [new if b == old else b for b in blocks]
+
+
 PIPELINES: dict[str, list[str]] = {
     "baseline": ["genes"], "em_v1": ["genes", "markers"], "em_v2": ["markers"], "em_v3": ["rescued_genes"],
     "em_v4": ["active_genes"], "em_v5": ["active_genes", "burden"], "em_v6": ["severity", "consequence_mix"], "em_v7": ["active_genes", "pathways"],
-    "em_v8": ["active_genes", "nmf"], "em_v9": ["active_genes", "signature"], "em_v10": ["severity", "burden"], "em_v11": ["active_genes", "burden", "signature"],
+    "em_v8": ["active_genes", "modules"], "em_v9": ["active_genes", "signature"], "em_v10": ["severity", "burden"], "em_v11": ["active_genes", "burden", "signature"],
     "em_v12": ["severity", "signature"], "em_v13": ["severity", "burden", "signature"], "em_v14": _V16, "em_v15": _V16, "em_v16": _V16,
-    "em_v17": ["top_genes", "gene_counts", "multi_hit"], "em_v18": ["genes", "token_summary"], "em_v19": ["severity", "functional_hotspots"],
+    "em_v17": ["hotspots", "gene_counts", "top_genes", "multi_hit"], "em_v18": ["genes", "token_summary"], "em_v19": ["severity", "functional_hotspots"],
     "em_v20": ["stable_genes", "signature"], "em_v21": ["stable_hotspots", "compact_summary", "signature"], "em_v22": [*_V16, "family_signature"],
-    "em_v23": [*_V16, "family_signature"], "em_v24": _V24, "em_v25": ["top_genes", "gene_counts"], "em_v26": [*_V16, "family_signature"],
+    "em_v23": [*_V16, "family_signature"], "em_v24": _V24, "em_v25": ["hotspots", "gene_counts", "severity", "multi_hit", "signature"], "em_v26": [*_V16, "family_signature"],
     "em_v27": [*_V16, "sibling_signature"], "em_v28": ["stable_hotspots", "compact_summary"],
     **{f"em_v{i}": [*_V16, "burden"] for i in (30, 33, 34, 36)}, **{f"em_v{i}": _V16 for i in (29, 31, 32, 35, 37, 38)},
     **{f"em_v{i}": _V24 for i in (39, 40, 41)}, **{f"em_v{i}": [*_V24, "synonymous_hotspots"] for i in (42, 43)},
-    "em_v44": [*_V16, "patterns"], "em_v45": _V45, "em_v46": _V46, "em_v47": ["active_genes"],
-    **{f"em_E{i}": [*_V45, b] for i, b in enumerate(
-        ["patterns", "complexity", "comutation", "stable_hotspots", "pair_contrast", "patterns", "gene_cap", "genes", "complexity", "comutation",
-         "stable_hotspots", "gene_cap", "severity_summary", "signature_rate_odds"], 1)},
-    **{f"em_F{i:02d}": [*_V45, b] for i, b in enumerate(
-        ["f_counts", "f_counts", "f_counts", "f_counts", "hotspot_count", "f_counts", "f_counts", "diversity", "genes", "gene_counts", "multi_hit", "gene_hotspot",
-         "gene_flags", "gene_flags", "gene_flags", "similarity", "similarity", "similarity", "similarity"], 1)},
-    "em_F20": _V46, "em_G01": _V46, "em_H01": ["chi2"], "em_H02": ["mutual_information"], "em_H03": ["gene_cap"], "em_H04": ["nmf"], "em_H05": ["svd"],
-    "em_H06": ["genes", "burden", "hotspots", "hotspot_count"], "em_H07": ["anova"],
-    "jyp_raw": ["cell_code"], "jyp_f0": ["active_genes"], "jyp_f1": ["active_genes", "f1"], "jyp_f2": _JYP, "jyp_f3": [*_JYP, "gene_position", "gene_aa"],
-    "jyp_f4": [*_JYP, "exact_tokens"], "jyp_f5": [*_JYP, "f5"], "jyp_f6": ["svd", "f1"], "jyp_f7": [*_JYP, "f7"], "jyp_f8": [*_JYP, "f5", "f7"],
-    "jyp_f9": [*_JYP, "f5", "f7", "aa_pairs"], "jyp_f10": [*_JYP, "aa_composition"], "jyp_f11": [*_JYP, "f7"],
+    "em_v44": _V44, "em_v45": _V45, "em_v46": _V46, "em_v47": ["active_genes"],
+    "em_E1": _V16, "em_E2": [*_V16, "pattern_support"], "em_E3": [*_V16, "complexity"], "em_E4": [*_V16, "comutation"],
+    "em_E5": _swap(_V16, "hotspots", "stable_hotspots"), "em_E6": [*_V16, "pair_contrast"], "em_E7": [*_V16, "pattern_uncertainty"],
+    "em_E8": _swap(_V16, "severity_active", "severity_capped"), "em_E9": _swap(_V16, "severity_active", "severity_distinct"),
+    "em_E10": [*_swap(_swap(_V16, "hotspots", "stable_hotspots"), "severity_active", "severity_capped_distinct"),
+               "pattern_support", "complexity", "comutation", "pair_contrast"],
+    "em_E11": [*_V16, "pattern_uncertainty", "complexity"], "em_E12": [*_V16, "pattern_uncertainty", "pair_contrast"],
+    "em_E13": [*_swap(_V16, "hotspots", "stable_hotspots"), "pattern_uncertainty"],
+    "em_E14": [*_V16, "pattern_uncertainty", "complexity", "pair_contrast"],
+    **{f"em_F{i:02d}": [*_V45, b] for i, b in enumerate(_F_BLOCKS, 1)}, "em_F20": _V46, "em_G01": _V46,
+    "em_H01": ["chi2"], "em_H02": ["mutual_information"], "em_H03": ["class_genes"], "em_H04": ["modules"], "em_H05": ["svd"],
+    "em_H06": ["active_genes", "burden", "hotspots", "hotspot_count"], "em_H07": ["anova"],
+    "jyp_raw": ["cell_code"], "jyp_f0": ["active_genes"], "jyp_f1": ["active_genes", "f1"], "jyp_f2": _JYP, "jyp_f3": _JYP3,
+    "jyp_f4": [*_JYP3, "exact_tokens"], "jyp_f5": [*_JYP, "f5"], "jyp_f6": ["jyp_svd", "f1_scaled"], "jyp_f7": [*_JYP, "f7"], "jyp_f8": [*_JYP, "f5", "f7"],
+    "jyp_f9": [*_JYP, "f5", "f7", "aa_pairs"], "jyp_f10": [*_JYP, "aa_composition"], "jyp_f11": [*_JYP, "f7", "f7_discovered"],
     "pipeComb_v3": [*_JYP, "aa_pairs", "signature"], "pipeComb_v4": [*_JYP, "aa_pairs", "dual_signature"],
     "jh_v01": ["genes"], "jh_v02": ["genes", "jh_f1"], "jh_v03": ["genes", "jh_f1", "gene_consequence"], "jh_v04": ["genes", "jh_f1", "global_f3"],
-    "jh_v05": ["genes", "jh_f1", "gene_f3"], "jh_v06": ["genes", "jh_f1", "gene_f3"], "jh_v07": ["genes", "jh_f1", "global_f3", "exact_tokens"],
-    "jh_v08": ["genes", "jh_f1", "global_f3", "exact_tokens"], "jh_v09": ["jh_f1", "word_tfidf"], "jh_v10": ["jh_f1", "svd"],
+    "jh_v05": ["genes", "jh_f1", "gene_f3"], "jh_v06": ["genes", "jh_f1", "gene_f3_rare"], "jh_v07": ["genes", "jh_f1", "global_f3", "jh_tokens"],
+    "jh_v08": ["genes", "jh_f1", "global_f3", "jh_tokens_rare"], "jh_v09": ["jh_tfidf", "jh_f1"], "jh_v10": ["jh_svd", "jh_f1"],
     "jsj_v1": [*_TEXT, "jsj1"], "jsj_v2": ["cell_code_v2", "jsj2"], "jsj_v3": ["cell_code", "aa_profile", "jsj3"],
     **{f"jsj_v{i}": ["cell_code", "aa_profile", "jsj3", "code_flags", "e1"] for i in range(4, 12)},
-    "pipeComb_em_v1": [*_V46, *_TEXT], "pipeComb_em_v2": [*_V46, *_TEXT, "f7"], "pipeComb_em_v3": [*_V46, *_TEXT, "f7", "aa_pairs"],
-    "pipeComb_em_v4": [*_V46, *_TEXT, "f7", "aa_pairs", "svd"],
+    "pipeComb_em_v1": [*_V46, *_TEXT], "pipeComb_em_v2": [*_V46, *_TEXT, "f7"], "pipeComb_em_v3": [*_V46, *_TEXT, "f7", "top_aa_pairs"],
+    "pipeComb_em_v4": [*_V46, *_TEXT, "f7", "top_aa_pairs", "svd"],
 }
 
+#: Pipelines whose whole feature table is thinned on the training samples.
+THINNED: dict[str, Callable[[DataFrame, Inputs], DataFrame]] = {
+    "em_G01": without_redundancy, "em_v47": gene_representatives, "em_v17": pruned_within_genes, "em_v25": pruned_within_genes,
+    "pipeComb_em_v3": greedily_pruned, "pipeComb_em_v4": greedily_pruned,
+}
 
-def build(name: str, x: Inputs) -> DataFrame:
-    """The assembled feature table of a registered pipeline."""
+
+@dataclass
+class Fitted:
+    """Learnt tables of a pipeline: one dict of small DataFrames a block, and the names kept if it is thinned."""
+
+    name: str
+    states: dict[str, State]
+    kept: DataFrame | None = None
+
+    def transform(self, x: Inputs) -> DataFrame:
+        """Features of the samples of ``x``; their labels are not read."""
+        blind = Inputs(x.cells, x.samples.select("sample_id", "fold"), x.k, x.pairs, x.families, x._held)
+        f = G.assemble({b: BLOCKS[b].apply(s, blind) for b, s in self.states.items()})
+        return f if self.kept is None else f.join(self.kept, "feature", "left_semi")
+
+
+def fit(name: str, x: Inputs) -> Fitted:
+    """Learn every block of a registered pipeline on labelled training samples with folds."""
     if name not in PIPELINES:
         raise KeyError(f"unknown pipeline {name!r}; known: {sorted(PIPELINES)}")
-    blocks = dict.fromkeys(PIPELINES[name])
-    return G.assemble({b: BLOCKS[b](x) for b in blocks})
+    learnt = Fitted(name, {b: {k: settle(df) for k, df in BLOCKS[b].learn(x).items()} for b in dict.fromkeys(PIPELINES[name])})
+    if name in THINNED:
+        f = keep(learnt.transform(x))
+        learnt.kept = settle(THINNED[name](f, x).select("feature"))
+        f.unpersist()
+    return learnt
+
+
+def build(name: str, x: Inputs) -> DataFrame:
+    """Features of the training samples themselves, label statistics out of fold."""
+    return fit(name, x).transform(x)

@@ -12,6 +12,8 @@ from tokenfold.workload import views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+RAW: dict[str, str] = {}  # oracle text before views and casts
+SPEC: dict[str, list[tuple[str, str]]] = {}
 _SPARK = {"l": "bigint", "s": "string", "d": "double"}
 _DUCK = {"l": "BIGINT", "s": "VARCHAR"}
 
@@ -49,8 +51,9 @@ def query(name: str, cols: str, sql: str | None = None):
                 out.append((F.round(col, 6) + F.lit(0.0) if t == "d" else col).alias(c))
             return fn(spark, sf_dir).select(*out)
 
-        QUERIES[name] = run
+        QUERIES[name], SPEC[name] = run, spec
         if sql is not None:
+            RAW[name] = sql
             cast = ", ".join(
                 f'round(cast("{c}" AS DOUBLE), 6) + 0e0 AS "{c}"' if t == "d" else f'cast("{c}" AS {_DUCK[t]}) AS "{c}"'
                 for c, t in spec
@@ -63,5 +66,5 @@ def query(name: str, cols: str, sql: str | None = None):
 
 def load() -> None:
     from tokenfold.workload import (  # noqa: F401
-        q_cells, q_genes, q_profile, q_signatures, q_metrics, q_proba, q_search, q_selection, q_training,
+        q_cells, q_genes, q_profile, q_signatures, q_metrics, q_proba, q_search, q_selection, q_training, q_registry,
     )

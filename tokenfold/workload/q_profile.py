@@ -17,7 +17,8 @@ _DIGEST = "concat_ws(':',count(*),sum(('0x'||substr(h,1,15))::BIGINT::HUGEINT),s
 
 def digest(parts: str, source: str, by: str) -> str:
     """SQL twin of the order-free digest, grouped by ``by``."""
-    return f"select {by}, {_DIGEST} key, count(*) n from (select *, md5(concat_ws(chr(31),{parts})) h from {source}) group by {by}"
+    marked = "||".join(f"coalesce(length(cast({p} as varchar))||':'||cast({p} as varchar),'n')" for p in parts.split(","))
+    return f"select {by}, {_DIGEST} key, count(*) n from (select *, md5({marked}) h from {source}) group by {by}"
 
 
 # --- A: sources and contracts ---------------------------------------------------

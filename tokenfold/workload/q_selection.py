@@ -119,8 +119,12 @@ def _(s, d):
     return X.corr_groups(feat(s, d), W.samples(s, d), X.priority(stability(s, d)), THR)
 
 
-# A greedy pass has no plain SQL twin; the tests compare it with a loop.
-@query("i10_corr_greedy", "feature:s")
+@query("i10_corr_greedy", "feature:s", f"""
+ with recursive e as materialized (select distinct least(i,j) i, greatest(i,j) j from {_EDGE}), n as (select max(j) m from e),
+ g(r, kept) as (select cast(0 as bigint), cast([] as bigint[]) union all
+  select r+1, case when len(list_intersect(kept, coalesce(prev, []))) > 0 then kept else list_append(kept, r+1) end
+  from g join n on r<m left join (select j, list(i) prev from e group by 1) p on p.j=r+1)
+ select feature from prio where rank<=(select m from n) and not list_contains((select kept from g order by r desc limit 1), rank)""")
 def _(s, d):
     return X.corr_greedy(feat(s, d), W.samples(s, d), X.priority(stability(s, d)), THR)
 
@@ -163,7 +167,16 @@ def _(s, d):
     return X.representatives(X.stable_edges(p, f, K, PHI, JAC, 4), p, f)
 
 
-@query("i14_gene_corr_drop", "feature:s")
+# A gene has three features, in this order of names: largest consequence, multi-hit, mutation count.
+@query("i14_gene_corr_drop", "feature:s", """
+ with c as (select sample_id, gene, max(conseq)*1e0 x1, cast(count(*)>=2 as int)*1e0 x2, count(*)*1e0 x3 from ev group by 1,2),
+ g as (select gene, sum(x1) s1, sum(x2) s2, sum(x3) s3, sum(x1*x1) q11, sum(x2*x2) q22, sum(x3*x3) q33, sum(x1*x2) q12, sum(x1*x3) q13, sum(x2*x3) q23,
+   (select count(*) from samples)*1e0 n from c group by 1),
+ r as (select gene, s2>0 has2, round(abs((q12-s1*s2/n)/sqrt(nullif((q11-s1*s1/n)*(q22-s2*s2/n),0))),9) r12,
+   round(abs((q13-s1*s3/n)/sqrt(nullif((q11-s1*s1/n)*(q33-s3*s3/n),0))),9) r13, round(abs((q23-s2*s3/n)/sqrt(nullif((q22-s2*s2/n)*(q33-s3*s3/n),0))),9) r23 from g),
+ d as (select gene, has2 and coalesce(r12>=0.9,false) d2, coalesce(r13>=0.9,false) d13, has2 and coalesce(r23>=0.9,false) d23 from r)
+ select gene||'_multi_hit' feature from d where d2
+ union all select gene||'_mutation_count' from d where d13 or (d23 and not d2)""")
 def _(s, d):
     g = W.events(s, d).groupBy("sample_id", "gene").agg(F.count("*").alias("mutation_count"), F.max("conseq").alias("consequence_max"),
                                                        (F.count("*") >= 2).cast("int").alias("multi_hit"))
@@ -246,7 +259,7 @@ def _(s, d):
 
 @query("i21_nmf", "sample_id module value:d")
 def _(s, d):
-    return L.nmf(feat(s, d), 4, iterations=3)
+    return L.nmf(feat(s, d), 4)
 
 
 _HOT = "(select gene, token from ev group by 1,2 having count(*)>=20 order by count(*) desc, gene, token limit 100)"

@@ -319,7 +319,7 @@ def _(s, d):
     return Z.discover_pairs(signature_pred(s, d), 5, [PAIR])
 
 
-_POOL = "(select gene, n, row_number() over (order by n desc, gene) rk from (select gene, count(*) n from pres group by 1) order by rk limit 160)"
+_POOL = "(select gene, n, row_number() over (order by n desc, gene) rk from (select gene, count(*) n from pres group by 1) order by rk)"
 _COMUT = f"""(select * from (select *, row_number() over (order by round(lift,9) desc, joint desc, gene_a, gene_b) rank from (
  select a.gene gene_a, b.gene gene_b, count(*) joint, count(*)/greatest(max(x.n)*1e0*max(y.n)/(select count(*) from samples),1e-9) lift
  from pres a join pres b on a.sample_id=b.sample_id and a.gene<b.gene join {_POOL} x on x.gene=a.gene join {_POOL} y on y.gene=b.gene group by 1,2)
