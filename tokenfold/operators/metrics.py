@@ -203,23 +203,26 @@ def group_safety(both: DataFrame, groups: DataFrame, n_classes: int, min_support
 
 
 # --- bootstrap ---------------------------------------------------------------
-CHUNKS = 64
+STATES_PER_CHUNK = 4096
 
 
-def bootstrap_deltas(both: DataFrame, repeats: int, seed: int, n_classes: int, pooled: bool = False, metric_classes: Sequence[int] | None = None) -> DataFrame:
+def bootstrap_deltas(both: DataFrame, repeats: int, seed: int, n_classes: int, pooled: bool = False, metric_classes: Sequence[int] | None = None,
+                     states_per_chunk: int = STATES_PER_CHUNK) -> DataFrame:
     """Class-stratified paired bootstrap: (rep, delta) of macro-F1, candidate minus base.
 
     Rows of one sample in several seeds (column ``seed``, optional) are drawn
     together. Samples are first reduced to states (y, predictions) with counts;
     a replicate is a multinomial draw over states. The draw is made in two exact
-    steps, chunk totals per class and then states inside a chunk, so no task
-    holds a class. ``pooled`` scores the pooled seeds instead of averaging seeds.
+    steps, chunk totals per class and then states inside a chunk of bounded
+    size, so no task holds a class. ``pooled`` scores the pooled seeds instead
+    of averaging seeds.
     """
     seeded = "seed" in both.columns
     d = both if seeded else both.withColumn("seed", F.lit(0))
     pairs = F.array_sort(F.collect_list(F.struct("seed", "base", "cand")))
-    st = d.groupBy("sample_id", "y").agg(pairs.alias("s")).groupBy("y", "s").agg(F.count("*").alias("n"))
-    st = st.withColumn("chunk", F.pmod(F.xxhash64("s"), F.lit(CHUNKS)).cast("int"))
+    st = settle(d.groupBy("sample_id", "y").agg(pairs.alias("s")).groupBy("y", "s").agg(F.count("*").alias("n")))
+    chunks = max(1, -(-st.count() // states_per_chunk))
+    st = st.withColumn("chunk", F.pmod(F.xxhash64("s"), F.lit(chunks)).cast("int"))
     tot = st.groupBy("y", "chunk").agg(F.sum("n").alias("n"))
 
     def class_draw(key, pdf):
@@ -233,27 +236,31 @@ def bootstrap_deltas(both: DataFrame, repeats: int, seed: int, n_classes: int, p
         return pd.DataFrame({"y": int(key[0]), "chunk": pdf["chunk"], "draws": [c.tolist() for c in draws.T]})
 
     chunked = tot.groupBy("y").applyInPandas(class_draw, "y int, chunk int, draws array<bigint>")
+    # a state's predictions, one row each: the draw of a prediction is a product with its states
+    cell = F.explode(F.flatten(F.transform("s", lambda r: F.array(
+        F.struct(r["seed"].alias("seed"), F.lit("base").alias("which"), r["base"].alias("yhat")),
+        F.struct(r["seed"].alias("seed"), F.lit("cand").alias("which"), r["cand"].alias("yhat"))))))
+    long = st.select("y", "chunk", F.to_json("s").alias("state"), "n", cell.alias("c")).select("y", "chunk", "state", "n", "c.seed", "c.which", "c.yhat")
 
     def state_draw(key, left, right):
         import numpy as np
         import pandas as pd
 
         y, chunk = int(key[0]), int(key[1])
-        left = left.assign(k=[str(list(map(tuple, [(r["seed"], r["base"], r["cand"]) for r in s]))) for s in left["s"]]).sort_values("k")
-        n = left["n"].to_numpy()
+        states, first, row = np.unique(left["state"].to_numpy(), return_index=True, return_inverse=True)
+        n = left["n"].to_numpy()[first]
+        cells = left[["seed", "which", "yhat"]].drop_duplicates().reset_index(drop=True)
+        col = left.merge(cells.assign(col=np.arange(len(cells))), on=["seed", "which", "yhat"], how="left")["col"].to_numpy()
         rng = np.random.default_rng([seed, y, chunk, 7])
         drawn = rng.multinomial(np.asarray(right["draws"].iloc[0]), n / n.sum())
-        out = {}
-        for row, counts in zip(left["s"], drawn.T):
-            for r in row:
-                for which in ("base", "cand"):
-                    k = (int(r["seed"]), which, int(r[which]))
-                    out[k] = out.get(k, 0) + counts
-        parts = [pd.DataFrame({"rep": np.arange(repeats), "seed": k[0], "which": k[1], "y": y, "yhat": k[2], "n": v}) for k, v in out.items()]
-        res = pd.concat(parts, ignore_index=True)
-        return res[res["n"] > 0]
-
-    conf = st.groupBy("y", "chunk").cogroup(chunked.groupBy("y", "chunk")).applyInPandas(
+        of = np.zeros((len(states), len(cells)), np.int64)
+        np.add.at(of, (row, col), 1)
+        counts = drawn @ of
+        rep, c = np.nonzero(counts)
+        return pd.DataFrame({"rep": rep, "seed": cells["seed"].to_numpy()[c], "which": cells["which"].to_numpy()[c], "y": y,
+                             "yhat": cells["yhat"].to_numpy()[c], "n": counts[rep, c]})
+
+    conf = long.groupBy("y", "chunk").cogroup(chunked.groupBy("y", "chunk")).applyInPandas(
         state_draw, "rep int, seed int, which string, y int, yhat int, n bigint")
     keys = ["rep", "which"] if pooled else ["rep", "seed", "which"]
     conf = conf.groupBy(*keys, "y", "yhat").agg(F.sum("n").alias("n"))

@@ -85,6 +85,25 @@ def require_columns(df: DataFrame, columns: Sequence[str], exact: bool = False)
     return df
 
 
+def column_report(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(place, column, present, missing) of every required column: its null cells, or all rows where it is absent."""
+    held = [F.count_if(F.col(f"`{c}`").isNull()) if c in df.columns else F.count(F.lit(1)) for c in columns]
+    rows = [F.struct(F.lit(i).alias("place"), F.lit(c).alias("column"), F.lit(int(c in df.columns)).alias("present"), n.alias("missing"))
+            for i, (c, n) in enumerate(zip(columns, held))]
+    return df.agg(F.array(*rows).alias("r")).select(F.explode("r").alias("r")).select("r.*")
+
+
+def parity_report(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(place, column, other, a_rows, b_rows) of the places where two tables' columns differ in name or order."""
+    width = max(len(a.columns), len(b.columns))
+    at = lambda df, i: df.columns[i] if i < len(df.columns) else None
+    wrong = [(i, at(a, i), at(b, i)) for i in range(width) if at(a, i) != at(b, i)]
+    n = b.agg(F.count(F.lit(1)).alias("b_rows"))
+    rows = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(x).cast("string").alias("column"), F.lit(y).cast("string").alias("other")) for i, x, y in wrong]).cast(
+        "array<struct<place:int,column:string,other:string>>")
+    return a.agg(F.count(F.lit(1)).alias("a_rows")).select("a_rows", n.scalar().alias("b_rows"), F.explode(rows).alias("r")).select("r.*", "a_rows", "b_rows")
+
+
 def schema_parity(a: DataFrame, b: DataFrame) -> bool:
     return a.columns == b.columns
 

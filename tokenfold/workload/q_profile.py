@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tokenfold.operators import folds as J
 from tokenfold.operators import patterns as P
 from tokenfold.operators import quality as Q
 from tokenfold.operators import summaries as Y
+from tokenfold.session import drop_folder, settle, shared_folder
 from tokenfold.sources import tables as A
 from tokenfold.workload import query
 from tokenfold.workload import views as W
@@ -57,6 +60,49 @@ def _(s, d):
     return A.fold_violations(f, known, 5)
 
 
+def _round_trip(spark, name, write, read):
+    """Write to a folder of its own in the shared place, read back, settle and drop the folder."""
+    folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    write(folder)
+    rows = settle(read(folder))
+    drop_folder(spark, folder)
+    return rows
+
+
+@query("a5_write_scores", "seed sample_id label:s fold", "select seed, sample_id, label, fold from folds3")
+def _(s, d):
+    f = W.folds(s, d, W.SEEDS)
+    return _round_trip(s, "scores", lambda p: A.write_scores(f, p), s.read.parquet)
+
+
+@query("a6_write_predictions", "sample_id label:s", "select sample_id, label from samples")
+def _(s, d):
+    return _round_trip(s, "predictions", lambda p: A.write_predictions(W.samples(s, d), p),
+                       lambda p: s.read.option("header", True).schema("sample_id long, label string").csv(p))
+
+
+@query("a7_write_metrics", "label:s n balance:d", "select c_mktsegment label, count(*) n, round(sum(cast(c_acctbal as decimal(18,2))),2) balance from customer group by 1")
+def _(s, d):
+    m = W.table(s, d, "customer").groupBy(F.col("c_mktsegment").alias("label")).agg(
+        F.count("*").alias("n"), F.sum(F.col("c_acctbal").cast("decimal(18,2)")).cast("double").alias("balance"))
+    return _round_trip(s, "metrics", lambda p: A.write_metrics(m, p), lambda p: s.read.schema("label string, n long, balance double").json(p))
+
+
+@query("a8_required_columns", "place column:s present missing", """
+ select 0 place, 'doc_id' as "column", 1 present, count(*) filter (doc_id is null) missing from documents
+ union all select 1, 'text', 1, count(*) filter (text is null) from documents union all select 2, 'summary', 0, count(*) from documents""")
+def _(s, d):
+    return A.column_report(W.table(s, d, "documents"), ["doc_id", "text", "summary"])
+
+
+@query("b7_schema_parity", "place column:s other:s a_rows b_rows", """
+ select 1 place, 'c_name' as "column", 's_name' other, (select count(*) from customer) a_rows, (select count(*) from supplier) b_rows
+ union all select 0, 'c_custkey', 's_suppkey', (select count(*) from customer), (select count(*) from supplier)""")
+def _(s, d):
+    left = W.table(s, d, "customer").select("c_custkey", "c_name", F.col("c_nationkey").alias("nation"))
+    return A.parity_report(left, W.table(s, d, "supplier").select("s_suppkey", "s_name", F.col("s_nationkey").alias("nation")))
+
+
 @query("a9_table_fingerprint", "n fingerprint:s",
        f"select n, sha256(key) fingerprint from ({digest('l_orderkey,l_partkey,l_linenumber', 'lineitem', '1')})".replace("select 1,", "select 1 one,").replace("group by 1", "group by one"))
 def _(s, d):

@@ -201,10 +201,14 @@ def _(s, d):
     return T.document_terms(W.cells(s, d), W.samples(s, d))
 
 
-@query("i15_mutation_document", "sample_id n_terms", f"""
- select s.sample_id, greatest(count(t.term),1) n_terms from samples s left join (select * from {_TERMS} where term is not null) t using (sample_id) group by 1""")
+# Terms of a document stand by gene, then event, then kind; the sorted terms must agree, and their number.
+@query("i15_mutation_document", "sample_id n_terms digest:s", f"""
+ select s.sample_id, greatest(count(t.term),1) n_terms, md5(coalesce(string_agg(t.term, ' ' order by t.term), 'NO_MUTATION')) digest
+ from samples s left join (select * from {_TERMS} where term is not null) t using (sample_id) group by 1""")
 def _(s, d):
-    return T.mutation_document(W.cells(s, d), W.samples(s, d)).select("sample_id", F.size(F.split("text", " ")).alias("n_terms"))
+    words = F.split("text", " ")
+    return T.mutation_document(W.cells(s, d), W.samples(s, d)).select(
+        "sample_id", F.size(words).alias("n_terms"), F.md5(F.array_join(F.array_sort(words), " ")).alias("digest"))
 
 
 def _tfidf(terms: str, n: str, min_df: int, top: int, weight: str = "1e0") -> str:
