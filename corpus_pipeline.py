@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenfold.llm import mixing, packing, quality, repeats, simhash
-from tokenfold.llm.common import drop_folder, shared_folder, table
+from tokenfold.llm.common import table
+from tokenfold.session import drop_folder, shared_folder
 
 #: Lowest quality score that stays.
 LEAST_QUALITY = 0.7

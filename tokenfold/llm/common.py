@@ -19,18 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or the one that a local session falls back to."""
-    settle(spark.range(1))  # a session without the setting gets its folder here
-    return spark.conf.get("spark.checkpoint.dir", None) or str(spark.sparkContext.getCheckpointDir()).rsplit("/", 1)[0]
-
-
-def drop_folder(spark: SparkSession, folder: str) -> None:
-    """Delete a folder that this library wrote, wherever it lies."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def lower_ascii(text: Column) -> Column:
     """A-Z to a-z; every other character stays."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -40,7 +28,7 @@ def slices_for(rows: int, per_slice: int) -> int:
     return max(1, math.ceil(rows / per_slice))
 
 
-def numbered(df: DataFrame, group: list[str], order: list[str], rows: int, name: str, value: str | None = None, per_slice: int = 50_000) -> DataFrame:
+def numbered(df: DataFrame, group: list[str], order: list[str], rows: int, name: str, value: str | None = None, per_slice: int = 10_000) -> DataFrame:
     """Add a gapless number from 0 inside each group as column ``name``, or the sum of ``value`` over the rows before.
 
     A group is cut into hashed slices of about ``per_slice`` rows of the whole
