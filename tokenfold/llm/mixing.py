@@ -108,7 +108,8 @@ def mixed_spans(placed: DataFrame, taken: DataFrame, block: int = BLOCK, how: st
     parts = parts.withColumn("first", F.greatest(F.lit(0).cast("long"), F.col("block") * block - F.col("start")))
     parts = parts.withColumn("_in", F.col("start") + F.col("first") - F.col("block") * block)
     parts = parts.withColumn("n", F.least(F.col("size") - F.col("first"), block - F.col("_in")))
-    got = parts.join(taken, ["nth", "block"], how)
+    # both sides grow with the words; the planner cannot see how many rows an explode makes
+    got = parts.join(taken.hint("merge"), ["nth", "block"], how)
     in_slot = F.coalesce(F.col("words"), F.lit(0).cast("long")) - F.col("_in")
     return got.withColumn("n", F.greatest(F.lit(0).cast("long"), F.least(F.col("n"), in_slot))).drop("_in", "words")
 
