@@ -244,7 +244,7 @@ def test_automaton_equals_edit_distance():
     rng = random.Random(7)
     terms = ["".join(rng.choice("abc") for _ in range(rng.randint(3, 8))) for _ in range(40)]
     words, stems = sorted(set(terms[:25])), sorted(set(terms[25:]))
-    trie = toxicity.Trie(words, stems)
+    trie, matcher = toxicity.Trie(words, stems), toxicity.Matcher(toxicity.Lexicon(words, stems))
     for _ in range(600):
         w = "".join(rng.choice("abcw") for _ in range(rng.randint(0, 10)))
         want = {}
@@ -254,6 +254,7 @@ def test_automaton_equals_edit_distance():
                 if d <= (1 if len(t) >= toxicity.LEAST_MISSPELLED else 0):
                     want[t + "-" * (kind == "s")] = d
         assert trie.matches(w) == want
+        assert not want or matcher.possible(w)
 
 
 def test_quotation_counts_in_part():
