@@ -81,7 +81,7 @@ def test_registry_links_to_known_blocks():
 
 
 def test_oof_run_covers_every_sample(spark, inputs):
-    rows = T.label_ids(inputs.folds).withColumn("x", (F.col("sample_id") % 4).cast("double"))
+    rows = T.label_ids(inputs.samples).withColumn("x", (F.col("sample_id") % 4).cast("double"))
     valid, _ = T.oof_run(T.dense_rows(rows, ["x"]), T.logistic(iterations=5), 4, 5)
     out = valid.collect()
     assert len(out) == 40 and all(abs(sum(r["p"]) - 1) < 1e-6 for r in out)
@@ -102,6 +102,23 @@ def test_stream_hotspots_equal_batch(spark, inputs, tmp_path):
     assert got == sorted(tuple(r) for r in H.apply_hotspots(E.build_events(cells), hot).collect()) and got
 
 
+def test_stream_scores_are_whole_when_cells_come_late(spark, inputs, tmp_path):
+    from tokenfold.operators import genes as G
+    from tokenfold.operators import signatures as Z
+    from tokenfold.streaming import scoring
+
+    cells = inputs.cells
+    src = str(tmp_path / "cells")
+    cells.repartition(4, "gene").write.parquet(src)  # a sample's cells are spread over the batches
+    cells.limit(20).write.mode("append").parquet(src)  # and some come twice
+    weights = Z.class_weights(G.gene_presence(E.build_events(cells)), inputs.samples)
+    stream = spark.readStream.schema(cells.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    scoring.write_scores(stream, weights, str(tmp_path / "scores"), str(tmp_path / "cp")).awaitTermination()
+    got = {(r["sample_id"], r["label"]): (round(r["weighted"], 9), r["matches"]) for r in scoring.latest_scores(spark, str(tmp_path / "scores")).collect()}
+    want = Z.signature_score(G.gene_presence(E.build_events(cells)), weights).collect()
+    assert got == {(r["sample_id"], r["label"]): (round(r["weighted"], 9), r["matches"]) for r in want} and got
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables absent")
 def test_entry_runs(spark):
     import __spark_entry__ as D

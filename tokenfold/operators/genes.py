@@ -153,8 +153,8 @@ def stable_gene_onehot(events: DataFrame, genes: DataFrame) -> DataFrame:
     return kept.select(*SG, "conseq").distinct()
 
 
-def pathway_table(spark, pathways: Mapping[str, str] = V.PATHWAYS) -> DataFrame:
-    rows = [(p, g) for p, genes in pathways.items() for g in genes.split()]
+def pathway_table(spark, pathways: Mapping[str, Sequence[str]] = V.PATHWAYS) -> DataFrame:
+    rows = [(p, g) for p, genes in pathways.items() for g in genes]
     return spark.createDataFrame(rows, "pathway string, gene string")
 
 
