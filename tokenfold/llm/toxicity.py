@@ -16,7 +16,7 @@ from tokenfold.llm.quality import labelled_sample
 from tokenfold.session import settle
 
 #: Labelled documents of each class that the lexicon and the weights are learnt from, and the longest lexicon.
-ONES, ZEROS, TERMS = 4_000, 8_000, 2_000
+ONES, ZEROS, TERMS = 2_000, 4_000, 2_000
 #: Tokens on each side that make a context, and how much a quoted match counts.
 WINDOW, QUOTED = 20, 0.25
 #: Shortest term that may be misspelled, and the edits it may have.
@@ -84,11 +84,33 @@ class Lexicon:
 
 
 class Matcher:
-    """Finds weighted matches in texts; remembers tokens it has met, within a bound."""
+    """Finds weighted matches in texts; remembers tokens it has met, within a bound.
+
+    One edit leaves the first or the second half of a term as it is: a token can
+    match only if it starts like a term's first half or holds the start of a
+    second half at most one place off. Only such tokens meet the trie.
+    """
 
     def __init__(self, lexicon: Lexicon, kept: int = 200_000):
         self.lexicon, self.trie, self.kept = lexicon, Trie(lexicon.words, lexicon.stems), kept
         self.met: dict[str, tuple[str, int] | None] = {}
+        terms = [*lexicon.words, *lexicon.stems]
+        self.heads = {t[:2] for t in terms}
+        tails: dict[int, set[str]] = {}
+        for t in terms:
+            if len(t) >= LEAST_MISSPELLED:
+                half = len(t) // 2
+                for at in (half - 1, half, half + 1):
+                    tails.setdefault(at, set()).add(t[half:half + 3])
+        self.tails = sorted(tails.items())
+
+    def possible(self, token: str) -> bool:
+        if token[:2] in self.heads:
+            return True
+        for at, held in self.tails:
+            if token[at:at + 3] in held:
+                return True
+        return False
 
     def best(self, token: str) -> tuple[str, int] | None:
         """The term that ``token`` spells, with its edits: fewest edits, then the longest term."""
@@ -97,7 +119,7 @@ class Matcher:
         except KeyError:
             pass
         bare = token.strip(_EDGE)
-        found = self.trie.matches(bare) if len(bare) >= LEAST_STEM else {}
+        found = self.trie.matches(bare) if len(bare) >= LEAST_STEM and self.possible(bare) else {}
         got = min(found.items(), key=lambda x: (x[1], -len(x[0]), x[0])) if found else None
         if len(self.met) >= self.kept:
             self.met.clear()
@@ -159,12 +181,15 @@ def learn_terms(sample: DataFrame, terms: int = TERMS) -> tuple[list[str], list[
     bare = F.transform(F.array_distinct(token), lambda t: F.regexp_replace(t, rf"^[{re.escape(_EDGE)}]+|[{re.escape(_EDGE)}]+$", ""))
     doc = sample.select("_label", F.array_distinct(F.filter(bare, lambda t: F.length(t) >= LEAST_STEM)).alias("ts"))
     doc = doc.withColumn("g", F.array_min(F.transform("ts", lambda t: F.xxhash64(t))))
-    held = settle(doc.select("_label", "g", F.explode("ts").alias("t")))
-    base = held.select("_label", "g").distinct().agg(F.avg("_label")).first()[0]
-    support = [F.countDistinct(F.when(F.col("_label") == 1, F.col("g"))).alias("ones"), F.countDistinct("g").alias("n")]
+    held = doc.select("_label", "g", F.explode("ts").alias("t")).groupBy("t", "g").agg(F.max("_label").alias("one"))
+    held = settle(held)
+    base = held.groupBy("g").agg(F.max("one").alias("one")).agg(F.avg("one")).first()[0]
+    support = [F.sum("one").alias("ones"), F.count(F.lit(1)).alias("n")]
     cuts = F.explode(F.transform(F.sequence(F.lit(LEAST_STEM), F.least(F.length("t"), F.lit(8))), lambda k: F.substring(F.col("t"), F.lit(1), k)))
     words = settle(held.groupBy("t").agg(*support))
-    stems = settle(held.select("_label", "g", "t", cuts.alias("s")).groupBy("s").agg(*support, F.countDistinct("t").alias("forms")).where(F.col("forms") >= LEAST_FORMS))
+    forms = words.select(cuts.alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("forms")).where(F.col("forms") >= LEAST_FORMS)
+    cut = held.select("g", "one", cuts.alias("s")).groupBy("s", "g").agg(F.max("one").alias("one"))
+    stems = settle(cut.groupBy("s").agg(*support).join(forms, "s"))
     words, stems = (_telling(x, base).orderBy(F.desc("ones"), x.columns[0]).limit(terms).collect() for x in (words, stems))
     taken: list[str] = []
     for s in sorted((r["s"] for r in stems), key=lambda s: (len(s), s)):
