@@ -175,7 +175,8 @@ def learn_terms(sample: DataFrame, terms: int = TERMS) -> tuple[list[str], list[
 
     Copies of a document must not make its words a lexicon, so support counts
     groups of documents that share their smallest token hash, not documents. A
-    stem needs several words that go on from it and takes these words' place.
+    stem needs several words that go on from it, is as long as its documents
+    allow, and takes these words' place.
     """
     token = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(_SPARK_TOKEN))
     bare = F.transform(F.array_distinct(token), lambda t: F.regexp_replace(t, rf"^[{re.escape(_EDGE)}]+|[{re.escape(_EDGE)}]+$", ""))
@@ -195,6 +196,10 @@ def learn_terms(sample: DataFrame, terms: int = TERMS) -> tuple[list[str], list[
     for s in sorted((r["s"] for r in stems), key=lambda s: (len(s), s)):
         if not any(s.startswith(x) for x in taken):
             taken.append(s)
+    seen = {r["s"]: r["ones"] for r in stems}
+    for i, s in enumerate(taken):  # the longest stem that stands for the same documents
+        while longer := [e for e in seen if len(e) == len(s) + 1 and e.startswith(s) and seen[e] >= 0.98 * seen[s]]:
+            s = taken[i] = longer[0]
     return sorted(r["t"] for r in words if not any(r["t"].startswith(x) for x in taken)), taken
 
 
