@@ -165,6 +165,63 @@ def test_near_vectors_of_repeated_rows_and_none(spark):
     assert pivots.near_vectors(df.limit(0)).count() == 0
 
 
+def crowd(rng, n, cosine, dim=64):
+    """Unit vectors of which a third form one isotropic group with about ``cosine`` between any two; the others are far or near pairs."""
+    def units(k):
+        x = rng.normal(size=(k, dim))
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    centre, m = units(1), n // 3
+    spread = units(m)
+    spread -= spread @ centre.T * centre
+    group = np.sqrt(cosine) * centre + np.sqrt(1 - cosine) * spread / np.linalg.norm(spread, axis=1, keepdims=True)
+    far = units(n - m)
+    far[:n // 9] = 0.97 * far[n // 9:2 * (n // 9)] + 0.22 * far[:n // 9]
+    return np.concatenate([group, far])
+
+
+@pytest.mark.parametrize("n,cosine,per_tile", [(1500, 0.95, 20_000), (1500, 0.98, 200), (9000, 0.96, 20_000), (9000, 0.955, 1100)])
+def test_near_vectors_of_a_group_of_a_third(spark, n, cosine, per_tile):
+    x = crowd(np.random.default_rng(n), n, cosine)
+    got = {r.vec_id: r for r in pivots.near_vectors(spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>"), per_tile=per_tile).collect()}
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    links = x @ x.T >= 0.95
+    want = links.sum(axis=1) - 1
+    found = np.array([got[i].n_links for i in range(n)])
+    m = n // 3
+    assert (found <= want).all()
+    assert found[:m].sum() >= 0.995 * want[:m].sum() > 0.4 * m * m
+    assert found[m:].sum() >= 0.97 * want[m:].sum() > 0
+    assert np.mean([got[i].component_id == 0 for i in range(m)]) >= 0.995
+
+
+def test_near_vectors_within_one_group_meet(spark):
+    x = crowd(np.random.default_rng(5), 900, 0.95)[:300]
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in pivots.near_vectors(df).collect()}
+    assert [got[i] for i in range(300)] == ((x @ x.T >= 0.95).sum(axis=1) - 1).tolist()
+
+
+@pytest.mark.parametrize("dense", [0.2, 0.6])
+def test_spanning_links_join_the_same_rows(dense):
+    rng = np.random.default_rng(2)
+    for _ in range(60):
+        a, b = rng.permutation(40)[:rng.integers(1, 20)], np.arange(40, 40 + rng.integers(1, 30))
+        hits = rng.random((len(a), len(b))) < dense * rng.random()
+        i, j = np.nonzero(hits)
+        x, y = pivots._spanning(hits, a, b)
+        plain = lambda links: sorted(map(sorted, _joined(links)))
+        assert plain(zip(x.tolist(), y.tolist())) == plain(zip(a[i].tolist(), b[j].tolist()))
+
+
+def _joined(links):
+    groups = []
+    for a, b in links:
+        own = [g for g in groups if a in g or b in g]
+        groups = [g for g in groups if g not in own] + [{a, b}.union(*own)]
+    return groups
+
+
 # ---- quality -----------------------------------------------------------------------------------------------------
 
 def test_chunks_cover_every_byte():

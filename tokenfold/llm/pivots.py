@@ -18,6 +18,8 @@ COSINE = 0.95
 PREFIX = 6
 #: The index has sqrt(vectors) pivots, at most this many (their matrix is broadcast).
 MOST_PIVOTS = 16_384
+#: Candidates drawn for a pivot, and the numbers that all candidates may hold on the driver.
+DRAWN, MOST_DRAWN = 4, 1 << 25
 #: Members of an inverted list that one task holds on each side.
 PER_TILE = 20_000
 
@@ -28,6 +30,42 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _apart(x: np.ndarray, most: int, cosine: float, least: int, step: int = 256) -> np.ndarray:
+    """Numbers of the first ``most`` rows with a cosine below ``cosine`` to every row chosen before; the next rows if that gives under ``least``."""
+    held: list[int] = []
+    for at in range(0, len(x), step):
+        new = x[at:at + step]
+        free = (new @ x[held].T).max(axis=1) < cosine if held else np.ones(len(new), bool)
+        own: list[int] = []
+        near = new @ new.T >= cosine
+        for i in np.flatnonzero(free).tolist():
+            if not near[i, own].any():
+                own.append(i)
+        held += [at + i for i in own]
+        if len(held) >= most:
+            break
+    held = held[:most]
+    if len(held) < least:
+        held += np.setdiff1d(np.arange(len(x)), held)[:least - len(held)].tolist()
+    return np.array(held, np.int64)
+
+
+def _spanning(hits: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Few links (of rows ``a`` and columns ``b`` by number) that join what all of ``hits`` join."""
+    x, y = np.empty(0, np.int64), np.empty(0, np.int64)
+    label = np.arange(max(a.max(), b.max()) + 1)
+    left = hits
+    while True:
+        row, col = np.flatnonzero(left.any(axis=1)), np.flatnonzero(left.any(axis=0))
+        if not len(row):
+            return x, y
+        x = np.concatenate([x, a[row], a[left[:, col].argmax(axis=0)]])
+        y = np.concatenate([y, b[left[row].argmax(axis=1)], b[col]])
+        x, y = _forest(x, y)
+        label[x] = y
+        left = left & (label[a][:, None] != label[b])
+
+
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Fewer pairs that join the same rows."""
     ids, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -47,18 +85,19 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _list_links(p: int, across: bool, x: np.ndarray, prefix: np.ndarray, ball: np.ndarray, side: np.ndarray, n: np.ndarray, cosine: float,
-                step: int = 512, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+                step: int = 256, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(links to add to each member, linked members) of the inverted list of pivot ``p``.
 
     Members that share a second pivot are compared; a pair counts only where
-    ``p`` and that pivot are the two smallest that it shares. Pairs of one ball
-    are linked and counted elsewhere.
+    ``p`` and that pivot are the two smallest that it shares. Where a block is
+    dense in links, they are counted as a matrix and only a spanning part of
+    them is kept. Pairs of one ball are linked and counted elsewhere.
     """
     add = np.zeros(len(x), np.int64)
     left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     row, col = np.nonzero(prefix > p)
     second = prefix[row, col]
-    order = np.lexsort((ball[row], second))
+    order = np.lexsort((*prefix[row].T[::-1], ball[row], second))
     row, second = row[order], second[order]
     cuts = np.flatnonzero(np.diff(second, prepend=-2))
     for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(row)]):
@@ -67,22 +106,42 @@ def _list_links(p: int, across: bool, x: np.ndarray, prefix: np.ndarray, ball: n
             continue
         balls = ball[member]
         ends = np.where(balls >= 0, np.searchsorted(balls, balls, side="right"), np.arange(len(member)) + 1)
+        # pivots under q besides p: a pair that shares one of them counts there
+        under = np.where((prefix[member] < q) & (prefix[member] != p), prefix[member], -1)
         for at in range(0, len(member), step):
             a, begin = member[at:at + step], int(ends[at])
-            b = member[begin:]
-            if not len(b):
-                break
-            i, j = np.nonzero(x[a] @ x[b].T >= cosine)
-            keep = j + begin >= ends[at + i]
-            if across:
-                keep &= side[a[i]] != side[b[j]]
-            i, j = a[i[keep]], b[j[keep]]
-            shared = (prefix[i][:, :, None] == prefix[j][:, None, :]).any(axis=2) & (prefix[i] >= 0)
-            low = np.sort(np.where(shared, prefix[i], np.iinfo(np.int32).max), axis=1)[:, :2]
-            own = (low[:, 0] == p) & (low[:, 1] == q)
-            i, j = i[own], j[own]
-            np.add.at(add, i, n[j])
-            np.add.at(add, j, n[i])
+            to = np.arange(begin, len(member))
+            for r in under[at]:
+                if r >= 0 and len(to) and (under[at:at + step] == r).any(axis=1).all():
+                    to = to[(under[to] != r).all(axis=1)]
+            if not len(to):
+                continue
+            b = member[to]
+            hits = x[a] @ x[b].T >= cosine
+            if np.count_nonzero(hits) > 4 * (len(a) + len(b)):
+                hits &= to >= ends[at:at + step, None]
+                if across:
+                    hits &= side[a][:, None] != side[b]
+                for r in np.intersect1d(under[at:at + step], under[to]):
+                    if r >= 0:
+                        mine, its = np.flatnonzero((under[at:at + step] == r).any(axis=1)), np.flatnonzero((under[to] == r).any(axis=1))
+                        hits[np.ix_(mine, its)] = False
+                # a member stands once in the list of a second pivot
+                add[a] += hits @ n[b]
+                add[b] += n[a] @ hits
+                i, j = _spanning(hits, a, b)
+            else:
+                i, j = np.nonzero(hits)
+                keep = to[j] >= ends[at + i]
+                if across:
+                    keep &= side[a[i]] != side[b[j]]
+                i, j = a[i[keep]], b[j[keep]]
+                shared = (prefix[i][:, :, None] == prefix[j][:, None, :]).any(axis=2) & (prefix[i] >= 0)
+                low = np.sort(np.where(shared, prefix[i], np.iinfo(np.int32).max), axis=1)[:, :2]
+                own = (low[:, 0] == p) & (low[:, 1] == q)
+                i, j = i[own], j[own]
+                np.add.at(add, i, n[j])
+                np.add.at(add, j, n[i])
             left.append(i)
             right.append(j)
             if sum(map(len, left)) > most:
@@ -95,9 +154,12 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, key: str = "vec_id"
                  most_pivots: int = MOST_PIVOTS, per_tile: int = PER_TILE) -> DataFrame:
     """Links and groups of vectors at ``cosine`` or more: (vec_id, n_links, component_id, kept).
 
-    Equal vectors are one point with a count. sqrt(points) pivots, taken in hash
-    order, describe a point by its ``prefix`` nearest ones; inverted lists hold
-    the points under each of these. Points that share two pivots are compared in
+    Equal vectors are one point with a count. Up to sqrt(points) pivots, taken in
+    hash order and at least twice the angle of ``cosine`` apart, describe a point
+    by its ``prefix`` nearest ones; inverted lists hold the points under each of
+    these. So a dense group has one or few pivots of its own however many rows it
+    holds, and its other nearest ones are far ones that its points have in common
+    (where fewer than ``prefix`` are apart, close ones fill up and all pairs meet). Points that share two pivots are compared in
     double precision, so only true links are found; near-duplicates that share
     fewer are missed (recall is measured in the tests). Points within half the
     angle of their nearest pivot form a ball: they are all linked, which counts a
@@ -117,8 +179,11 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, key: str = "vec_id"
     count = points.count()
     dim = width(points, "v")
     wanted = min(most_pivots, max(32, math.isqrt(count)))
-    held = points.orderBy(F.xxhash64(F.lit("pivot"), "point"), "point").limit(wanted).select("point", "v").toArrow()
-    pivots = spark.sparkContext.broadcast((_unit(matrix(held.column("v"), dim)) if held.num_rows else np.zeros((0, dim)), held.column("point").to_numpy()))
+    drawn = max(wanted, min(DRAWN * wanted, MOST_DRAWN // max(1, dim)))
+    held = points.orderBy(F.xxhash64(F.lit("pivot"), "point"), "point").limit(drawn).select("point", "v").toArrow()
+    near = _unit(matrix(held.column("v"), dim)) if held.num_rows else np.zeros((0, dim))
+    apart = _apart(near, wanted, 2 * cosine**2 - 1 if cosine > 0 else -1.0, prefix)
+    pivots = spark.sparkContext.broadcast((near[apart], held.column("point").to_numpy()[apart]))
     ball_cosine = math.sqrt((1 + cosine) / 2) + 1e-9
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
