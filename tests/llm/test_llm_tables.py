@@ -333,6 +333,26 @@ def test_toxicity_learns(labelled):
     assert toxicity.scored(docs.select("doc_id", "text").limit(0), lexicon).count() == 0
 
 
+def test_toxicity_learns_short_words(spark):
+    rng = random.Random(16)
+    vocab = ["".join(rng.choice("abcdefghimnoprst") for _ in range(rng.randint(1, 8))) for _ in range(300)]
+    rows, labels = [], []
+    for i in range(500):
+        t = [w for w in rng.choices(vocab, k=rng.randint(20, 200))]
+        for _ in range(3 * (i % 4 == 0)):
+            t.insert(rng.randrange(len(t)), rng.choice(["kux", "zw", "~kux"]))
+        rows.append((i, " ".join(t)))
+        if i < 400:
+            labels.append((i, int(i % 4 == 0)))
+    rows += [(900, "zw kux"), (901, "kuxa zwe ku z"), (902, "a b")]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    lexicon = toxicity.train(docs, labels, F.lit(True))
+    assert {"kux", "zw"} <= set(lexicon.words) and all(len(x) >= toxicity.LEAST_STEM for x in lexicon.stems)
+    got = {r.doc_id: r.score for r in toxicity.scored(docs, lexicon).collect()}
+    assert sum((got[i] >= 0.7) == (i % 4 == 0) for i in range(400, 500)) >= 97
+    assert got[900] >= 0.7 > got[901] and got[902] < 0.7
+
+
 def test_toxicity_without_labels(labelled):
     docs, labels = labelled
     assert toxicity.Matcher(toxicity.train(docs, labels.limit(0), F.lit(True))).score("x") == pytest.approx(0.5)

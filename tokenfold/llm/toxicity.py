@@ -119,7 +119,7 @@ class Matcher:
         except KeyError:
             pass
         bare = token.strip(_EDGE)
-        found = self.trie.matches(bare) if len(bare) >= LEAST_STEM and self.possible(bare) else {}
+        found = self.trie.matches(bare) if bare and self.possible(bare) else {}
         got = min(found.items(), key=lambda x: (x[1], -len(x[0]), x[0])) if found else None
         if len(self.met) >= self.kept:
             self.met.clear()
@@ -174,24 +174,29 @@ def learn_terms(sample: DataFrame, terms: int = TERMS) -> tuple[list[str], list[
     """(words, stems) that stand almost only in labelled documents of a (doc_id, text, _label) sample.
 
     Copies of a document must not make its words a lexicon, so support counts
-    groups of documents that share their smallest token hash, not documents. A
-    stem needs several words that go on from it, is as long as its documents
-    allow, and takes these words' place.
+    groups of documents that share their smallest token hash, not documents. Words
+    have any length; those under ``LEAST_STEM`` letters are tested apart and match
+    exactly. A stem needs several words that go on from it, is as long as its
+    documents allow, and takes these words' place.
     """
     token = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(_SPARK_TOKEN))
     bare = F.transform(F.array_distinct(token), lambda t: F.regexp_replace(t, rf"^[{re.escape(_EDGE)}]+|[{re.escape(_EDGE)}]+$", ""))
-    doc = sample.select("_label", F.array_distinct(F.filter(bare, lambda t: F.length(t) >= LEAST_STEM)).alias("ts"))
-    doc = doc.withColumn("g", F.array_min(F.transform("ts", lambda t: F.xxhash64(t))))
+    doc = sample.select("_label", F.array_distinct(F.filter(bare, lambda t: t != "")).alias("ts"))
+    # nearly every document holds the same few short tokens: they only tell groups where there is no other
+    least = [F.array_min(F.transform(ts, lambda t: F.xxhash64(t))) for ts in (F.filter("ts", lambda t: F.length(t) >= LEAST_STEM), F.col("ts"))]
+    doc = doc.withColumn("g", F.coalesce(*least))
     held = doc.select("_label", "g", F.explode("ts").alias("t")).groupBy("t", "g").agg(F.max("_label").alias("one"))
     held = settle(held)
     base = held.groupBy("g").agg(F.max("one").alias("one")).agg(F.avg("one")).first()[0]
     support = [F.sum("one").alias("ones"), F.count(F.lit(1)).alias("n")]
-    cuts = F.explode(F.transform(F.sequence(F.lit(LEAST_STEM), F.least(F.length("t"), F.lit(8))), lambda k: F.substring(F.col("t"), F.lit(1), k)))
+    lengths = F.when(F.length("t") >= LEAST_STEM, F.sequence(F.lit(LEAST_STEM), F.least(F.length("t"), F.lit(8))))
+    cuts = F.explode(F.transform(lengths, lambda k: F.substring(F.col("t"), F.lit(1), k)))
     words = settle(held.groupBy("t").agg(*support))
     forms = words.select(cuts.alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("forms")).where(F.col("forms") >= LEAST_FORMS)
     cut = held.select("g", "one", cuts.alias("s")).groupBy("s", "g").agg(F.max("one").alias("one"))
     stems = settle(cut.groupBy("s").agg(*support).join(forms, "s"))
-    words, stems = (_telling(x, base).orderBy(F.desc("ones"), x.columns[0]).limit(terms).collect() for x in (words, stems))
+    kinds = (words.where(F.length("t") >= LEAST_STEM), words.where(F.length("t") < LEAST_STEM), stems)
+    words, short, stems = (_telling(x, base).orderBy(F.desc("ones"), x.columns[0]).limit(terms).collect() for x in kinds)
     taken: list[str] = []
     for s in sorted((r["s"] for r in stems), key=lambda s: (len(s), s)):
         if not any(s.startswith(x) for x in taken):
@@ -200,7 +205,7 @@ def learn_terms(sample: DataFrame, terms: int = TERMS) -> tuple[list[str], list[
     for i, s in enumerate(taken):  # the longest stem that stands for the same documents
         while longer := [e for e in seen if len(e) == len(s) + 1 and e.startswith(s) and seen[e] >= 0.98 * seen[s]]:
             s = taken[i] = longer[0]
-    return sorted(r["t"] for r in words if not any(r["t"].startswith(x) for x in taken)), taken
+    return sorted(r["t"] for r in [*words, *short] if not any(r["t"].startswith(x) for x in taken)), taken
 
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic", key: str = "doc_id", text: str = "text",
