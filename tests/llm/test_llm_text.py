@@ -273,6 +273,26 @@ def test_mixed_texts_hold_the_taken_words(docs, rows):
     assert held == Counter({d: n for d, n in taken.items() if n})
 
 
+def test_shards_add_up_to_the_sources(docs, empty):
+    taken, held, slots, shards = Counter(), Counter(), Counter(), set()
+    for r in mixing.mix_documents(docs, block=16).collect():
+        taken[r.source] += r.taken
+    got = mixing.shard_words(docs, block=16, words=500).collect()
+    for r in got:
+        held[r.source] += r.words
+        slots[r.source] += r.slots
+        shards.add(r.shard)
+        assert 0 < r.words <= 16 * r.slots
+    assert held == Counter({s: n for s, n in taken.items() if n}) and len(got) == len({(r.shard, r.source) for r in got})
+    assert shards <= set(range(sum(taken.values()) // 500 + 2)) and len(shards) > 3
+    # dealt at random: no source stands in one shard, and shares of a large source vary about their mean
+    source, n = slots.most_common(1)[0]
+    most = max(r.slots for r in got if r.source == source)
+    assert n / len(shards) < most < n / len(shards) + 6 * (n / len(shards)) ** 0.5 + 1
+    assert sorted(map(tuple, mixing.shard_words(docs.repartition(5), block=16, words=500).collect()), key=str) == sorted(map(tuple, got), key=str)
+    assert mixing.shard_words(empty).count() == 0
+
+
 def test_permutations_are_permutations(spark):
     for n in (1, 2, 7, 100, 1009):
         got = [r.p for r in spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit(n)).alias("p")).collect()]

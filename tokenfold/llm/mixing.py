@@ -135,6 +135,18 @@ def mix_documents(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share:
     return out.join(per.select("nth", "source", "source_size", "target"), "nth").select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
+def shard_words(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 0, block: int = BLOCK,
+                words: int = SHARD_WORDS, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
+    """What the output shards hold of the mix: (shard, source, slots, words), about ``words`` words a shard.
+
+    A source's slots are dealt to the shards at random; its words add up to its
+    rounded target over all shards. A shard without a source has no row for it.
+    """
+    per = settle(targets(sized(docs, key, source, text), weights, share, most))
+    held = slots(per, seed, block, words).groupBy("shard", "nth").agg(F.count(F.lit(1)).alias("slots"), F.sum("words").alias("words"))
+    return held.join(per.select("nth", "source"), "nth").select("shard", "source", "slots", "words")
+
+
 def mixed_texts(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 0, block: int = BLOCK,
                 key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """The mix itself: a row with the columns of ``docs`` for each pass over a document, with the taken words as its text.

@@ -112,3 +112,8 @@ def op9_simhash_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op10_shard_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.shard_words(table(spark, sf_dir, "documents"))
