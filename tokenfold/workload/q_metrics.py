@@ -196,12 +196,12 @@ def _(s, d):
 # Multinomial draws are seeded per class and chunk; no SQL twin.
 @query("l14_paired_bootstrap", "mean_delta:d ci_lower:d ci_upper:d probability_positive:d ci_lower_ge_0")
 def _(s, d):
-    return M.paired_bootstrap(two3(s, d), 200, 42, C)
+    return M.paired_bootstrap(two3(s, d), 3000, 42, C)
 
 
 @query("l15_bootstrap_se", "se_boot:d ci_lower:d ci_upper:d")
 def _(s, d):
-    return M.bootstrap_se(two3(s, d), 200, 42, C)
+    return M.bootstrap_se(two3(s, d), 3000, 42, C)
 
 
 _SD = f"""select seed, max(case when which='cand' then macro_f1 end)-max(case when which='base' then macro_f1 end) delta from

@@ -197,7 +197,7 @@ def _(s, d):
 # Four-way grid with class and group safety: compared with brute force in the tests.
 @query("k34_select_bidirectional_rule", "pm:d pa:d rm:d ra:d macro_f1:d pair_f1:d rescue harm net_rescue positive_folds class_margin:d group_margin:d rank")
 def _(s, d):
-    return X.select_bidirectional_rule(folded(model(s, d, 0), s, d), groups(s, d), C, (0, 1), W.K, [0.05, 0.2])
+    return X.select_bidirectional_rule(folded(model(s, d, 0), s, d), groups(s, d), C, (0, 1), W.K)
 
 
 MW = [0.0, 0.1, 0.2, 0.3]
