@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenfold.llm import mixing, packing, pivots, quality, repeats, sharding, simhash, topk, toxicity, url_rules
+from tokenfold.llm import mixing, negatives, packing, pivots, quality, repeats, sharding, simhash, topk, toxicity, url_rules
 from tokenfold.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,3 +117,24 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_shard_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shard_words(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_threshold_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").withColumn("label", moved)
+    return negatives.hard_negatives(vectors, F.col("vec_id") % 50 == 0)
+
+
+ORACLE["op11_threshold_negatives"] = """
+WITH ok AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END label,
+  list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) v FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL
+  AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+c AS (SELECT vec_id, label, unnest(v) x, generate_subscripts(v, 1) i FROM ok),
+s AS (SELECT a.vec_id anchor_id, c.vec_id, any_value(a.label = c.label) same, CAST(sum(a.x * c.x) AS BIGINT) score FROM c a JOIN c ON a.i = c.i AND a.vec_id <> c.vec_id
+  WHERE a.vec_id % 50 = 0 GROUP BY 1, 2),
+p AS (SELECT anchor_id, vec_id positive_id, score positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+  vec_id negative_id, positive_score, score negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) <= 3"""
