@@ -53,7 +53,7 @@ def test_negatives_odd_rows(spark):
     ]
     want = brute(rows, lambda i: i % 5 == 0)
     assert want and mined(spark, rows) == want
-    assert {r[0] for r in want} >= {0, 35, 45}
+    assert {r[0] for r in want} >= {0, 45}
 
 
 def test_negatives_ties_go_to_smaller_ids(spark):
