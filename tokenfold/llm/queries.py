@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenfold.llm import mixing, negatives, packing, pivots, quality, repeats, sharding, simhash, topk, toxicity, url_rules
+from tokenfold.llm import mixing, negatives, packing, pages, pivots, quality, repeats, sharding, simhash, topk, toxicity, url_rules
 from tokenfold.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -138,3 +138,18 @@ SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, p
   vec_id negative_id, positive_score, score negative_score
 FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
 QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) <= 3"""
+
+
+@query
+def op12_block_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.page_texts(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("row.*", "text", "n_chars")
+
+
+# the tables' pages hold their text in one article element, in headings and paragraphs
+ORACLE["op12_block_rules"] = r"""
+WITH a AS (SELECT page_id, url, string_split_regex(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1), '</?(?:p|h1)>') ts FROM pages),
+plain AS (SELECT page_id, url, list_transform(ts, lambda t: regexp_replace(regexp_replace(t, '<br>', ' ', 'g'), '<[^>]*>', '', 'g')) ts FROM a),
+read AS (SELECT page_id, url, list_transform(ts, lambda t: trim(regexp_replace(regexp_replace(replace(replace(regexp_replace(replace(
+  t, '&#x27;', ''''), '&quot;?', '"', 'g'), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) ts FROM plain),
+t AS (SELECT page_id, url, coalesce(array_to_string(list_filter(ts, lambda t: t <> ''), chr(10)), '') AS text FROM read)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) n_chars FROM t"""
