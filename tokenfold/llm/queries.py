@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenfold.llm import mixing, negatives, packing, pages, pivots, quality, repeats, sharding, simhash, topk, toxicity, url_rules
+from tokenfold.llm import mixing, negatives, packing, pages, pivots, prefix_trie, quality, repeats, sharding, simhash, topk, toxicity, url_rules
 from tokenfold.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -153,3 +153,27 @@ read AS (SELECT page_id, url, list_transform(ts, lambda t: trim(regexp_replace(r
   t, '&#x27;', ''''), '&quot;?', '"', 'g'), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) ts FROM plain),
 t AS (SELECT page_id, url, coalesce(array_to_string(list_filter(ts, lambda t: t <> ''), chr(10)), '') AS text FROM read)
 SELECT page_id, url, text, CAST(length(text) AS BIGINT) n_chars FROM t"""
+
+
+@query
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))[1]
+
+
+ORACLE["op13_prefix_trie"] = r"""
+WITH r AS (SELECT conv_id c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) i,
+  {'role': coalesce(role, ''), 'text': coalesce(text, '')} t FROM conversations WHERE conv_id IS NOT NULL),
+k AS (SELECT c, count(*) n, xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, length(c::VARCHAR) + 1), lambda i: ascii(substr(c::VARCHAR, i, 1))::BIGINT)),
+  lambda s, x: list_reduce(list_concat([xor(s, x)], list_transform(range(8), lambda j: 0::BIGINT)), lambda y, z: CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384) ELSE y >> 1 END))) % 4 h
+  FROM r GROUP BY c),
+o AS (SELECT k.c, r.i, r.t FROM k JOIN r ON r.c = k.c - k.c % 20 AND r.i <= k.h
+  UNION ALL SELECT k.c, r.i + 3, r.t FROM k JOIN r ON r.c = k.c AND r.i > k.h),
+s AS (SELECT k.c, coalesce(any_value(q.s), []) s FROM k LEFT JOIN (SELECT c, list(t ORDER BY i) s FROM o GROUP BY c) q USING (c) GROUP BY k.c),
+p AS (SELECT c, s, unnest(range(len(s) + 1)) d FROM s),
+n AS (SELECT s[:d] pre, d, min(c) conv_id, count(*) n_convs, string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE len(s) = d) ids FROM p GROUP BY 1, 2),
+w AS (SELECT *, CASE WHEN d = 0 THEN 0 ELSE (n_convs - 1) * len(regexp_extract_all(pre[d].text, '[^\x20\x09-\x0D]+')) END v FROM n),
+f AS (SELECT w.*, (SELECT count(*) FROM n b WHERE b.d = w.d + 1 AND b.pre[:w.d] = w.pre) kids FROM w),
+a AS (SELECT pre[:x] pre, x d, count(*) FILTER (WHERE kids = 0) n_leaves, sum(v) saved FROM (SELECT *, unnest(range(d + 1)) x FROM f) GROUP BY 1, 2)
+SELECT f.conv_id, f.d depth, u.conv_id parent_conv_id, f.n_convs, f.kids n_children, CAST(a.n_leaves AS BIGINT) n_leaves, CAST(a.saved AS BIGINT) saved_tokens,
+  sha256(coalesce(f.ids, '')) ends_sha256
+FROM f JOIN a ON a.d = f.d AND a.pre = f.pre LEFT JOIN n u ON u.d = f.d - 1 AND u.pre = f.pre[:f.d - 1]"""
