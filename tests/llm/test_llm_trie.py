@@ -63,10 +63,10 @@ def random_conversations(n, words, longest, seed, sparse=False):
     return out
 
 
-@pytest.mark.parametrize("first_batch", [1, 3])
-def test_nodes_equal_brute_force(spark, first_batch):
+@pytest.mark.parametrize("first_batch, per_group", [(1, 0), (3, 1 << 17), (2, 40)])
+def test_nodes_equal_brute_force(spark, first_batch, per_group):
     rows = random_conversations(120, 3, 12, first_batch, sparse=first_batch == 3)
-    assert expanded(spark, rows, first_batch=first_batch) == brute(rows)
+    assert expanded(spark, rows, first_batch=first_batch, per_group=per_group) == brute(rows)
 
 
 def test_chains_of_prefixes_and_copies(spark, monkeypatch):
@@ -74,7 +74,7 @@ def test_chains_of_prefixes_and_copies(spark, monkeypatch):
     monkeypatch.setattr(T.running, "__defaults__", (False, False, 8))
     rows = [(c, t, "user", f"w{t} x") for c in range(60) for t in range(c % 37)] + [(200, t, "user", f"w{t} x") for t in range(300)]
     rows += [(1000 + c, t, "user", "same") for c in range(50) for t in range(3)]
-    assert expanded(spark, rows, first_batch=2) == brute(rows)
+    assert expanded(spark, rows, first_batch=2) == brute(rows) == expanded(spark, rows, first_batch=2, per_group=50)
 
 
 def test_odd_rows(spark):

@@ -21,6 +21,8 @@ FAMILY, OPENING = 20, 4
 FIRST_BATCH = 8
 #: Depths in a slice of a path, and bits of an id inside a run of ids, that one task step works on.
 PER_SLICE, RUN_BITS = 4_096, 12
+#: Turns of a group of conversations that one task inserts.
+PER_GROUP = 1 << 17
 #: Path of the root, which holds no turn.
 ROOT = -1
 CHAIN = "array<struct<path:bigint,depth:int>>"
@@ -195,12 +197,13 @@ class Trie:
         at = self.matched(at).join(self.paths.select("path", "chain"), "path", "left")
         return at.select("conv", "size", "path", "depth", F.coalesce("chain", F.array().cast(CHAIN)).alias("chain"))
 
-    def inserted(self, batch: DataFrame) -> Trie:
+    def inserted(self, batch: DataFrame, per_group: int = PER_GROUP) -> Trie:
         """The trie with a batch of different conversations (conv, size).
 
-        Conversations that leave the trie at one place by the same turn form a group; one of them, drawn by hash, becomes a new
-        path, the others are compared with it. Of the turns that still tell a group's members apart, each draw settles half on
-        average, so rounds grow with the logarithm of the batch, also for a chain of prefixes.
+        Conversations that leave the trie at one place by the same turn form a group. A group of at most ``per_group`` turns is
+        inserted by one task. Of a larger one, a member drawn by hash becomes a new path and the others are compared with it, which
+        splits the group; each draw settles half of the turns that still tell members apart on average, so rounds grow with the
+        logarithm of the group, also for a chain of prefixes.
         """
         paths, ends = [x for x in (self.paths,) if x is not None], [x for x in (self.ends,) if x is not None]
         at = settle(self.located(batch))
@@ -209,20 +212,55 @@ class Trie:
             left = at.where("depth < size")
             if left.isEmpty():
                 break
-            left = settle(self.named(left, F.col("depth") + 1))
-            hung = F.concat("chain", F.array(F.struct("path", "depth"))).cast(CHAIN)
-            left = left.withColumns({"chain": hung, "mouth": F.struct("depth", "a", "b")})
-            drawn = left.groupBy("mouth").agg(F.min(F.struct(F.xxhash64("conv").alias("h"), "conv", "size")).alias("r"))
-            drawn = settle(drawn.select("mouth", F.col("r.conv").alias("rep"), F.col("r.size").alias("end")))
-            new = left.join(drawn, "mouth").withColumn("upto", F.least("size", "end"))
-            paths.append(settle(new.where("conv = rep").select(F.col("rep").alias("path"), F.col("path").alias("parent"), F.col("depth").alias("start"), "end", "chain")))
-            asked = new.withColumns({"path": F.col("rep"), "depth": F.when(F.col("conv") == F.col("rep"), F.col("size")).otherwise(F.col("depth") + 1)})
+            left = self.named(left, F.col("depth") + 1).withColumn("h", F.xxhash64("conv")).withColumn("mouth", F.struct("depth", "a", "b"))
+            left = settle(left.drop("a", "b"))
+            groups = left.groupBy("mouth").agg(F.sum(F.col("size") - F.col("depth")).alias("turns"), F.min(F.struct("h", "conv", "size")).alias("r"))
+            left = settle(left.join(groups.select("mouth", "turns", F.col("r.conv").alias("rep"), F.col("r.size").alias("end")), "mouth"))
+            grown = settle(self._grown(left.where(F.col("turns") <= per_group)))
+            new = F.col("start") < F.col("size")
+            hung = F.concat("chain", F.array(F.struct(F.col("parent").alias("path"), F.col("start").alias("depth")))).cast(CHAIN)
+            paths.append(grown.where(new).select(F.col("conv").alias("path"), "parent", "start", F.col("size").alias("end"), hung.alias("chain")))
+            ends.append(grown.select("conv", F.when(new, F.col("conv")).otherwise(F.col("parent")).alias("path"), F.col("size").alias("depth"),
+                                     F.when(new, hung).otherwise(F.col("chain")).alias("chain")))
+            large = left.where(F.col("turns") > per_group)
+            if large.isEmpty():
+                break
+            large = large.withColumn("chain", F.concat("chain", F.array(F.struct("path", "depth"))).cast(CHAIN)).withColumn("upto", F.least("size", "end"))
+            paths.append(large.where("conv = rep").select(F.col("rep").alias("path"), F.col("path").alias("parent"), F.col("depth").alias("start"), "end", "chain"))
+            asked = large.withColumns({"path": F.col("rep"), "depth": F.when(F.col("conv") == F.col("rep"), F.col("size")).otherwise(F.col("depth") + 1)})
             at = settle(self.matched(asked.select("conv", "size", "path", "depth", "upto", "chain")))
         return Trie(self.turns, reduce(DataFrame.unionByName, paths) if paths else None, reduce(DataFrame.unionByName, ends))
 
+    def _grown(self, left: DataFrame) -> DataFrame:
+        """Insert small groups: where each member hangs, (conv, size, parent, start, chain of parent); start = size if it ends on a path there."""
+        group = F.struct(*[F.col(f"mouth.{c}").alias(c) for c in ("depth", "a", "b")]).alias("group")
+        turns = self.turns.join(left.select("conv", group, F.col("depth").alias("above")), "conv").where("depth > above").select("group", "conv", "depth", "a", "b")
+
+        def grow(members: pa.Table, turns: pa.Table) -> pa.Table:
+            own: dict[int, dict[int, tuple[int, int]]] = {}
+            for c, d, a, b in zip(*[turns.column(x).to_pylist() for x in ("conv", "depth", "a", "b")]):
+                own.setdefault(c, {})[d] = a, b
+            out, holder, chains = [], {}, {}
+            for _, conv, size, path, depth, chain in sorted(zip(*[members.column(x).to_pylist() for x in ("h", "conv", "size", "path", "depth", "chain")]), key=lambda m: m[:2]):
+                names, low, high = own[conv], depth, size
+                while low < high:
+                    f = high & (-1 << (low ^ high).bit_length() - 1)
+                    low, high = (f, high) if (f, names[f]) in holder else (low, f - 1)
+                parent = holder[low, names[low]] if low > depth else path
+                above = chains[parent] if low > depth else chain
+                out.append((conv, size, parent, low, above))
+                if low < size:
+                    chains[conv] = [*above, {"path": parent, "depth": low}]
+                    holder.update(((d, names[d]), conv) for d in range(low + 1, size + 1))
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.struct([("path", pa.int64()), ("depth", pa.int32())]))]
+            return pa.table([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=["conv", "size", "parent", "start", "chain"])
+
+        members = left.select("mouth", "h", "conv", "size", "path", "depth", "chain").groupBy("mouth")
+        return members.cogroup(turns.groupBy("group")).applyInArrow(grow, f"conv long, size int, parent long, start int, chain {CHAIN}")
+
 
 def conversation_trie(conversations: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text",
-                      first_batch: int = FIRST_BATCH) -> tuple[Trie, DataFrame]:
+                      first_batch: int = FIRST_BATCH, per_group: int = PER_GROUP) -> tuple[Trie, DataFrame]:
     """(trie of the different rebuilt conversations, its depth nodes); see ``trie_nodes`` for the nodes."""
     sizes, turns = rebuilt_turns(conversations, conv, turn, role, text)
     key = ["size", "a", "b"]
@@ -234,7 +272,7 @@ def conversation_trie(conversations: DataFrame, conv: str = "conv_id", turn: str
     trie = Trie(turns)
     early = F.pmod(F.xxhash64(F.lit("batch"), "conv"), F.lit(first_batch)) == 0
     for part in (early, ~early):
-        trie = trie.inserted(every.where(part))
+        trie = trie.inserted(every.where(part), per_group)
     return trie, trie_nodes(trie, kinds)
 
 
