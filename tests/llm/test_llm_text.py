@@ -151,6 +151,19 @@ def test_repeats_of_a_tiny_vocabulary(spark):
         assert {r.row.doc_id: (r.n_words, r.n_removed, r.kept) for r in got} == dict(enumerate(plain_repeats(texts, window)))
 
 
+def test_repeats_tell_apart_what_sums_of_powers_do_not(spark):
+    """Thue and Morse's sequence and its swap: as letters of one word, and as words of a long window."""
+    turns = [bin(k).count("1") % 2 for k in range(4096)]
+    one, two = "".join("ab"[t] for t in turns[:1024]), "".join("ba"[t] for t in turns[:1024])
+    start = " ".join(f"w{k}" for k in range(34))
+    df = spark.createDataFrame([(0, f"{start} {one}"), (1, f"{start} {two}")], "doc_id long, text string")
+    assert [r.n_removed for r in repeats.remove_repeats(df).collect()] == [0, 0]
+    df = spark.createDataFrame([(0, f"{start} {one}"), (1, f"{start} {one}")], "doc_id long, text string")
+    assert [r.n_removed for r in repeats.remove_repeats(df).collect()] == [35, 35]
+    df = spark.createDataFrame([(k, " ".join(ab[t] for t in turns)) for k, ab in enumerate(("ab", "ba"))], "doc_id long, text string")
+    assert [r.n_removed for r in repeats.remove_repeats(df, window=4096).collect()] == [0, 0]
+
+
 def test_without_repeats_leaves_other_texts_alone(docs, rows):
     got = repeats.without_repeats(docs)
     assert got.columns == docs.columns

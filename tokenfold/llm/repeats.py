@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tokenfold.llm.common import slices_for
-from tokenfold.llm.words import window_hashes, word_hashes
+from tokenfold.llm.words import window_hashes, word_digests
 
 WINDOW = 35
 #: Text bytes of a chunk (documents of one task step) and of a bucket (hashes compared in one task step).
@@ -25,12 +25,10 @@ class _Chunk:
     """The words of a chunk's documents as one stream."""
 
     def __init__(self, texts: list[bytes], window: int):
-        data = np.frombuffer(b"\n".join(texts), np.uint8)
-        self.words, starts, _ = word_hashes(data)
-        sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
-        self.first = np.searchsorted(starts, np.cumsum(sizes) - sizes)
-        self.last = np.append(self.first[1:], len(self.words))
-        self.n_words = self.last - self.first
+        digests, self.n_words = word_digests(texts)
+        self.words, self.others = np.ascontiguousarray(digests[:, 0]), np.ascontiguousarray(digests[:, 1])
+        self.last = np.cumsum(self.n_words)
+        self.first = self.last - self.n_words
         self.begin = np.repeat(self.first, self.n_words)
         self.end = np.repeat(self.last, self.n_words)
         self.window, self.block = window, (window + 1) // 2
@@ -138,8 +136,9 @@ def remove_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW, pe
     chunk sends the distinct hashes of its rolling block-long windows, packed, to
     hash buckets. A bucket answers with the hashes that meet a reference block
     elsewhere. Around these hits the chunk forms the windows that hold one and
-    sends their hashes (95 bits) the same way: what occurs twice is repeated. A
-    passage that many documents share costs each chunk one entry, chunks and
+    sends their hashes the same way, 95 bits from both halves of 128-bit digests
+    of the words: what occurs twice is repeated. A passage that many documents
+    share costs each chunk one entry, chunks and
     buckets have a bounded size, and texts are shuffled once.
 
     Defined cases: a null or blank text has no words; documents shorter than a
@@ -183,7 +182,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW, pe
         start, one = c.windows()
         near = c.around(hits)[start]
         start, one = start[near], one[near]
-        two = window_hashes(c.words, window, 1)[start] >> np.uint64(33) << np.uint64(1)
+        two = window_hashes(c.others, window)[start] >> np.uint64(33) << np.uint64(1)
         order = np.argsort(one, kind="stable")
         one, two = one[order], two[order]
         first, run = _runs(one)

@@ -1,15 +1,19 @@
-"""Words of whole texts as arrays: spans, hashes and rolling window hashes."""
+"""Words of whole texts as arrays: spans, digests and rolling window hashes."""
 
 from __future__ import annotations
 
+from hashlib import blake2b
+from itertools import chain
+
 import numpy as np
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
-_BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _POWERS: dict[int, np.ndarray] = {}
+#: Words whose digests are summed before they are mixed.
+PIECE = 16
 
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
@@ -42,27 +46,33 @@ def spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at[::2], at[1::2]
 
 
-def word_hashes(data: np.ndarray, step: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes, starts, ends) of the words in an array of bytes, worked on in runs of about ``step`` bytes."""
-    starts, ends = spans(data)
-    hashes = np.empty(len(starts), np.uint64)
-    at = 0
-    while at < len(starts):
-        to = max(at + 1, int(np.searchsorted(starts, starts[at] + step)))
-        low, high = starts[at], ends[to - 1]
-        total = np.zeros(high - low + 1, np.uint64)
-        np.cumsum(_BYTE[data[low:high]] * _powers(_BASE, high - low), out=total[1:])
-        own = (total[ends[at:to] - low] - total[starts[at:to] - low]) * _powers(_INVERSE, high - low)[starts[at:to] - low]
-        hashes[at:to] = mixed(own + (ends[at:to] - starts[at:to]).astype(np.uint64))
-        at = to
-    return hashes, starts, ends
-
-
-def window_hashes(words: np.ndarray, width: int, turn: int = 0) -> np.ndarray:
-    """Hash of every ``width`` consecutive words; ``turn`` picks one of many hash functions."""
+def word_digests(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(digests, words of each text): two 64-bit halves of a cryptographic digest of every word, in order.
+
+    Words are told apart by their bytes; each different one is digested once.
+    """
+    words = [t.split() for t in texts]
+    flat = list(chain.from_iterable(words))
+    place = {w: k for k, w in enumerate(dict.fromkeys(flat))}
+    own = np.frombuffer(b"".join(blake2b(w, digest_size=16).digest() for w in place), "<u8").astype(np.uint64).reshape(-1, 2)
+    return own[np.fromiter(map(place.__getitem__, flat), np.int64, len(flat))], np.fromiter(map(len, words), np.int64, len(words))
+
+
+def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
+    """Hash of every ``width`` consecutive words, given as digests.
+
+    Sums of digests times powers roll over short pieces only: over long ones, sequences built like Thue and Morse's would cancel
+    modulo 2**64. The pieces of a window are mixed one after the other.
+    """
     n = len(words) - width + 1
     if n <= 0:
         return np.empty(0, np.uint64)
+    piece = min(width, PIECE)
     total = np.zeros(len(words) + 1, np.uint64)
-    np.cumsum(mixed(words + np.uint64(turn)) * _powers(_BASE, len(words)), out=total[1:])
-    return mixed((total[width:] - total[:-width]) * _powers(_INVERSE, n))
+    np.cumsum(words * _powers(_BASE, len(words)), out=total[1:])
+    rolled = mixed((total[piece:] - total[:-piece]) * _powers(_INVERSE, len(words) - piece + 1))
+    out = rolled[:n]
+    for at in range(piece, width, piece):
+        at = min(at, width - piece)
+        out = mixed(out * _BASE + rolled[at:at + n])
+    return out
