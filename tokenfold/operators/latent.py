@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tokenfold.functions import stats as S
+from tokenfold.operators import blocked as B
 from tokenfold.operators import genes as G
 from tokenfold.operators import hotspots as H
 from tokenfold.operators import summaries as Y
@@ -13,110 +14,104 @@ from tokenfold.operators import text as T
 from tokenfold.session import keep, settle
 
 TINY = 1e-12
+#: Rounds after which a factorisation that has not settled is an error.
+MOST_ROUNDS, MOST_ITERATIONS = 60, 200
+#: Highest degree of a round's filter, and the most that it may lengthen a direction.
+DEGREE, GROWTH = 6, 3e7
 
 
-def _noise(name: str, width: int, seed: int) -> Column:
-    """``width`` numbers in (0, 1) that a row's ``name`` and the seed decide."""
-    return F.array(*[(F.pmod(F.xxhash64(F.lit(seed), F.lit(i), F.col(name)), F.lit(1 << 30)) + 0.5) / float(1 << 30) for i in range(width)])
+class NotConverged(RuntimeError):
+    """The rounds that were allowed have not led to a stable result."""
 
 
-def _dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-
-
-def _times(row: Column, matrix) -> Column:
-    """A row array times a small matrix."""
-    columns = F.array(*[F.array(*[F.lit(float(v)) for v in column]) for column in matrix.T])
-    return F.transform(columns, lambda column: _dot(row, column))
-
-
-def _row_product(entries: Column, width: int) -> Column:
-    """Sum of value * v over a row's entries (value, v)."""
-    zero = F.array(*[F.lit(0.0)] * width)
-    return F.aggregate(entries, zero, lambda s, x: F.zip_with(s, x["v"], lambda a, b: a + x["value"] * b))
-
-
-def _inner(df: DataFrame, name: str, width: int):
-    """Sum of outer products of a column of arrays: a width x width matrix on the driver."""
-    import numpy as np
-
-    v = F.col(name)
-    row = df.agg(*[F.sum(v[i] * v[j]).alias(f"m{i}_{j}") for i in range(width) for j in range(i, width)]).first()
-    m = np.zeros((width, width))
-    for i in range(width):
-        for j in range(i, width):
-            m[i, j] = m[j, i] = row[f"m{i}_{j}"] or 0.0
-    return m
-
-
-def _back(rows: DataFrame, entries: str, name: str, width: int) -> DataFrame:
-    """Transposed product: (feature, z array) = sum over rows of value * the row's array ``name``."""
-    spread = rows.select(F.explode(entries).alias("x"), name)
-    sums = spread.groupBy(F.col("x.feature").alias("feature")).agg(*[F.sum(F.col("x.value") * F.col(name)[i]).alias(f"z{i}") for i in range(width)])
-    return sums.select("feature", F.array(*[F.col(f"z{i}") for i in range(width)]).alias("z"))
-
-
-def _with_state(features: DataFrame, state: DataFrame) -> DataFrame:
-    """(sample_id, e): the entries (feature, value, v) of every sample."""
-    return features.join(state, "feature").groupBy("sample_id").agg(F.collect_list(F.struct("feature", "value", "v")).alias("e"))
-
-
-def svd_state(features: DataFrame, k: int, extra: int = 8, rounds: int = 12, tolerance: float = 1e-4, seed: int = 42) -> DataFrame:
+def svd_state(features: DataFrame, k: int, extra: int | None = None, rounds: int | None = None, tolerance: float = 1e-3, seed: int = 42,
+              cells: int = B.CELLS) -> DataFrame:
     """(feature, v array, s array): right singular vectors and singular values.
 
-    Block power iteration on the rows: a round multiplies the sparse rows with
-    the block and back, features stay a table and only the block's inner
-    products (k + extra squared) come to the driver, where they give the next
-    orthonormal basis. Rounds end when no singular value moves by more than
-    ``tolerance`` of the largest, or after ``rounds``. Signs are fixed so that the
-    largest entry of each vector is positive.
+    Filtered subspace iteration: a round multiplies the sparse rows with a block
+    of k + extra vectors and back, block by block (``blocked``), and the inner
+    products that reach the driver give the best vectors inside the block's span.
+    A Chebyshev polynomial of A'A then damps what lies below the block's smallest
+    singular value. Rounds end when every wanted pair has a residual
+    |A'A v - s^2 v| of at most ``tolerance`` times s times the largest s; if 60 rounds
+    don't suffice, ``NotConverged`` is raised. With ``rounds`` given, that many are
+    made at most, whatever the residual. Signs are fixed so that the largest entry
+    of each vector is positive.
     """
     import numpy as np
 
-    x = keep(features.select("sample_id", "feature", F.col("value").cast("double").alias("value")))
-    names = x.select("feature").distinct()
-    width = min(k + extra, names.count())
-    v = settle(names.select("feature", F.transform(_noise("feature", width, seed), lambda a: a - 0.5).alias("v")))
-    last = None
-    for _ in range(rounds):
-        values, basis = np.linalg.eigh(_inner(v, "v", width))
+    extra = max(64, k // 2) if extra is None else extra
+    x = B.Blocked.of(features, lambda n: max(1, min(k + extra, n)), cells=cells)
+    v, width = x.random(seed, lambda rng, shape: rng.standard_normal(shape)), x.width
+    for done in range(1, (rounds or MOST_ROUNDS) + 1):
+        values, basis = np.linalg.eigh(x.gram(v, x.column_blocks))
         ok = values > TINY * max(values[-1], TINY)
-        v = v.select("feature", _times(F.col("v"), basis[:, ok] / np.sqrt(values[ok])).alias("v"))  # orthonormal columns
-        width = int(ok.sum())
-        rows = _with_state(x, v).select("e", _row_product(F.col("e"), width).alias("y"))
-        rows = keep(rows)
-        ritz, turn = np.linalg.eigh(_inner(rows, "y", width))
-        turned = v.select("feature", _times(F.col("v"), turn[:, ::-1]).alias("v"))
-        s = np.sqrt(np.maximum(ritz[::-1], 0.0))
-        done = last is not None and len(last) == len(s) and np.abs(s - last)[:k].max(initial=0.0) <= tolerance * max(s[0], TINY)
-        v = settle(turned if done else _back(rows, "e", "y", width).select("feature", F.col("z").alias("v")))
-        rows.unpersist()
-        last = s
-        if done:
+        turn = np.zeros_like(basis)
+        turn[:, :ok.sum()] = basis[:, ok] / np.sqrt(values[ok])  # orthonormal columns, then zeros
+        y = keep(x.times(v, turn))
+        ritz, order = np.linalg.eigh(x.gram(y, x.row_blocks))
+        ritz, order = np.maximum(ritz[::-1], 0.0), order[:, ::-1]
+        z = settle(x.back(y))
+        y.unpersist()
+        take, square = min(k, int(ok.sum())), x.gram(z, x.column_blocks)
+        residual = np.sqrt(np.maximum(np.einsum("ij,ik,kj->j", order, square, order) - ritz**2, 0.0))[:take]
+        if (residual <= max(tolerance, 1e-7) * np.sqrt(np.maximum(ritz[0] * ritz[:take], TINY))).all():
             break
+        if done < (rounds or MOST_ROUNDS):
+            best = turn @ order
+            v = _filtered(x, B.mapped(v, width, lambda m, best=best: m @ best), B.mapped(z, width, lambda m, order=order: m @ order), ritz)
     else:
-        v = settle(v.select("feature", _times(F.col("v"), _orthonormal(_inner(v, "v", width))).alias("v")))
-    x.unpersist()
-    take = min(k, width)
-    v = v.select("feature", F.slice("v", 1, take).alias("v"))
-    signs = v.agg(*[F.max_by(F.signum(F.col("v")[i]), F.struct(F.abs(F.col("v")[i]), F.col("feature"))).alias(f"s{i}") for i in range(take)]).first()
-    flip = F.array(*[F.lit(float(signs[i]) or 1.0) for i in range(take)])
-    return v.select("feature", F.zip_with("v", flip, lambda a, b: a * b).alias("v"), F.array(*[F.lit(float(z)) for z in last[:take]]).alias("s"))
-
-
-def _orthonormal(inner):
-    """Matrix that turns columns with the given inner products into orthonormal ones, largest first."""
+        if rounds is None:
+            raise NotConverged(f"{MOST_ROUNDS} rounds leave a residual of {(residual / np.sqrt(np.maximum(ritz[0] * ritz[:take], TINY))).max():.1e}")
+    last = turn @ order[:, :take]
+    wide = settle(B.named(x.columns, "feature", B.mapped(v, width, lambda m: m @ last), take, "v"))
+    if not take:
+        return wide.select("feature", "v", F.col("v").alias("s"))
+    largest = [F.max_by(F.signum(F.col("v")[i]), F.struct(F.abs(F.round(F.col("v")[i], 9)), F.col("feature"))).alias(f"s{i}") for i in range(take)]
+    signs = wide.agg(*largest).first()
+    flip = F.array(*[F.lit(float(sign or 1.0)) for sign in signs])
+    return wide.select("feature", F.zip_with("v", flip, lambda a, b: a * b).alias("v"), F.array(*[F.lit(float(s)) for s in np.sqrt(ritz[:take])]).alias("s"))
+
+
+def _filtered(x: B.Blocked, v: DataFrame, z: DataFrame, ritz) -> DataFrame:
+    """Chebyshev filter of the vectors ``v``, with A'A v = ``z`` and Ritz values ``ritz``; columns keep about their lengths.
+
+    The degree is the highest that keeps the largest direction from drowning the others in rounding. Where that is 1, or the
+    span holds all of the matrix, it is one step of the power iteration.
+    """
     import numpy as np
 
-    values, basis = np.linalg.eigh(inner)
-    return basis[:, ::-1] / np.sqrt(np.maximum(values[::-1], TINY))
+    width, middle = x.width, float(ritz[-1]) / 2
+    if middle <= 1e-6 * ritz[0]:
+        return z
+    rate = np.arccosh(np.maximum((ritz - middle) / middle, 1.0))
+    degree = int(min(DEGREE, np.log(2 * GROWTH) / max(rate[0], 1e-9)))
+    if degree < 2:
+        return z
+    grown = np.cosh(degree * rate)
+    old, new = settle(v), settle(B.weighted((1 / middle, z), (-1.0, v), width=width))
+    for _ in range(degree - 1):
+        y = keep(x.times(new))
+        old, new = new, settle(B.weighted((2 / middle, x.back(y)), (-2.0, new), (-1.0, old), width=width))
+        y.unpersist()
+    return settle(B.mapped(new, width, lambda m: m / grown))
+
+
+def _rows_times(features: DataFrame, state: DataFrame, change=None) -> DataFrame:
+    """(sample_id, y array): a sample's entries times the state's rows, each block changed by ``change``."""
+    width = int(state.agg(F.max(F.size("v"))).first()[0] or 0)
+    if not width:
+        return features.select("sample_id", F.array().cast("array<double>").alias("y")).limit(0)
+    columns, tall = B.tall_of(state, "feature", "v", width)
+    x = B.Blocked.of(features, width, columns)
+    y = x.times(tall)
+    return B.named(x.rows, "sample_id", y if change is None else B.mapped(y, width, change), width, "y")
 
 
 def svd_apply(features: DataFrame, state: DataFrame) -> DataFrame:
     """Latent coordinates (sample_id, feature ``svd_i``, value) = row times V."""
-    x = features.join(state.select("feature", F.posexplode("v").alias("i", "w")), "feature")
-    return x.groupBy("sample_id", F.concat(F.lit("svd_"), F.col("i").cast("string")).alias("feature")).agg(
-        F.sum(F.col("value") * F.col("w")).alias("value"))
+    y = _rows_times(features, state).select("sample_id", F.posexplode("y").alias("i", "value"))
+    return y.select("sample_id", F.concat(F.lit("svd_"), F.col("i").cast("string")).alias("feature"), "value")
 
 
 def explained_variance(latent: DataFrame, features: DataFrame, samples: DataFrame) -> DataFrame:
@@ -141,51 +136,68 @@ def compress(token_features: DataFrame, f1: DataFrame, folds: DataFrame, held: i
     return svd_apply(t, state).unionByName(S.unpivot(scaled, ["sample_id"]).select("sample_id", "feature", "value"))
 
 
-def _multiplied(w: Column, target: Column, gram_rows: Column) -> Column:
-    """One multiplicative update of a row of factors: w * target / (w times the inner products)."""
-    scale = F.transform(gram_rows, lambda g: _dot(w, g) + TINY)
-    return F.zip_with(F.zip_with(w, target, lambda a, b: a * b), scale, lambda a, b: a / b)
-
+def _nonnegative(target, inner, steps: int):
+    """Row factors for fixed modules: ``steps`` multiplicative updates from all ones."""
+    import numpy as np
 
-def _nonnegative_rows(target: Column, inner, steps: int) -> Column:
-    """Row factors for fixed modules: ``steps`` multiplicative updates inside the row, from all ones."""
-    rows = F.array(*[F.array(*[F.lit(float(v)) for v in r]) for r in inner])
-    start = F.transform(target, lambda _: F.lit(1.0))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, lambda w, _: _multiplied(w, target, rows))
+    w = np.ones_like(target)
+    for _ in range(steps):
+        w *= target / (w @ inner + TINY)
+    return w
 
 
-def nmf_state(features: DataFrame, k: int, seed: int = 42, iterations: int = 15, steps: int = 20) -> DataFrame:
+def nmf_state(features: DataFrame, k: int, seed: int = 42, iterations: int | None = None, steps: int = 20, tolerance: float = 1e-4,
+              cells: int = B.CELLS) -> DataFrame:
     """(feature, v array): non-negative modules of the whole matrix, its zeros included.
 
     Squared error, multiplicative updates. Given the modules a sample's factors
     follow from its own entries and the k x k inner products, so a round is one
-    pass over the rows and one sum by feature; modules stay a table.
+    product with the rows and one back; modules stay a table. Rounds end when the
+    squared error falls by less than ``tolerance`` of the matrix's squared norm; if 200 don't suffice,
+    ``NotConverged`` is raised. With ``iterations`` given, that many are made at most.
     """
-    x = keep(features.select("sample_id", "feature", F.col("value").cast("double").alias("value")))
-    v = settle(x.select("feature").distinct().select("feature", F.transform(_noise("feature", k, seed), lambda a: a + 0.1).alias("v")))
-    for _ in range(iterations):
-        inner = _inner(v, "v", k)
-        rows = _with_state(x, v).select("e", _nonnegative_rows(_row_product(F.col("e"), k), inner, steps).alias("w"))
-        rows = keep(rows)
-        against = F.array(*[F.array(*[F.lit(float(a)) for a in r]) for r in _inner(rows, "w", k)])
-        z = _back(rows, "e", "w", k)
-        v = settle(v.join(z, "feature").select("feature", _multiplied(F.col("v"), F.col("z"), against).alias("v")))
-        rows.unpersist()
-    x.unpersist()
-    return v
+    import numpy as np
+    import pyarrow as pa
+
+    x = B.Blocked.of(features, k, cells=cells)
+    total = x.entries.agg(F.sum(F.col("value") * F.col("value"))).first()[0] or 0.0
+    v = x.random(seed, lambda rng, shape: rng.random(shape) + 0.1)
+    error = None
+    for _ in range(iterations or MOST_ITERATIONS):
+        inner = x.gram(v, x.column_blocks)
+        w = keep(B.mapped(x.times(v), k, lambda y: _nonnegative(y, inner, steps)))
+        against = x.gram(w, x.row_blocks)
+
+        def update(own: pa.Table, z: pa.Table) -> pa.Table:
+            a, b = B._matrix(own.column("m")[0], k), B._matrix(z.column("m")[0], k)
+            met, new = float((a * b).sum()), a
+            for _ in range(steps):
+                new = new * b / (new @ against + TINY)
+            return B._block(own.column("b")[0].as_py(), new).append_column("met", pa.array([met]))
+
+        z = x.back(w).withColumnRenamed("b", "of")
+        both = settle(v.groupBy("b").cogroup(z.groupBy("of")).applyInArrow(update, "b int, m binary, met double"))
+        w.unpersist()
+        before, error = error, total - 2 * (both.agg(F.sum("met")).first()[0] or 0.0) + float((inner * against).sum())
+        v = both.select("b", "m")
+        if before is not None and before - error <= tolerance * total:
+            break
+    else:
+        if iterations is None:
+            raise NotConverged(f"{MOST_ITERATIONS} rounds leave the error falling")
+    return settle(B.named(x.columns, "feature", v, k, "v"))
 
 
 def nmf_apply(features: DataFrame, state: DataFrame, steps: int = 60) -> DataFrame:
     """Module weights (sample_id, module, value) of samples, seen or not, for learnt modules."""
-    first = state.select(F.size("v").alias("k")).first()
-    if first is None:
-        return features.select("sample_id", F.lit(0).alias("module"), F.lit(0.0).alias("value")).limit(0)
-    rows = _with_state(features.select("sample_id", "feature", F.col("value").cast("double").alias("value")), state)
-    w = rows.select("sample_id", _nonnegative_rows(_row_product(F.col("e"), first["k"]), _inner(state, "v", first["k"]), steps).alias("w"))
-    return w.select("sample_id", F.posexplode("w").alias("module", "value"))
+    width = int(state.agg(F.max(F.size("v"))).first()[0] or 0)
+    columns, tall = B.tall_of(state, "feature", "v", max(1, width))
+    inner = B.Blocked(state, state, columns, 1, 1, max(1, width)).gram(tall, (columns.agg(F.max("b")).first()[0] or 0) + 1)
+    w = _rows_times(features, state, lambda y: _nonnegative(y, inner, steps))
+    return w.select("sample_id", F.posexplode("y").alias("module", "value"))
 
 
-def nmf(features: DataFrame, k: int, seed: int = 42, iterations: int = 15) -> DataFrame:
+def nmf(features: DataFrame, k: int, seed: int = 42, iterations: int | None = None) -> DataFrame:
     """Non-negative modules (sample_id, module, value) of the given samples."""
     return nmf_apply(features, nmf_state(features, k, seed, iterations))
 
