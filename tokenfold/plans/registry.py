@@ -22,6 +22,7 @@ from tokenfold.operators import genes as G
 from tokenfold.operators import hotspots as H
 from tokenfold.operators import latent as L
 from tokenfold.operators import patterns as P
+from tokenfold.operators import quality as Q
 from tokenfold.operators import selection as X
 from tokenfold.operators import signatures as Z
 from tokenfold.operators import summaries as Y
@@ -248,6 +249,33 @@ def _f5() -> Block:
     return Block(learn, lambda s, x: _by_label(Z.f5_score(x.presence, x.missing, x.samples, s["f5"], oof=True)))
 
 
+def _f5_selective(n: int = 10) -> Block:
+    """The class scores of the rarest training classes only."""
+    base = _f5()
+
+    def apply(s: State, x: Inputs) -> DataFrame:
+        z = Z.f5_score(x.presence, x.missing, x.samples, s["f5"], oof=True)
+        return _by_label(z.join(s["rare"], "label", "left_semi"))
+
+    return Block(lambda x: base.learn(x) | {"rare": Z.rare_classes(x.samples, n).select("label")}, apply)
+
+
+def _raw() -> Block:
+    """Codes of whole cells by gene, wild type zero; a cell unknown to the training samples stands one below its gene's first code."""
+    exact = lambda x: x.cells.select("sample_id", "gene", F.coalesce("cell", F.lit("__MISSING__")).alias("value"))
+
+    def learn(x: Inputs) -> State:
+        codes = exact(x).join(Q.ordinal_wt_zero(x.cells), ["sample_id", "gene"]).select("gene", "value", "code").distinct()
+        return {"codes": codes, "first": codes.groupBy("gene").agg(F.least(F.min("code"), F.lit(0)).alias("least"))}
+
+    def apply(s: State, x: Inputs) -> DataFrame:
+        z = exact(x).join(s["first"], "gene").join(s["codes"], ["gene", "value"], "left")
+        z = z.withColumn("code", F.coalesce("code", F.when(F.col("value") == "WT", 0).otherwise(F.col("least") - 1)))
+        return _dense(z.where("code <> 0"), "gene", "code")
+
+    return Block(learn, apply)
+
+
 def _f7(pairs: Callable[[Inputs], Sequence[tuple[str, str]]], **params) -> Block:
     """Burden-adjusted contrasts of label pairs; the pairs are part of the state."""
     def learn(x: Inputs) -> State:
@@ -394,16 +422,22 @@ BLOCKS: dict[str, Block] = {
     "severity_capped": gene_set(lambda x: Z.gene_cap(x.presence, x.samples, 1500), _severity),
     "severity_distinct": gene_set(_distinct_genes, _severity),
     "severity_capped_distinct": gene_set(lambda x: Z.gene_cap(x.presence, x.samples, 1500).join(_distinct_genes(x), "gene", "left_semi"), _severity),
+    "severity_other": gene_set(lambda x: G.filter_genes(x.events(), 5).join(Z.stable_genes(x.presence, x.samples, x.k, min(3, x.k)).select("gene"), "gene", "left_anti"), _severity),
+    "raw": _raw(),
+    "missing_mask": vocabulary(lambda x: _flags(x.missing, "gene")),
     "gene_counts": vocabulary(_counts),
     "multi_hit": vocabulary(lambda x: _flags(G.gene_multi_hit(x.events()), "gene")),
     "truncating": _gene_flag("truncating"), "missense": _gene_flag("missense"), "splice": _gene_flag("splice"),
     "gene_consequence": vocabulary(lambda x: _flags(G.gene_consequence(x.events("jyp")), "gene", "consequence")),
     "gene_position": supported(lambda x: _flags(G.gene_position_bin(x.events("jyp")), "gene", "position_bin"), 3),
     "gene_aa": supported(lambda x: _flags(G.gene_aa(x.events("jyp")), "gene", "transition"), 3),
+    "gene_position_2": supported(lambda x: _flags(G.gene_position_bin(x.events("jyp")), "gene", "position_bin"), 2),
+    "gene_aa_2": supported(lambda x: _flags(G.gene_aa(x.events("jyp")), "gene", "transition"), 2),
     "gene_f3": supported(lambda x: _flags(G.gene_f3_tokens(x.events("jh")), "feature"), 3),
     "gene_f3_rare": supported(lambda x: _flags(G.gene_f3_tokens(x.events("jh")), "feature"), 5),
     "global_f3": vocabulary(lambda x: _flags(G.global_f3(x.events("jh")), "feature")),
     "exact_tokens": token_set(lambda x: H.exact_vocab(x.events("jyp"), 5), "jyp"),
+    "exact_tokens_10": token_set(lambda x: H.exact_vocab(x.events("jyp"), 10), "jyp"),
     "jh_tokens": token_set(lambda x: H.exact_vocab(x.events("jh"), 10), "jh"),
     "jh_tokens_rare": token_set(lambda x: H.exact_vocab(x.events("jh"), 5), "jh"),
     "pathways": vocabulary(lambda x: _by_label(G.pathway_scores(x.events(), G.pathway_table(x.cells.sparkSession)).withColumnRenamed("pathway", "label"))),
@@ -448,6 +482,9 @@ BLOCKS: dict[str, Block] = {
     "margin": _similarity("margin"), "entropy": _similarity("entropy"),
     "pair_contrast": _contrast(),
     "f5": _f5(),
+    "f5_selective": _f5_selective(),
+    "functional_signature": signature(lambda x: x.functional),
+    "frequent": selected(lambda f, x: X.active_filter(f, 5, 1e-8)),
     "f7": _f7(lambda x: x.pairs, top=3, minimum=10, alpha=4.0),
     "f7_discovered": _f7(_discovered, top=3, minimum=10, alpha=4.0),
     "comutation": Block(lambda x: {"pairs": Z.comutation(x.presence, x.samples)}, lambda s, x: _flags(
@@ -524,6 +561,12 @@ _F_BLOCKS = ["mutated_genes", "event_count", "log_burden", "kind_counts", "hotsp
 _V46 = [*_V45, *_F_BLOCKS]
 _JYP = "active_genes f1 gene_consequence".split()
 _JYP3 = [*_JYP, "gene_position", "gene_aa"]
+_JYP4 = [*_JYP3, "exact_tokens"]
+_RAW3 = ["raw", *_JYP, "gene_position_2", "gene_aa_2"]
+_RAW4 = [*_RAW3, "exact_tokens_10"]
+_JYP9 = [*_JYP4, "f7", "aa_pairs"]
+_STABLE = ["severity_other", "token_summary", "functional_signature", "functional_hotspots", "stable_genes"]
+_TEXT_TREE = ["word_tfidf", "char_tfidf", "active_genes", "jsj1"]
 _TEXT = "word_tfidf char_tfidf".split()
 
 
@@ -536,11 +579,11 @@ PIPELINES: dict[str, list[str]] = {
     "em_v4": ["active_genes"], "em_v5": ["active_genes", "burden"], "em_v6": ["severity", "consequence_mix"], "em_v7": ["active_genes", "pathways"],
     "em_v8": ["active_genes", "modules"], "em_v9": ["active_genes", "signature"], "em_v10": ["severity", "burden"], "em_v11": ["active_genes", "burden", "signature"],
     "em_v12": ["severity", "signature"], "em_v13": ["severity", "burden", "signature"], "em_v14": _V16, "em_v15": _V16, "em_v16": _V16,
-    "em_v17": ["hotspots", "gene_counts", "top_genes", "multi_hit"], "em_v18": ["genes", "token_summary"], "em_v19": ["severity", "functional_hotspots"],
-    "em_v20": ["stable_genes", "signature"], "em_v21": ["stable_hotspots", "compact_summary", "signature"], "em_v22": [*_V16, "family_signature"],
-    "em_v23": [*_V16, "family_signature"], "em_v24": _V24, "em_v25": ["hotspots", "gene_counts", "severity", "multi_hit", "signature"], "em_v26": [*_V16, "family_signature"],
-    "em_v27": [*_V16, "sibling_signature"], "em_v28": ["stable_hotspots", "compact_summary"],
-    **{f"em_v{i}": [*_V16, "burden"] for i in (30, 33, 34, 36)}, **{f"em_v{i}": _V16 for i in (29, 31, 32, 35, 37, 38)},
+    "em_v17": ["hotspots", "gene_counts", "top_genes", "multi_hit"], "em_v18": ["severity_active", "token_summary", "functional_signature", "functional_hotspots"], "em_v19": _STABLE,
+    "em_v20": _STABLE, "em_v21": ["severity_capped", "compact_summary", "functional_signature", "stable_hotspots"], "em_v22": [*_V16, "family_signature"],
+    "em_v23": [*_V16, "sibling_signature"], "em_v24": _V24, "em_v25": ["hotspots", "gene_counts", "severity", "multi_hit", "signature"], "em_v26": [*_V16, "family_signature"],
+    "em_v27": [*_V16, "sibling_signature"], "em_v28": ["severity_capped", "compact_summary", "functional_signature", "stable_hotspots"], "em_v29": _STABLE,
+    **{f"em_v{i}": [*_V16, "burden"] for i in (30, 33, 34, 36)}, **{f"em_v{i}": _V16 for i in (31, 32, 35, 37, 38)},
     **{f"em_v{i}": _V24 for i in (39, 40, 41)}, **{f"em_v{i}": [*_V24, "synonymous_hotspots"] for i in (42, 43)},
     "em_v44": _V44, "em_v45": _V45, "em_v46": _V46, "em_v47": ["active_genes"],
     "em_E1": _V16, "em_E2": [*_V16, "pattern_support"], "em_E3": [*_V16, "complexity"], "em_E4": [*_V16, "comutation"],
@@ -552,17 +595,20 @@ PIPELINES: dict[str, list[str]] = {
     "em_E13": [*_swap(_V16, "hotspots", "stable_hotspots"), "pattern_uncertainty"],
     "em_E14": [*_V16, "pattern_uncertainty", "complexity", "pair_contrast"],
     **{f"em_F{i:02d}": [*_V45, b] for i, b in enumerate(_F_BLOCKS, 1)}, "em_F20": _V46, "em_G01": _V46,
-    "em_H01": ["chi2"], "em_H02": ["mutual_information"], "em_H03": ["class_genes"], "em_H04": ["modules"], "em_H05": ["svd"],
-    "em_H06": ["active_genes", "burden", "hotspots", "hotspot_count"], "em_H07": ["anova"],
-    "jyp_raw": ["cell_code"], "jyp_f0": ["active_genes"], "jyp_f1": ["active_genes", "f1"], "jyp_f2": _JYP, "jyp_f3": _JYP3,
-    "jyp_f4": [*_JYP3, "exact_tokens"], "jyp_f5": [*_JYP, "f5"], "jyp_f6": ["jyp_svd", "f1_scaled"], "jyp_f7": [*_JYP, "f7"], "jyp_f8": [*_JYP, "f5", "f7"],
-    "jyp_f9": [*_JYP, "f5", "f7", "aa_pairs"], "jyp_f10": [*_JYP, "aa_composition"], "jyp_f11": [*_JYP, "f7", "f7_discovered"],
-    "pipeComb_v3": [*_JYP, "aa_pairs", "signature"], "pipeComb_v4": [*_JYP, "aa_pairs", "dual_signature"],
+    "em_H01": ["frequent"], "em_H02": ["chi2"], "em_H03": ["mutual_information"], "em_H04": ["class_genes"], "em_H05": ["modules"], "em_H06": ["svd"],
+    "em_H07": ["active_genes", "burden", "hotspots", "hotspot_count"],
+    "jyp_raw": ["raw"], "jyp_f0": ["raw", "active_genes"], "jyp_f0_no_raw": ["active_genes"], "jyp_f1": ["raw", "active_genes", "f1"], "jyp_f2": ["raw", *_JYP],
+    "jyp_f3_position": ["raw", *_JYP, "gene_position_2"], "jyp_f3": _RAW3, "jyp_f3_no_raw": _RAW3[1:], "jyp_f4": _RAW4, "jyp_f4_no_raw": _JYP4, "jyp_f5": [*_RAW4, "f5"],
+    "jyp_f5_no_raw": [*_JYP4, "f5"], "jyp_f5_no_raw_missmask": [*_JYP4, "f5", "missing_mask"],
+    "jyp_f5_selective_no_raw": [*_JYP4, "f5_selective", "missing_mask"], "jyp_f6": ["jyp_svd", "f1_scaled"], "jyp_f7": [*_JYP4, "f7"],
+    "jyp_f8": [*_JYP4, "f5_selective", "f7"], "jyp_f9": _JYP9, "jyp_f10": [*_JYP9, "aa_composition"], "jyp_f11": [*_JYP9, "f7_discovered"],
+    "pipeComb_v3": [*_JYP9, "dual_signature"], "pipeComb_v4": [*_JYP9, "dual_signature"],
     "jh_v01": ["genes"], "jh_v02": ["genes", "jh_f1"], "jh_v03": ["genes", "jh_f1", "gene_consequence"], "jh_v04": ["genes", "jh_f1", "global_f3"],
     "jh_v05": ["genes", "jh_f1", "gene_f3"], "jh_v06": ["genes", "jh_f1", "gene_f3_rare"], "jh_v07": ["genes", "jh_f1", "global_f3", "jh_tokens"],
     "jh_v08": ["genes", "jh_f1", "global_f3", "jh_tokens_rare"], "jh_v09": ["jh_tfidf", "jh_f1"], "jh_v10": ["jh_svd", "jh_f1"],
-    "jsj_v1": [*_TEXT, "jsj1"], "jsj_v2": ["cell_code_v2", "jsj2"], "jsj_v3": ["cell_code", "aa_profile", "jsj3"],
-    **{f"jsj_v{i}": ["cell_code", "aa_profile", "jsj3", "code_flags", "e1"] for i in range(4, 12)},
+    "jsj_v1": [*_TEXT, "jsj1"], "jsj_v2": ["cell_code_v2", "jsj2"], "jsj_v3": _TEXT_TREE,
+    **{f"jsj_v{i}": _TEXT_TREE for i in range(4, 12)},
+    "pipeComb_em_v1_001": [*_V45, *_TEXT], "pipeComb_em_v1_006": [*_V45, *_TEXT], "pipeComb_em_v1_007": [*_V45, *_TEXT], "pipeComb_em_v2_001": [*_V46, *_TEXT],
     "pipeComb_em_v1": [*_V46, *_TEXT], "pipeComb_em_v2": [*_V46, *_TEXT, "f7"], "pipeComb_em_v3": [*_V46, *_TEXT, "f7", "top_aa_pairs"],
     "pipeComb_em_v4": [*_V46, *_TEXT, "f7", "top_aa_pairs", "svd"],
 }
