@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -17,6 +18,10 @@ from tokenfold.operators.gram import gram
 from tokenfold.session import cut_lineage, keep, settle
 
 NONE = -1
+#: Edges that one task settles in order.
+EDGES_PER_TASK = 1 << 20
+#: Rounds over large components before they are looked up anew.
+ROUNDS_BETWEEN = 8
 
 
 def active_filter(feat: DataFrame, minimum: int, eps: float = 1e-12) -> DataFrame:
@@ -217,21 +222,51 @@ def corr_groups(feat: DataFrame, samples: DataFrame, ranks: DataFrame, threshold
     return comp.join(name("node", "feature"), "node").join(name("comp", "keep"), "comp").select("feature", "keep")
 
 
-def greedy_drop(edges: DataFrame) -> DataFrame:
+def _settled_in_order(_, t):
+    """Nodes dropped in a group of edges: by increasing first node, a node that still stands drops its later neighbour."""
+    import pyarrow as pa
+
+    gone: set[int] = set()
+    for i, j in sorted(zip(t.column("i").to_pylist(), t.column("j").to_pylist())):
+        if i not in gone:
+            gone.add(j)
+    return pa.table({"v": pa.array(sorted(gone), pa.int64())})
+
+
+def greedy_drop(edges: DataFrame, per_task: int = EDGES_PER_TASK) -> DataFrame:
     """Nodes dropped when nodes are taken in increasing order and drop their later neighbours.
 
-    A node without an earlier open neighbour is kept and its later neighbours
-    drop. A round settles all such nodes and keeps the edges between the rest,
-    so every round shrinks the table; rounds go on until it is empty.
+    Components don't touch each other, so those of at most ``per_task`` edges are
+    settled each in one pass over their edges, packed into tasks of about that
+    size; a table that is no larger needs no components at all. In a larger
+    component a node without an earlier open neighbour is kept and its later
+    neighbours drop, in rounds; what is left falls into components again. Rounds
+    are as many as the longest increasing path that is still open needs.
     """
-    e = settle(edges.select("i", "j").distinct())
-    dropped = e.select(F.col("i").alias("v")).limit(0)
-    while e.limit(1).count():
-        kept = e.select("i").distinct().join(e.select(F.col("j").alias("i")).distinct(), "i", "left_anti")
-        out = settle(e.join(kept, "i", "left_semi").select(F.col("j").alias("v")).distinct())
-        dropped = dropped.unionByName(out)
-        e = settle(e.join(out, F.col("i") == F.col("v"), "left_anti").join(out, F.col("j") == F.col("v"), "left_anti"))
-    return settle(dropped)
+    e = settle(edges.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j")).distinct())
+    parts, turn = [], 0
+    while n := e.count():
+        bins = -(-n // per_task)
+        small, large = None, e
+        if bins == 1:
+            small, large = e.withColumn("bin", F.lit(0).cast("long")), None
+        elif turn % ROUNDS_BETWEEN == 0:
+            comp = components(e.select(F.col("i").alias("a"), F.col("j").alias("b")))
+            own = e.join(comp, e.i == comp.node).select("i", "j", "comp")
+            sizes = own.groupBy("comp").agg(F.count("*").alias("size"))
+            own = settle(own.join(sizes, "comp"))
+            small = own.filter(F.col("size") <= per_task).select("i", "j", F.pmod(F.xxhash64("comp"), F.lit(bins)).alias("bin"))
+            large = own.filter(F.col("size") > per_task).select("i", "j")
+        turn += 1
+        if small is not None:
+            parts.append(settle(small.groupBy("bin").applyInArrow(_settled_in_order, "v long")))
+        if large is None:
+            break
+        kept = large.select("i").distinct().join(large.select(F.col("j").alias("i")).distinct(), "i", "left_anti")
+        out = settle(large.join(kept, "i", "left_semi").select(F.col("j").alias("v")).distinct())
+        parts.append(out)
+        e = settle(large.join(out, F.col("i") == F.col("v"), "left_anti").join(out, F.col("j") == F.col("v"), "left_anti"))
+    return reduce(DataFrame.unionByName, parts) if parts else e.select(F.col("i").alias("v"))
 
 
 def corr_greedy(feat: DataFrame, samples: DataFrame, ranks: DataFrame, threshold: float) -> DataFrame:

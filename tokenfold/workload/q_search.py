@@ -161,7 +161,7 @@ def _(s, d):
 
 
 # --- pair rules --------------------------------------------------------------------------------
-RG = [0.05, 0.1, 0.2]
+RG = list(X.RULE_GRID)
 _RV = values("z", [(a, b) for a in RG for b in RG], "margin, alpha")
 _RB = "(select b.sample_id, b.y, f.fold, top1, top2, gap, m1, m2 from best0 b join folds f using (sample_id))"
 
