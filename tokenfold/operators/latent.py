@@ -154,7 +154,7 @@ def nmf_state(features: DataFrame, k: int, seed: int = 42, iterations: int | Non
     follow from its own entries and the k x k inner products, so a round is one
     product with the rows and one back; modules stay a table. Rounds end when the
     squared error falls by less than ``tolerance`` of the matrix's squared norm; if 200 don't suffice,
-    ``NotConverged`` is raised. With ``iterations`` given, that many are made at most.
+    ``NotConverged`` is raised. With ``iterations`` given, that many are made.
     """
     import numpy as np
     import pyarrow as pa
@@ -180,7 +180,7 @@ def nmf_state(features: DataFrame, k: int, seed: int = 42, iterations: int | Non
         w.unpersist()
         before, error = error, total - 2 * (both.agg(F.sum("met")).first()[0] or 0.0) + float((inner * against).sum())
         v = both.select("b", "m")
-        if before is not None and before - error <= tolerance * total:
+        if iterations is None and before is not None and before - error <= tolerance * total:
             break
     else:
         if iterations is None:
