@@ -120,6 +120,8 @@ BLOCK_SQL |= {
     **{f"exact_tokens{n}": flags("gene||':'||token", _EXACT.format(m)) for n, m in (("", 5), ("_10", 10))},
     "f5_selective": by_label(f"select * from ({_F5}) where label in (select label from samples group by 1 order by count(*), label limit 10)",
                              "score_sum", "score_mean", "score_max", "bernoulli"),
+    "severity_capped": _SEVERITY.format("select gene from pres"),
+    "compact_summary": wide("f5_compact_summary"),
     "functional_signature": by_label(_FUNCTIONAL, "weighted", "matches"),
     "frequent": "select sample_id, gene feature, count(*)*1e0 v from ev where gene in (select gene from pres5) group by 1,2",
 }
@@ -129,6 +131,8 @@ _F4 = ["active_genes", "f1", "gene_consequence", "gene_position", "gene_aa", "ex
 EXPECTED = {
     "em_v16": ["severity_active", "consequence_mix", "signature", "hotspots"],
     "em_v18": ["severity_active", "token_summary", "functional_signature", "functional_hotspots"],
+    "em_v21": ["severity_capped", "compact_summary", "functional_signature", "stable_hotspots"],
+    "em_v28": ["severity_capped", "compact_summary", "functional_signature", "stable_hotspots"],
     "em_v24": ["severity_active", "token_summary", "dual_signature", "functional_hotspots"],
     "em_E2": ["severity_active", "consequence_mix", "signature", "hotspots", "pattern_support"],
     "em_E4": ["severity_active", "consequence_mix", "signature", "hotspots", "comutation"],
@@ -161,5 +165,6 @@ def _pipeline(name: str) -> None:
 
 
 for _name in ("em_v16", "em_v24", "em_E2", "em_E4", "em_E10", "em_F03", "em_G01", "em_v47", "jh_v07", "jh_v09", "jsj_v3", "jyp_f5",
-              "em_v18", "em_H01", "jyp_raw", "jyp_f0", "jyp_f3_no_raw", "jyp_f4_no_raw", "jyp_f5_no_raw_missmask", "jyp_f5_selective_no_raw", "jh_v10"):
+              "em_v18", "em_H01", "jyp_raw", "jyp_f0", "jyp_f3_no_raw", "jyp_f4_no_raw", "jyp_f5_no_raw_missmask", "jyp_f5_selective_no_raw", "jh_v10", "em_v21", "em_v28", "em_v19", "em_v23",
+              "jyp_f8", "jyp_f9", "jyp_f11", "pipeComb_v4", "em_H04"):
     _pipeline(_name)
