@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from tokenfold.functions import probs as P
 from tokenfold.functions import stats as S
 from tokenfold.operators import metrics as M
+from tokenfold.operators.latent import NotConverged
 from tokenfold.session import keep, settle
 
 # Margin and alpha grid of pair rules, weight grid of mixes.
@@ -96,6 +97,113 @@ def fit_blend(models: DataFrame, bounds: Mapping, initial: Mapping, l2: float =
     return r.withColumn("rank", F.row_number().over(W.orderBy(F.round("objective", 9), "g")))
 
 
+def _bounded_step(gradient, hessian, low, high):
+    """The move d that minimises g.d + d.H.d / 2 with sum(d) = 0 and low <= d <= high (zero is feasible).
+
+    Primal active sets: move freely until a bound stops the move, hold that
+    component, and release the one whose multiplier asks for it most.
+    """
+    import numpy as np
+
+    m = len(gradient)
+    d, held = np.zeros(m), high - low <= 0
+    for _ in range(50 * m):
+        slope = gradient + hessian @ d
+        free = np.flatnonzero(~held)
+        if not len(free):
+            return d
+        system = np.ones((len(free) + 1, len(free) + 1))
+        system[:-1, :-1], system[-1, -1] = hessian[np.ix_(free, free)], 0.0
+        *move, level = np.linalg.solve(system, [*-slope[free], 0.0])
+        step = np.zeros(m)
+        step[free] = move
+        if np.abs(step).max() <= 1e-14:
+            pull = slope + level
+            gain = np.where(held & (high > low), np.where(d <= low, -pull, pull), 0.0)
+            if gain.max() <= 1e-12:
+                return d
+            held[gain.argmax()] = False
+            continue
+        with np.errstate(divide="ignore", invalid="ignore"):
+            room = np.where(step > 0, (high - d) / step, np.where(step < 0, (low - d) / step, np.inf))
+        stop = int(room.argmin())
+        if room[stop] >= 1:
+            d = d + step
+        else:
+            d = d + max(room[stop], 0.0) * step
+            d[stop] = high[stop] if step[stop] > 0 else low[stop]
+            held[stop] = True
+    return d
+
+
+def newton_blend(models: DataFrame, bounds: Mapping, initial: Mapping, l2: float = 0.01, most_steps: int = 50, tolerance: float = 1e-9) -> DataFrame:
+    """Bounded log-blend weights that minimise log-loss plus l2 * |w - initial|^2, by projected Newton steps.
+
+    ``models`` is (y, m) with m from model to probabilities. Weights sum to one
+    inside their bounds. A step is one aggregate of loss, gradient and Hessian
+    (1 + m + m (m + 1) / 2 sums, whatever the rows); a step that raises the
+    objective is halved. Returns (model, weight, logloss, objective, steps).
+    Rows without a model's probabilities take no part; an empty table keeps the
+    starting weights with null loss. Raises ``NotConverged`` after ``most_steps``.
+    """
+    import numpy as np
+
+    names = list(bounds)
+    size = range(len(names))
+    low, high = (np.array([float(bounds[n][i]) for n in names]) for i in (0, 1))
+    if low.sum() > 1 + 1e-12 or high.sum() < 1 - 1e-12 or (low > high).any():
+        raise ValueError("no weights sum to one inside the bounds")
+    target = np.array([float(initial[n]) for n in names])
+    w = np.clip(target, low, high)
+    for _ in names:  # the rest goes to the components with room
+        rest = 1 - w.sum()
+        room = (high - w) if rest > 0 else (w - low)
+        if abs(rest) <= 1e-15 or room.sum() <= 0:
+            break
+        w = w + rest * room / room.sum()
+    logs = models.select("y", *[P.log_clip(F.element_at("m", F.lit(n))).alias(f"l{j}") for j, n in enumerate(names)])
+    rows = keep(logs.dropna())
+
+    def dot(q, x):
+        return F.aggregate(F.zip_with(q, x, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+
+    def look(at):
+        d = rows.withColumn("q", P.softmax(P.weighted_sum([F.col(f"l{j}") for j in size], [F.lit(float(at[j])) for j in size])))
+        d = d.select("y", "q", *[F.col(f"l{j}") for j in size], *[dot(F.col("q"), F.col(f"l{j}")).alias(f"e{j}") for j in size])
+        loss = F.avg(-F.ln(F.greatest(P.at(F.col("q"), F.col("y")), F.lit(1e-12)))).alias("loss")
+        slopes = [F.avg(F.col(f"e{j}") - P.at(F.col(f"l{j}"), F.col("y"))).alias(f"g{j}") for j in size]
+        pairs = [(i, j) for i in size for j in size if i <= j]
+        spread = [F.avg(dot(F.col("q"), F.zip_with(f"l{i}", f"l{j}", lambda a, b: a * b)) - F.col(f"e{i}") * F.col(f"e{j}")).alias(f"h{i}_{j}") for i, j in pairs]
+        r = d.agg(loss, *slopes, *spread).first()
+        if r["loss"] is None:
+            return None
+        hessian = np.zeros((len(names), len(names)))
+        for i, j in pairs:
+            hessian[i, j] = hessian[j, i] = r[f"h{i}_{j}"]
+        gradient = np.array([r[f"g{j}"] for j in size]) + 2 * l2 * (at - target)
+        return r["loss"], r["loss"] + l2 * float(((at - target) ** 2).sum()), gradient, hessian + 2 * (l2 + 1e-12) * np.eye(len(names))
+
+    here, steps = look(w), 0
+    while here is not None:
+        move = _bounded_step(here[2], here[3], low - w, high - w)
+        if np.abs(move).max() <= tolerance:
+            break
+        while True:
+            if steps == most_steps:
+                rows.unpersist()
+                raise NotConverged(f"{most_steps} steps leave a move of {np.abs(move).max():.1e}")
+            steps += 1
+            there = look(w + move)
+            if there[1] <= here[1] + 1e-13:
+                break
+            move = move / 2
+        w, here = np.clip(w + move, low, high), there
+    rows.unpersist()
+    loss, objective = (None, None) if here is None else (float(here[0]), float(here[1]))
+    found = [(str(n), float(x), loss, objective, steps) for n, x in zip(names, w)]
+    return models.sparkSession.createDataFrame(found, "model string, weight double, logloss double, objective double, steps int")
+
+
 def crossfit_select(both: DataFrame, temperatures: Sequence[float], weights: Sequence[float], k: int, n_classes: int) -> DataFrame:
     """Per (seed, fold): the temperature and weight that do best on the other folds.
 
@@ -190,70 +298,81 @@ def role_subsets(roles: Mapping[str, str], size: int) -> list[tuple[str, ...]]:
 
 
 # --- class-wise thresholds ---------------------------------------------------------------
-def _objective(counts: Mapping, n_classes: int, factors: Sequence[float], shrinkage: float) -> float:
-    """Macro-F1 over observed classes minus shrinkage * mean squared log factor."""
-    seen = sorted({c for yy in counts for c in yy})
-    total = 0.0
-    for c in seen:
-        tp = counts.get((c, c), 0)
-        true = sum(n for (y, _), n in counts.items() if y == c)
-        hat = sum(n for (_, h), n in counts.items() if h == c)
-        total += 2 * tp / (true + hat)
-    return total / len(seen) - shrinkage * sum(math.log(f) ** 2 for f in factors) / n_classes
+def _sides(rows: DataFrame, c: int, factors: Column, candidates: Sequence[float]) -> DataFrame:
+    """(part, y, other, m, n): rows whose choice is ``c`` under exactly the m smallest candidate factors, else ``other``.
+
+    A row leaves class ``c`` at one break point of its factor, where p_c / f meets
+    the best of the other classes, so one count serves every candidate.
+    """
+    scores = F.zip_with("p", factors, lambda a, b: a / b)
+    d = rows.select("part", "y", F.element_at("p", c + 1).alias("own"), F.transform(scores, lambda v, i: F.when(i == c, -1.0).otherwise(v)).alias("rest"))
+    d = d.select("part", "y", "own", P.argmax(F.col("rest")).alias("other"), F.array_max("rest").alias("top"))
+    wins = [F.when((v > F.col("top")) | ((v == F.col("top")) & (F.col("other") > c)), 1).otherwise(0)
+            for v in (F.col("own") / float(f) for f in sorted(candidates))]
+    return d.withColumn("m", sum(wins[1:], wins[0])).groupBy("part", "y", "other", "m").agg(F.count("*").alias("n"))
+
+
+def _penalised_f1(conf, factors, shrinkage: float):
+    """Macro-F1 over observed classes less the shrinkage of the factors, for a stack (candidates, y, yhat) of counts."""
+    import numpy as np
+
+    size = (conf.sum(axis=1) + conf.sum(axis=2)).astype(float)
+    f = np.divide(2.0 * np.einsum("icc->ic", conf), size, out=np.zeros_like(size), where=size > 0)
+    return f.sum(axis=1) / np.maximum((size > 0).sum(axis=1), 1) - shrinkage * (np.log(factors) ** 2).mean(axis=1)
 
 
 def class_thresholds(proba: DataFrame, n_classes: int, candidates: Sequence[float], k: int, rounds: int = 2,
                      min_support: int = 1, shrinkage: float = 0.01, min_gain: float = 0.0) -> DataFrame:
     """Class factors by coordinate search, per training part and for all rows.
 
-    ``proba`` is (sample_id, fold, y, p). Every step is one Spark job that counts
-    confusion for all parts and candidates of one class; the driver sees counts
-    only (parts x candidates x classes^2 rows). ``accepted`` tells whether the
-    cross-fitted factors reach the unadjusted score plus ``min_gain``.
+    ``proba`` is (sample_id, fold, y, p). A step over one class is one shuffle of
+    break-point counts for all parts; the driver sees at most parts x classes^2 x
+    (candidates + 1) numbers and reads the confusion of every candidate off their
+    running sums. A candidate must beat the present factor's score at nine
+    decimals, or equal it with a factor nearer to one; among equals the first
+    given one wins. ``accepted`` tells whether the cross-fitted factors reach the
+    unadjusted score plus ``min_gain``.
     """
-    d = keep(proba.select("fold", "y", F.transform("p", lambda x: F.least(F.greatest(x, F.lit(1e-12)), F.lit(1.0))).alias("p")))
+    import numpy as np
+
+    clipped = F.transform("p", lambda x: F.least(F.greatest(x, F.lit(1e-12)), F.lit(1.0)))
+    d = keep(proba.select(F.col("fold").cast("int").alias("fold"), "y", clipped.alias("p")))
     parts = [*range(k), -1]
-    ones = [1.0] * n_classes
-
-    def count(rows):
-        opts = F.explode(F.array(*[F.struct(F.lit(p).alias("part"), F.lit(i).alias("i"), P.lit_array(f).alias("f")) for p, i, f in rows]))
-        e = d.select("fold", "y", "p", opts.alias("x")).filter(F.col("x.part") != F.col("fold"))
-        hat = P.argmax(F.zip_with("p", F.col("x.f"), lambda a, b: a / b))
-        g = e.groupBy(F.col("x.part").alias("part"), F.col("x.i").alias("i"), "y", hat.alias("yhat")).agg(F.count("*").alias("n"))
-        out: dict = {}
-        for r in g.collect():
-            out.setdefault((r["part"], r["i"]), {})[(r["y"], r["yhat"])] = r["n"]
-        return out
-
-    first = count([(p, 0, ones) for p in parts])
-    best = {p: _objective(first[(p, 0)], n_classes, ones, shrinkage) for p in parts}
-    support = {p: [sum(n for (y, _), n in first[(p, 0)].items() if y == c) for c in range(n_classes)] for p in parts}
-    factors = {p: list(ones) for p in parts}
+    rows = d.select("fold", "y", "p", F.explode(F.array(*map(F.lit, parts))).alias("part")).filter("part <> fold")
+    start = np.zeros((len(parts), 1, n_classes, n_classes), np.int64)
+    for r in rows.groupBy("part", "y", P.argmax(F.col("p")).alias("yhat")).agg(F.count("*").alias("n")).collect():
+        start[parts.index(r["part"]), 0, r["y"], r["yhat"]] = r["n"]
+    factors = np.ones((len(parts), n_classes))
+    best = [float(_penalised_f1(start[i], factors[i:i + 1], shrinkage)[0]) for i in range(len(parts))]
+    ascending = sorted(candidates)
     for _ in range(rounds):
-        moved = False
+        before = factors.copy()
         for c in range(n_classes):
-            todo = [p for p in parts if support[p][c] >= min_support]
-            trial = {(p, i): [*factors[p][:c], float(f), *factors[p][c + 1:]] for p in todo for i, f in enumerate(candidates)}
-            got = count([(p, i, f) for (p, i), f in trial.items()])
-            for p in todo:
-                now = (round(best[p], 9), -abs(math.log(factors[p][c])), None)
-                for i, f in enumerate(candidates):
-                    score = _objective(got[(p, i)], n_classes, trial[(p, i)], shrinkage)
-                    if (round(score, 9), -abs(math.log(f))) > now[:2]:
-                        now = (round(score, 9), -abs(math.log(f)), (f, score))
-                if now[2] is not None and now[2][0] != factors[p][c]:
-                    factors[p][c], best[p] = now[2]
-                    moved = True
-        if not moved:
+            table = F.create_map(*[v for i, p in enumerate(parts) for v in (F.lit(p), P.lit_array(factors[i].tolist()))])
+            conf = np.zeros((len(parts), len(ascending), n_classes, n_classes), np.int64)
+            for r in _sides(rows, c, F.element_at(table, F.col("part")), ascending).collect():
+                part = conf[parts.index(r["part"])]
+                part[:r["m"], r["y"], c] += r["n"]
+                part[r["m"]:, r["y"], r["other"]] += r["n"]
+            for i in range(len(parts)):
+                if start[i, 0, c].sum() < min_support:
+                    continue
+                trial = np.repeat(factors[i:i + 1], len(ascending), axis=0)
+                trial[:, c] = ascending
+                score = dict(zip(ascending, _penalised_f1(conf[i], trial, shrinkage).tolist()))
+                rank = lambda f, s: (round(s, 9), -abs(math.log(f)))
+                top = max(candidates, key=lambda f: rank(f, score[f]))
+                if rank(top, score[top]) > rank(factors[i, c], best[i]):
+                    factors[i, c], best[i] = top, score[top]
+        if (factors == before).all():
             break
-    table = F.element_at(F.create_map(*[v for p in range(k) for v in (F.lit(p), P.lit_array(factors[p]))]), F.col("fold"))
-    scored = d.select("y", P.argmax(F.col("p")).alias("base"), P.argmax(F.zip_with("p", table, lambda a, b: a / b)).alias("cand"))
-    f = M.macro_f1(M.stack_models(scored), ["which"])
-    v = {r["which"]: r["macro_f1"] for r in f.collect()}
+    own = F.element_at(F.create_map(*[v for i in range(k) for v in (F.lit(i), P.lit_array(factors[i].tolist()))]), F.col("fold"))
+    scored = d.select("y", P.argmax(F.col("p")).alias("base"), P.argmax(F.zip_with("p", own, lambda a, b: a / b)).alias("cand"))
+    v = {r["which"]: r["macro_f1"] for r in M.macro_f1(M.stack_models(scored), ["which"]).collect()}
     d.unpersist()
     accepted = int(v["cand"] >= v["base"] + min_gain)
-    rows = [(p, c, factors[p][c], v["base"], v["cand"], accepted) for p in parts for c in range(n_classes)]
-    return proba.sparkSession.createDataFrame(rows, "part int, class_id int, factor double, base_f1 double, crossfit_f1 double, accepted int")
+    found = [(p, c, float(factors[i, c]), v["base"], v["cand"], accepted) for i, p in enumerate(parts) for c in range(n_classes)]
+    return proba.sparkSession.createDataFrame(found, "part int, class_id int, factor double, base_f1 double, crossfit_f1 double, accepted int")
 
 
 # --- rules on the two best classes ----------------------------------------------------------

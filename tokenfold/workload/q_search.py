@@ -46,10 +46,48 @@ def _(s, d):
     return X.select_prior(m, P.class_prior(m, C), GA, TE, 0.0005)
 
 
-# Coordinate search: the driver loop has no SQL twin; tested against brute force.
-@query("k10_class_thresholds", "part class_id factor:d base_f1:d crossfit_f1:d accepted")
+_K10 = [0.8, 0.9, 1.0, 1.1, 1.25]
+
+
+def _thresholds(rounds: int = 2, shrinkage: float = 0.01) -> str:
+    """The coordinate search step by step, every candidate scored on every row."""
+    cls = range(C)
+    cand = values("z", list(enumerate(_K10)), "i, f")
+    wide = ", ".join(f"max(case when class_id={c} then least(greatest(p,1e-12),1e0) end) p{c}" for c in cls)
+
+    def scored(name: str, src: str, factors: list[str]) -> str:
+        best = "list_max([" + ", ".join(f"p{c}/{f}" for c, f in zip(cls, factors)) + "])"
+        choice = "case " + " ".join(f"when p{c}/{f}={best} then {c}" for c, f in zip(cls, factors)) + " end"
+        pen = " + ".join(f"pow(ln({f}),2)" for f in factors)
+        counts = f"select part, i, y, {choice} yhat, max({pen}) pen, count(*) n from {src} group by all"
+        return f"""{name}n as materialized ({counts}), {name} as materialized (
+ select part, i, sum(2e0*tp/(nt+np))/count(*)-{shrinkage}*max(pen)/{C} score from (select part, i, c, sum(tp) tp, sum(nt) nt, sum(np) np, max(pen) pen from (
+  select part, i, y c, case when y=yhat then n else 0 end tp, n nt, 0 np, pen from {name}n union all select part, i, yhat, 0, 0, n, pen from {name}n) group by 1,2,3) group by 1,2)"""
+
+    ctes = [f"w as materialized (select sample_id, f.fold, max(y) y, {wide} from p0 join folds f using (sample_id) group by 1,2)",
+            "r as (select part, w.* from w cross join (select unnest([0,1,2,3,4,-1]) part) where part<>fold)",
+            scored("b", "(select 0 i, r.* from r)", ["1e0"] * C),
+            f"s0 as materialized (select part, {', '.join(f'1e0 f{c}' for c in cls)}, score best from b)"]
+    t = 0
+    for _ in range(rounds):
+        for c in cls:
+            fs = [f"f{x}" if x != c else "f" for x in cls]
+            ctes.append(scored(f"t{t}", f"(select i, f, s{t}.* exclude (part, best), r.* from r join s{t} on s{t}.part=r.part cross join {cand})", fs))
+            ctes.append(f"""m{t} as (select part, arg_max(struct_pack(f:=f, score:=score), (round(score,9), round(-abs(ln(f)),12), -i)) x from t{t} join {cand} using (i) group by 1)""")
+            better = f"(round(x.score,9), round(-abs(ln(x.f)),12)) > (round(best,9), round(-abs(ln(f{c})),12))"
+            kept = ", ".join(f"f{x}" if x != c else f"case when {better} then x.f else f{c} end f{c}" for x in cls)
+            ctes.append(f"s{t + 1} as materialized (select part, {kept}, case when {better} then x.score else best end best from s{t} join m{t} using (part))")
+            t += 1
+    of = lambda x: "case " + " ".join(f"when p{c}{x(c)}=list_max([{', '.join(f'p{e}{x(e)}' for e in cls)}]) then {c}" for c in cls) + " end"
+    ctes.append(f"h as (select y, {of(lambda c: '')} base, {of(lambda c: f'/f{c}')} cand from w join s{t} on s{t}.part=w.fold)")
+    ctes.append(f"v as (select ({macro('select y, base yhat from h')}) base_f1, ({macro('select y, cand yhat from h')}) crossfit_f1)")
+    each = " union all ".join(f"select part, {c} class_id, f{c} factor from s{t}" for c in cls)
+    return f"with {', '.join(ctes)} select part, class_id, factor, base_f1, crossfit_f1, cast(crossfit_f1>=base_f1 as int) accepted from ({each}), v"
+
+
+@query("k10_class_thresholds", "part class_id factor:d base_f1:d crossfit_f1:d accepted", _thresholds())
 def _(s, d):
-    return X.class_thresholds(folded(model(s, d, 0), s, d), C, [0.8, 0.9, 1.0, 1.1, 1.25], W.K)
+    return X.class_thresholds(folded(model(s, d, 0), s, d), C, _K10, W.K)
 
 
 TS, WS = [0.8, 1.0, 1.25], [0.0, 0.2, 0.4]
@@ -108,6 +146,29 @@ def _(s, d):
     return X.fit_blend(models(s, d), _BND, {0: 0.5, 1: 0.25, 2: 0.25}, 0.01, 10)
 
 
+def _zoomed(levels: int = 20, cells: int = 12) -> str:
+    """Weights by grids that zoom in: each level spans half of the last one around its best point."""
+    ctes = ["l as materialized (select sample_id, class_id, max(y) y, " + ", ".join(
+        f"max(case when model={n} then ln(greatest(p,1e-12)) end) l{n}" for n in NAMES) + " from proba group by 1,2)",
+        "z0 as (select 0.5e0 c0, 0.25e0 c1)"]
+    low, high = zip(*(_BND[n] for n in NAMES))
+    for t in range(levels):
+        step = 0.4 / cells / 2**t
+        ctes.append(f"""g{t} as materialized (select distinct w0, w1, 1e0-w0-w1 w2 from (select least(greatest(c0+i*{step!r},{low[0]}),{high[0]}) w0, least(greatest(c1+j*{step!r},{low[1]}),{high[1]}) w1
+ from z{t} cross join (select unnest(range({-cells // 2}, {cells // 2 + 1})) i) cross join (select unnest(range({-cells // 2}, {cells // 2 + 1})) j)) where 1e0-w0-w1 between {low[2]} and {high[2]})""")
+        ctes.append(f"""o{t} as materialized (select w0, w1, w2, avg(ll) logloss, avg(ll)+0.01e0*(pow(w0-0.5e0,2)+pow(w1-0.25e0,2)+pow(w2-0.25e0,2)) objective from (
+ select w0, w1, w2, sample_id, -ln(greatest(max(case when class_id=y then u end)/sum(u),1e-12)) ll from (
+  select w0, w1, w2, sample_id, class_id, y, exp(w0*l0+w1*l1+w2*l2) u from l cross join g{t}) group by 1,2,3,4) group by 1,2,3)""")
+        ctes.append(f"z{t + 1} as materialized (select arg_min(w0, objective) c0, arg_min(w1, objective) c1 from o{t})")
+    last = f"(select * from o{levels - 1} order by objective limit 1)"
+    return f"with {', '.join(ctes)} select unnest(['0','1','2']) model, unnest([round(w0,4),round(w1,4),round(w2,4)]) weight, logloss, objective from {last}"
+
+
+@query("k14_newton_blend", "model:s weight:d logloss:d objective:d", _zoomed())
+def _(s, d):
+    return X.newton_blend(models(s, d), _BND, {0: 0.5, 1: 0.25, 2: 0.25}, 0.01).withColumn("weight", F.round("weight", 4))
+
+
 TRIALS = X.dirichlet_trials(NAMES, 12, 730)
 _TV = values("z", [tuple(t.values()) for t in TRIALS], "g, w0, w1, w2")
 
