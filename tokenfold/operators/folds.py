@@ -44,6 +44,71 @@ def group_folds(samples: DataFrame, groups: DataFrame, k: int, seed: int, group:
     return j.join(fold, group).select("sample_id", stratum, group, F.lit(seed).alias("seed"), "fold")
 
 
+#: Group types that are dealt out together; more types go in blocks by hash, each balanced on its own.
+TYPES_PER_BLOCK = 1 << 16
+
+
+def balanced_group_folds(samples: DataFrame, groups: DataFrame, k: int, seed: int, group: str = "profile", label: str = "label") -> DataFrame:
+    """Folds that never split a group and keep every class's share of rows near equal over the folds.
+
+    Groups with the same label counts are of one type. Of a type's n groups each
+    fold gets floor(n / k), which changes no balance. The rest go one by one, types
+    with the most uneven counts first, to the fold where the mean over classes of
+    the spread (standard deviation over folds) of the class's shares ends lowest
+    at nine decimals; ties to the fold with fewer rows, then the lower one. Which
+    groups of a type go where follows their hash. A null label is a class of its
+    own; samples without a group are dropped, as in :func:`group_folds`.
+    """
+    import pandas as pd
+
+    j = samples.join(groups.select("sample_id", group), "sample_id")
+    n = j.groupBy(group, label).agg(F.count("*").alias("n"))
+    hist = F.array_sort(F.collect_list(F.struct(F.col(label).alias("label"), "n")))
+    one = n.groupBy(group).agg(F.to_json(hist).alias("_type"), hist.alias("_hist"))
+    types = one.groupBy("_type").agg(F.first("_hist").alias("_hist"), F.count("*").alias("_n"))
+    names = {r[label]: i for i, r in enumerate(sorted(n.select(label).distinct().collect(), key=lambda r: (r[label] is not None, r[label])))}
+    sizes = n.groupBy(label).agg(F.sum("n").alias("n"))
+    total = {names[r[label]]: r["n"] for r in sizes.collect()}
+    blocks = max(1, -(-types.count() // TYPES_PER_BLOCK))
+
+    def deal(key, pdf):
+        import numpy as np
+
+        counts = np.zeros((len(pdf), len(names)))
+        for i, h in enumerate(pdf["_hist"]):
+            for e in h:
+                counts[i, names[e["label"]]] = e["n"]
+        order = sorted(range(len(pdf)), key=lambda i: (-round(float(counts[i].std()), 9), pdf["_type"].iloc[i]))
+        held, size = np.zeros((k, len(names))), np.array([total[c] for c in range(len(names))], float)
+        extras = [None] * len(pdf)
+        for i in order:
+            extras[i] = []
+            for _ in range(int(pdf["_n"].iloc[i]) % k):
+                spread = []
+                for f in range(k):
+                    held[f] += counts[i]
+                    spread.append((round(float((held / size).std(axis=0).mean()), 9), held[f].sum(), f))
+                    held[f] -= counts[i]
+                f = min(spread)[2]
+                held[f] += counts[i]
+                extras[i].append(f)
+        return pd.DataFrame({"_type": pdf["_type"], "_even": pdf["_n"] // k * k, "_extras": extras})
+
+    dealt = types.withColumn("_block", F.pmod(F.xxhash64("_type"), F.lit(blocks))).groupBy("_block").applyInPandas(
+        deal, "_type string, _even bigint, _extras array<int>")
+    ranked = S.hash_rank(one.select(group, "_type").withColumn("_h", id_hash(seed, group)), ["_type"], "_h").join(dealt, "_type")
+    extra = F.try_element_at("_extras", F.greatest(F.col("rank") - F.col("_even"), F.lit(1)).cast("int"))
+    fold = F.when(F.col("rank") <= F.col("_even"), (F.col("rank") - 1) % k).otherwise(extra)
+    return j.join(ranked.select(group, fold.cast("int").alias("fold")), group).select("sample_id", label, group, F.lit(seed).alias("seed"), "fold")
+
+
+def class_gap(folds: DataFrame, k: int, label: str = "label") -> DataFrame:
+    """Per class: rows, and the largest minus the smallest share of them that one of the ``k`` folds holds."""
+    per = folds.groupBy(label, "fold").agg(F.count("*").alias("n"))
+    low = F.when(F.count("*") < k, F.lit(0)).otherwise(F.min("n"))
+    return per.groupBy(label).agg(F.sum("n").alias("n"), ((F.max("n") - low) / F.sum("n")).alias("gap"))
+
+
 def holdout(samples: DataFrame, fraction: float, seed: int, stratum: str = "label") -> DataFrame:
     """Mark the first ``fraction`` of every stratum in hash order as held out."""
     ranked = S.hash_rank(samples.withColumn("_h", id_hash(seed)), [stratum], "_h")

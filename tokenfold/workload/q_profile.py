@@ -258,6 +258,13 @@ def _(s, d):
     return J.group_folds(smp, g, 5, 42)
 
 
+# Dealing is a loop; tested against one that deals group by group.
+@query("j2_balanced_group_folds", "sample_id label:s profile:s fold")
+def _(s, d):
+    smp, g = doc_groups(s, d)
+    return J.balanced_group_folds(smp, g, 5, 42)
+
+
 @query("j3_holdout", "sample_id label:s held", """
  select sample_id, label, cast(row_number() over (partition by label order by md5(concat(sample_id,'|7'))) <= 0.2*count(*) over (partition by label) as int) held from samples""")
 def _(s, d):
@@ -286,6 +293,21 @@ def _(s, d):
     return J.fold_audit(J.group_folds(smp, g, 5, 42), g)
 
 
+@query("j5_class_gap", "label:s n gap:d", f"""
+ with f as (select label, fold, count(*) n from ({_GF}) group by 1,2)
+ select label, sum(n) n, (max(n)-case when count(*)<5 then 0 else min(n) end)/cast(sum(n) as double) gap from f group by 1""")
+def _(s, d):
+    smp, g = doc_groups(s, d)
+    return J.class_gap(J.group_folds(smp, g, 5, 42), 5)
+
+
+# The same dealing loop; beside j5_class_gap.
+@query("j5_balanced_class_gap", "label:s n gap:d")
+def _(s, d):
+    smp, g = doc_groups(s, d)
+    return J.class_gap(J.balanced_group_folds(smp, g, 5, 42), 5)
+
+
 @query("j5_fold_audit_rows", "fold train_size valid_size train_groups valid_groups group_overlap", """
  with f as (select doc_id, sha256(text) profile, (row_number() over (partition by lang order by md5(concat(doc_id,'|42')))-1)%5 fold from documents),
  g as (select distinct fold, profile from f), n as (select profile, count(*) nf from g group by 1)

@@ -221,6 +221,31 @@ def _(s, d):
     return X.select_trial(f.select(F.col("g").alias("trial"), F.col("fold").alias("unit"), "macro_f1"))
 
 
+_NT = X.subset_trials(NAMES, _SUBS)
+_NV = values("z", [(*t.values(), len(x)) for t, x in zip(_NT, _SUBS)], "g, w0, w1, w2, size")
+_NC = f"""h as materialized ({_trial(_NV)}), i as (select sample_id, o outer_fold, (row_number() over (partition by o, label order by md5(concat(sample_id,'|',42*1009+o*9173)))-1)%4 inner_fold
+  from folds cross join (select unnest(range(5)) o) where fold<>o union all select sample_id, fold, -1 from folds),
+ c as materialized (select outer_fold, inner_fold, g, y, yhat from h join i using (sample_id))"""
+
+
+@query("k15_nested_cube", "outer inner g y yhat n", f"""
+ with {_NC} select outer_fold "outer", inner_fold "inner", g, y, yhat, count(*) n from c group by 1,2,3,4,5""")
+def _(s, d):
+    return X.nested_cube(folded(models(s, d), s, d), NAMES, _NT, J.nested_folds(W.labelled(s, d), 5, 4, 42))
+
+
+@query("k17_nested_select", "outer rule:s g inner_mean:d inner_se:d held:d", f"""
+ with {_NC}, f as materialized ({macro("select outer_fold, inner_fold, g, y, yhat from c", "outer_fold, inner_fold, g", "5")}),
+ m as (select outer_fold, g, avg(macro_f1) filter (inner_fold>=0) inner_mean, stddev_samp(macro_f1) filter (inner_fold>=0)/2 inner_se, max(macro_f1) filter (inner_fold=-1) held from f group by 1,2),
+ b as (select * from (select m.*, row_number() over (partition by outer_fold order by round(inner_mean,9) desc, g) r from m) where r=1),
+ n as (select m.*, row_number() over (partition by m.outer_fold order by size, round(m.inner_mean,9) desc, m.g) r from m join {_NV} using (g) join b using (outer_fold)
+  where round(m.inner_mean,9)>=round(b.inner_mean-b.inner_se,9))
+ select outer_fold "outer", 'best' rule, g, inner_mean, inner_se, held from b union all select outer_fold, 'one_se', g, inner_mean, inner_se, held from n where r=1""")
+def _(s, d):
+    cube = X.nested_cube(folded(models(s, d), s, d), NAMES, _NT, J.nested_folds(W.labelled(s, d), 5, 4, 42))
+    return X.nested_select(cube, _NT, C)
+
+
 # --- pair rules --------------------------------------------------------------------------------
 RG = list(X.RULE_GRID)
 _RV = values("z", [(a, b) for a in RG for b in RG], "margin, alpha")
