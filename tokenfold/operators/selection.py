@@ -69,6 +69,58 @@ def mi_select(feat: DataFrame, samples: DataFrame, k: int) -> DataFrame:
     return S.top_rows(mi, k, F.desc(F.round("mi", 9)), F.asc("feature"))
 
 
+def digamma(n: Column) -> Column:
+    """Digamma of a positive integer to about 1e-13: ten steps up, then the asymptotic series."""
+    x = n.cast("double")
+    z = x + 10.0
+    z2 = z * z
+    series = F.ln(z) - 0.5 / z - (1.0 / 12 - (1.0 / 120 - (1.0 / 252 - 1.0 / 240 / z2) / z2) / z2) / z2
+    return series - reduce(lambda a, i: a + 1.0 / (x + float(i)), range(1, 10), 1.0 / x)
+
+
+def neighbour_information(values: DataFrame, samples: DataFrame, k: int = 3) -> DataFrame:
+    """(feature, n, mi): mutual information of continuous features and the label from nearest neighbours.
+
+    A row's radius is the distance to its k-th nearest other row of its label (of
+    all of them, if fewer); with m rows of any label strictly inside the radius, or
+    equal to the row, mi = psi(n) + mean psi(k) - mean psi(rows of the label) - mean psi(m),
+    at least zero. Rows alone in their label, without a label, or with a null or
+    non-finite value take no part; a feature without other rows has no result.
+
+    Neighbours by value are neighbours by rank: rows meet the 2k ranks beside
+    them in equal joins, and the rows inside a radius are differences of ranks
+    of its two ends. Ranks come from sampled ranges, so no feature or label is
+    sorted by one task, and no pair of rows beyond 2k a row is made.
+    """
+    v = values.select("sample_id", "feature", F.col("value").cast("double").alias("value")).filter("abs(value) < double('infinity')")
+    d = v.join(samples.select("sample_id", "label").filter("label is not null"), "sample_id")
+    sizes = d.groupBy("feature", "label").agg(F.count("*").alias("nl")).filter("nl > 1")
+    d = settle(d.join(sizes, ["feature", "label"]))
+    own = settle(S.range_rank(d, F.asc("value"), F.asc("sample_id"), keys=["feature", "label"]))
+    beside = F.explode(F.array(*[F.col("rank") + i for i in range(-k, k + 1) if i])).alias("rank")
+    near = own.select("feature", "label", "sample_id", F.col("value").alias("here"), beside).join(
+        own.select("feature", "label", "rank", "value"), ["feature", "label", "rank"])
+    far = F.element_at(F.array_sort(F.collect_list(F.abs(F.col("value") - F.col("here")))), F.least(F.lit(k), F.size(F.collect_list("value"))))
+    radius = near.groupBy("feature", "label", "sample_id", "here").agg(far.alias("r"), F.least(F.lit(k), F.count("*")).alias("kk"))
+    # ends sort before rows of the same value (0), or after them (2); rows are 1
+    flat = F.col("r") == 0
+    ends = F.explode(F.array(
+        F.struct((F.col("here") - F.col("r")).alias("value"), F.when(flat, 0).otherwise(2).alias("side"), F.lit(-1).alias("sign")),
+        F.struct((F.col("here") + F.col("r")).alias("value"), F.when(flat, 2).otherwise(0).alias("side"), F.lit(1).alias("sign")))).alias("e")
+    ends = settle(radius.select("feature", "sample_id", ends).select("feature", "sample_id", "e.*"))
+    order = [F.asc("value"), F.asc("side"), F.asc("sample_id"), F.asc("sign")]
+    both = ends.unionByName(d.select("feature", "sample_id", "value", F.lit(1).alias("side"), F.lit(0).alias("sign")))
+    among = S.range_rank(both, *order, keys=["feature"]).filter("sign <> 0").select("feature", "sample_id", "sign", F.col("rank").alias("a"))
+    alone = S.range_rank(ends, *order, keys=["feature"]).select("feature", "sample_id", "sign", F.col("rank").alias("b"))
+    inside = among.join(alone, ["feature", "sample_id", "sign"]).groupBy("feature", "sample_id").agg(F.sum(F.col("sign") * (F.col("a") - F.col("b"))).alias("m"))
+    ks = radius.select("feature", "sample_id", "kk")
+    g = inside.join(ks, ["feature", "sample_id"]).groupBy("feature").agg(
+        F.count("*").alias("n"), F.avg(digamma(F.col("kk"))).alias("pk"), F.avg(digamma(F.greatest("m", F.lit(1)))).alias("pm"))
+    labels = sizes.groupBy("feature").agg((F.sum(F.col("nl") * digamma(F.col("nl"))) / F.sum("nl")).alias("pl"))
+    mi = digamma(F.col("n")) + F.col("pk") - F.col("pl") - F.col("pm")
+    return g.join(labels, "feature").select("feature", "n", F.greatest(mi, F.lit(0.0)).alias("mi"))
+
+
 def anova_table(feat: DataFrame, samples: DataFrame, parts: Sequence[int] = (NONE,)) -> DataFrame:
     """(held, feature, f, support): ANOVA F without each held fold (-1: all rows).
 

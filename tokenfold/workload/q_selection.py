@@ -55,6 +55,28 @@ def _(s, d):
     return X.mi_select(feat(s, d), W.samples(s, d), 40)
 
 
+_CONT = """select c_custkey sample_id, c_mktsegment label, 'acctbal' feature, cast(c_acctbal as double) as value from customer
+ union all select c_custkey, c_mktsegment, 'largest', cast(max(o_totalprice) as double) from customer join orders on o_custkey=c_custkey group by 1,2
+ union all select c_custkey, c_mktsegment, 'orders', count(*) from customer join orders on o_custkey=c_custkey group by 1,2"""
+
+
+@query("i3_neighbour_information", "feature:s n mi:d", f"""
+ with d as materialized (select * from (select *, count(*) over (partition by feature, label) nl from ({_CONT})) where nl>1),
+ q as (select a.feature, a.sample_id, a.value as v, a.nl, abs(a.value-b.value) t, row_number() over (partition by a.feature, a.sample_id order by abs(a.value-b.value)) r
+  from d a join d b on a.feature=b.feature and a.label=b.label and a.sample_id<>b.sample_id),
+ rad as materialized (select feature, sample_id, v, nl, max(t) r, count(*) k from q where r<=3 group by 1,2,3,4),
+ m as materialized (select rad.feature, rad.sample_id, rad.nl, k, count(*) m from rad join d on d.feature=rad.feature and (d.value=v or (d.value>v-r and d.value<v+r)) group by 1,2,3,4),
+ ps as materialized (select n, sum(1e0/n) over (order by n rows between unbounded preceding and 1 preceding) h from (select unnest(range(1, (select max(c)+2 from (select count(*) c from d group by feature)))) n)),
+ psi as (select n, coalesce(h,0)-0.57721566490153286e0 p from ps)
+ select feature, c n, greatest(0, t.p+x.pk-x.pl-x.pm) mi from (select feature, count(*) c, avg(a.p) pk, avg(b.p) pl, avg(e.p) pm from m join psi a on a.n=k join psi b on b.n=nl join psi e on e.n=m group by 1) x join psi t on t.n=c""")
+def _(s, d):
+    c = W.table(s, d, "customer").select(F.col("c_custkey").alias("sample_id"), F.col("c_mktsegment").alias("label"), "c_acctbal")
+    o = W.table(s, d, "orders").groupBy(F.col("o_custkey").alias("sample_id")).agg(F.max("o_totalprice").cast("double").alias("largest"), F.count("*").cast("double").alias("orders"))
+    long = o.unpivot(["sample_id"], ["largest", "orders"], "feature", "value").unionByName(
+        c.select("sample_id", F.lit("acctbal").alias("feature"), F.col("c_acctbal").cast("double").alias("value")))
+    return X.neighbour_information(long, c, 3)
+
+
 @query("i4_anova_f", "feature:s f:d support", "select feature, f, support from anova where k=-1")
 def _(s, d):
     return X.anova_f(feat(s, d), W.samples(s, d))
