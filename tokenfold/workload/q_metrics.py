@@ -34,8 +34,10 @@ W.SQL.update(VIEWS)
 
 
 def pred(s, d):
-    p = W.proba(s, d).join(W.labelled(s, d).select("sample_id", "fold"), "sample_id")
-    return p.select("sample_id", "model", "y", "fold", PR.argmax(F.col("p")).alias("yhat"))
+    """(sample_id, model, y, fold, yhat), merged by sample: the planner sizes ``proba`` by the file it is computed from, so it would broadcast it."""
+    p = W.proba(s, d).select("sample_id", "model", "y", PR.argmax(F.col("p")).alias("yhat"))
+    p = p.hint("merge").join(W.labelled(s, d).select("sample_id", "fold"), "sample_id")
+    return p.select("sample_id", "model", "y", "fold", "yhat")
 
 
 def two(s, d):
