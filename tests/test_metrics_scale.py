@@ -12,3 +12,23 @@ def test_predictions_are_not_broadcast(spark, tmp_path):
     plan = p._jdf.queryExecution().sparkPlan().toString().split("InMemoryTableScan")[0]
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
     assert sorted(map(tuple, p.groupBy("model").count().collect())) == [(m, 60) for m in range(3)]
+
+
+def _counted(spark, df):
+    """``df`` with an accumulator that counts how often its rows are computed."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    return df.mapInArrow(run, df.schema), seen
+
+
+def test_leaderboard_reads_predictions_for_counts_once(spark):
+    rows = [(m, i, i % 2, i % 3, (i + (m if i % 4 == 0 else 0)) % 3) for m in range(3) for i in range(24)]
+    pred, seen = _counted(spark, spark.createDataFrame(rows, "model int, sample_id long, fold int, y int, yhat int"))
+    got = M.leaderboard(pred, 3).orderBy("model").collect()
+    assert [(r["model"], r["rank"], round(r["macro_f1"], 6), r["unique_rescue"]) for r in got] == [(0, 1, 1.0, 0), (1, 2, 0.75, 0), (2, 3, 0.75, 0)]
+    assert seen.value <= 3 * len(rows)  # the counts, and both sides of the rescues
