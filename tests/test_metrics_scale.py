@@ -32,3 +32,12 @@ def test_leaderboard_reads_predictions_for_counts_once(spark):
     got = M.leaderboard(pred, 3).orderBy("model").collect()
     assert [(r["model"], r["rank"], round(r["macro_f1"], 6), r["unique_rescue"]) for r in got] == [(0, 1, 1.0, 0), (1, 2, 0.75, 0), (2, 3, 0.75, 0)]
     assert seen.value <= 3 * len(rows)  # the counts, and both sides of the rescues
+
+
+def test_select_roles_reads_candidates_once(spark):
+    rows = [("a", 0.8, 0.1, 0.2, 3, 0.5, 1, 0, 0), ("b", 0.79, 0.1, 0.1, 2, 0.4, 1, 1, 5), ("c", 0.6, 0.1, 0.3, 1, 0.7, 1, 1, 9), ("d", 0.5, 0.1, 0.3, 1, 0.2, 1, 1, 2)]
+    schema = "name string, mean double, se double, gap double, complexity int, worst_floor double, noninferior int, collision int, net_rescue int"
+    stats, seen = _counted(spark, spark.createDataFrame(rows, schema))
+    got = {r["role"]: (r["name"], r["qualified"]) for r in M.select_roles(stats).collect()}
+    assert got == {"primary": ("b", 1), "robustness": ("c", 1), "specialization": ("d", 1)}
+    assert seen.value <= len(rows)
