@@ -87,3 +87,19 @@ def test_modules_fit_as_well_as_numpy(spark):
     for r in L.nmf_apply(df, state, steps=2000).collect():
         w[r["sample_id"], r["module"]] = r["value"]
     assert (w >= 0).all() and (v >= 0).all() and np.linalg.norm(x - w @ v.T) < 0.02 * np.linalg.norm(x)
+
+
+def test_few_features_are_solved_without_rounds(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = np.round(rng.random((300, 90)) * (rng.random((300, 90)) < 0.3), 3)  # a flat spectrum, wider than the block of vectors
+    x[0] = x[:, 0] = 1
+    monkeypatch.setattr(B.Blocked, "of", lambda *a, **k: pytest.fail("a narrow table goes through rounds"))
+    df = long_table(spark, x)
+    state = L.svd_state(df.unionByName(spark.createDataFrame([(None, "f3", 5.0), (4, None, 5.0)], df.schema)), 8)
+    _, s, vt = np.linalg.svd(x)
+    first = state.first()
+    assert np.allclose(first["s"], s[:8])
+    v = vectors(state, 90)
+    assert np.allclose(np.abs(v), np.abs(vt[:8].T)) and (v[np.abs(v).argmax(0), range(8)] > 0).all()
+    got = {(r["sample_id"], r["feature"]): r["value"] for r in L.svd_apply(df, state).collect()}
+    assert np.allclose([[got[i, f"svd_{j}"] for j in range(8)] for i in range(300)], x @ v)
