@@ -72,3 +72,18 @@ def test_parts_parse_events_once(spark, monkeypatch):
             total = {r["sample_id"]: round(float(r["features"].toArray().sum()), 6) for r in got.collect()}
             assert total == {i: pytest.approx(sum(v for s, n, v in want if s == i and n in names), abs=1e-5) for i in total}
         assert {r["fold"] for r in held.collect()} == {f} and train.count() + held.count() == 24
+
+
+def test_folds_of_a_large_table_run_in_turn(rows, monkeypatch):
+    import threading
+
+    monkeypatch.setattr(T, "SIDE_NUMBERS", 100)
+    threads = set()
+
+    class Noted(Recorder):
+        def fit(self, rows):
+            threads.add(threading.get_ident())
+            return super().fit(rows)
+
+    T.oof_run(rows, lambda n: Noted([]), 4, 3)
+    assert len(threads) == 1
