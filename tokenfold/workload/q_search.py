@@ -20,7 +20,8 @@ NAMES = [0, 1, 2]
 
 
 def folded(df, s, d):
-    return df.join(W.labelled(s, d).select("sample_id", "fold"), "sample_id")
+    """Rows with their fold, merged by sample: the planner sizes probabilities and folds by the file they are computed from."""
+    return df.hint("merge").join(W.labelled(s, d).select("sample_id", "fold"), "sample_id")
 
 
 def values(name: str, rows: list[tuple], cols: str) -> str:
@@ -107,7 +108,7 @@ def seeded(s, d):
     m = models(s, d)
     opts = F.explode(F.array(*[F.struct(F.lit(42 + i).alias("seed"), F.element_at("m", F.lit(i)).alias("p"), F.element_at("m", F.lit((i + 1) % 3)).alias("q")) for i in range(3)]))
     r = m.select("sample_id", "y", opts.alias("o")).select("sample_id", "y", "o.*")
-    return r.join(W.folds(s, d, W.SEEDS).select("sample_id", "seed", "fold"), ["sample_id", "seed"])
+    return r.hint("merge").join(W.folds(s, d, W.SEEDS).select("sample_id", "seed", "fold"), ["sample_id", "seed"])
 
 
 @query("k11_crossfit_select", "seed fold temperature:d weight:d tuning_macro_f1:d evaluation_macro_f1:d", f"select * from {_SELC}")
@@ -306,7 +307,7 @@ def _(s, d):
 
 @query("k35_select_mix_weight_groups", "weight:d mean_f1:d floor:d eligible rank")
 def _(s, d):
-    b = folded(model(s, d, 0), s, d).join(model(s, d, 1).select("sample_id", F.col("p").alias("q")), "sample_id")
+    b = folded(model(s, d, 0), s, d).hint("merge").join(model(s, d, 1).select("sample_id", F.col("p").alias("q")), "sample_id")
     return X.select_mix_weight(b, C, W.K, MW, groups(s, d))
 
 
