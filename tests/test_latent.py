@@ -1,5 +1,7 @@
 """Factorisations in blocks against numpy."""
 
+import re
+
 import numpy as np
 import pytest
 
@@ -103,3 +105,26 @@ def test_few_features_are_solved_without_rounds(spark, monkeypatch):
     assert np.allclose(np.abs(v), np.abs(vt[:8].T)) and (v[np.abs(v).argmax(0), range(8)] > 0).all()
     got = {(r["sample_id"], r["feature"]): r["value"] for r in L.svd_apply(df, state).collect()}
     assert np.allclose([[got[i, f"svd_{j}"] for j in range(8)] for i in range(300)], x @ v)
+
+
+def test_narrow_modules_equal_the_blocked_ones(spark):
+    rng = np.random.default_rng(5)
+    x = rng.random((60, 30)) * (rng.random((60, 30)) < 0.4)
+    x[:, 0] = 1
+    table = long_table(spark, x).unionByName(spark.createDataFrame([(None, "f0", 9.0), (3, None, 9.0)], "sample_id int, feature string, value double"))
+    narrow, blocked = L.nmf_state(table, 3, iterations=4), L.nmf_state(table, 3, iterations=4, cells=1 << 20)
+    assert np.allclose(vectors(narrow, 30), vectors(blocked, 30), rtol=1e-9)
+    assert L.nmf_state(table.limit(0), 3, iterations=2).count() == 0
+
+
+def test_products_do_not_move_standing_entries(spark):
+    rng = np.random.default_rng(6)
+    x = rng.random((50, 20)) * (rng.random((50, 20)) < 0.5)
+    x[:, 0] = x[0] = 1
+    blocked = B.Blocked.of(long_table(spark, x), 3, cells=30, per_block=50).standing()
+    blocked.entries.count()
+    v = blocked.random(1, lambda r, shape: r.random(shape))
+    for product in (blocked.times(v), blocked.back(blocked.times(v))):
+        plan = product._jdf.queryExecution().executedPlan().toString()
+        assert not re.search(r"Exchange[^\n]*\n([^\n]*Project[^\n]*\n)?[^\n]*InMemoryTableScan", plan)
+    blocked.release()
