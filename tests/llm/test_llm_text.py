@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tokenfold.llm import mixing, packing, queries, repeats, simhash
 from tokenfold.llm.common import components, numbered
+from tokenfold.llm.words import word_digests
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, source string, Size int, fp string, chunk string"
@@ -142,6 +144,25 @@ def test_repeats_equal_brute_force(docs, rows, window):
         (row[0], *p) for row, p in zip(rows, plain_repeats([r[1] for r in rows], window)))
 
 
+def test_words_are_digested_without_an_object_each():
+    rng = random.Random(4)
+    texts = [b"", bytes(range(256)), b" \x0b a  b\x1c\xc2\xa0c ", *(
+        bytes(rng.choice(b"ab \t\n\x0b\x0c\r\xc3\x00\x1c") for _ in range(rng.randrange(40))) for _ in range(200))]
+    got, n = word_digests(texts)
+    flat = [w for t in texts for w in t.split()]
+    assert n.tolist() == [len(t.split()) for t in texts]
+    assert got.tobytes() == b"".join(hashlib.blake2b(w, digest_size=16).digest() for w in flat)
+    for none in ([], [b""], [b" \n"]):
+        got, n = word_digests(none)
+        assert got.shape == (0, 2) and n.tolist() == [0] * len(none)
+    many = [b" ".join(b"word%d" % (k % 100) for k in range(200_000))]
+    tracemalloc.start()
+    word_digests(many)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 * 200_000  # a bytes object for every word takes more
+
+
 def test_repeats_of_a_tiny_vocabulary(spark):
     rng = random.Random(9)
     texts = [" ".join(rng.choice("ab") for _ in range(rng.randint(0, 60))) for _ in range(40)]

@@ -117,6 +117,15 @@ def _replies(table: pa.Table, source: np.ndarray, hit: np.ndarray, entries: np.n
         "chunk": pa.array(chunks[own[cuts]].astype(np.int64)), "data": pa.array([found[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary())})
 
 
+def _among(hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which ``hashes`` are among the ``known`` ones, of which there is at least one; both are walked in order."""
+    order, known = np.argsort(hashes), np.sort(known)
+    inside = np.empty(len(hashes), bool)
+    own = hashes[order]
+    inside[order] = known[np.minimum(np.searchsorted(known, own), len(known) - 1)] == own
+    return inside
+
+
 def _runs(sorted_key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(first row, run of each row) of equal neighbours."""
     new = np.ones(len(sorted_key), bool)
@@ -178,7 +187,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW, pe
         c = _Chunk(_texts(table, nth), window)
         at, hashes, _ = c.anchors()
         own = _anchor_tag(hashes >> np.uint64(1) << np.uint64(1)) | (_bucket(hashes, buckets).astype(np.uint64) << np.uint64(_TAG))
-        hits = at[np.isin(own, _unpack(answers, 8)[0].view("<u8")[:, 0])]
+        hits = at[_among(own, _unpack(answers, 8)[0].view("<u8")[:, 0])]
         start, one = c.windows()
         near = c.around(hits)[start]
         start, one = start[near], one[near]
@@ -212,7 +221,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW, pe
         gone = np.zeros(len(c.words), bool)
         if answers.num_rows:
             start, one = c.windows()
-            gone = c.covered(start[np.isin(one, _unpack(answers, 8)[0].view("<u8")[:, 0])])
+            gone = c.covered(start[_among(one, _unpack(answers, 8)[0].view("<u8")[:, 0])])
         total_gone = np.concatenate(([0], np.cumsum(gone)))
         n_removed = total_gone[c.last] - total_gone[c.first]
         kept = []

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from hashlib import blake2b
-from itertools import chain
+from itertools import pairwise
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
@@ -49,13 +51,21 @@ def spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def word_digests(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(digests, words of each text): two 64-bit halves of a cryptographic digest of every word, in order.
 
-    Words are told apart by their bytes; each different one is digested once.
+    Words are told apart by their bytes; Arrow splits the texts and numbers the
+    different words, each of which is digested once.
     """
-    words = [t.split() for t in texts]
-    flat = list(chain.from_iterable(words))
-    place = {w: k for k, w in enumerate(dict.fromkeys(flat))}
-    own = np.frombuffer(b"".join(blake2b(w, digest_size=16).digest() for w in place), "<u8").astype(np.uint64).reshape(-1, 2)
-    return own[np.fromiter(map(place.__getitem__, flat), np.int64, len(flat))], np.fromiter(map(len, words), np.int64, len(words))
+    data = pa.array(texts, pa.large_binary())
+    split = pc.ascii_split_whitespace(pa.Array.from_buffers(pa.large_string(), len(data), data.buffers()))
+    flat = split.flatten()
+    real = pc.not_equal(pc.binary_length(flat), 0)  # blanks at the ends of a text leave empty ones
+    before = np.concatenate(([0], np.cumsum(real.to_numpy(zero_copy_only=False))))
+    coded = flat.filter(real).dictionary_encode()
+    _, ends, held = coded.dictionary.buffers()
+    ends = np.frombuffer(ends, np.int64, len(coded.dictionary) + 1, coded.dictionary.offset * 8).tolist() if len(coded.dictionary) else [0]
+    held = held.to_pybytes() if held is not None else b""
+    own = b"".join([blake2b(held[a:b], digest_size=16).digest() for a, b in pairwise(ends)])
+    return (np.frombuffer(own, "<u8").astype(np.uint64).reshape(-1, 2)[coded.indices.to_numpy()],
+            np.diff(before[split.offsets.to_numpy()]))
 
 
 def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
