@@ -87,3 +87,15 @@ def test_folds_of_a_large_table_run_in_turn(rows, monkeypatch):
 
     T.oof_run(rows, lambda n: Noted([]), 4, 3)
     assert len(threads) == 1
+
+
+def test_boosted_trees_query_is_whole(spark, monkeypatch):
+    from tokenfold.workload import QUERIES
+    from tokenfold.workload import q_training as Q
+
+    got = []
+    monkeypatch.setattr(Q, "parts", lambda s, d: None)
+    monkeypatch.setattr(Q, "scored", lambda valid, *by: spark.range(1).selectExpr("0 fold", "'x' part", "0e0 macro_f1"))
+    monkeypatch.setattr(T, "pipeline_oof", lambda parts, estimator, n: got.append(estimator(10).getClassifier()))
+    QUERIES["m5_boosted_trees"](spark, "")
+    assert got[0].getMaxIter() == 100 and got[0].getMaxDepth() == 6 and got[0].getStepSize() == 0.1
