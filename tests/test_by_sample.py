@@ -46,6 +46,20 @@ def test_small_learnt_tables_go_to_the_rows(spark, inputs, monkeypatch):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+@pytest.mark.parametrize("block", ["char_tfidf", "jh_tfidf"])
+def test_terms_stay_with_their_document(spark, inputs, block):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        state = {n: session.settle(df) for n, df in R.BLOCKS[block].learn(inputs).items()}
+        out = R.BLOCKS[block].apply(state, inputs)
+        norms = out.groupBy("sample_id").agg(F.sum(F.col("value") ** 2).alias("n")).collect()
+        plan = own_plan(out)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "hashpartitioning(term" not in plan and "SortMergeJoin [term" not in plan
+    assert len(norms) == 24 and {round(r["n"], 9) for r in norms} == {0.25 if block == "char_tfidf" else 1.0}
+
+
 def test_features_that_occur_twice_raise(spark):
     rows = lambda *x: spark.createDataFrame(x, "sample_id int, feature string, value double")
     named = lambda *x: rows(*x).withColumn("feature", F.concat_ws("", "feature"))
